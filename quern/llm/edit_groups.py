@@ -3,16 +3,17 @@
 Texts are compared by their sets of ``shingle`` consecutive words (Jaccard similarity). Texts of the same words are one
 class from the start and are worked on once.
 
-* *Fingerprint.* 64 one-bit min-hashes of the set. Two sets of similarity s differ in each bit with probability
+* *Fingerprint.* 128 one-bit min-hashes of the set. Two sets of similarity s differ in each bit with probability
   ``(1 - s) / 2``, so the Hamming distance of two fingerprints tells the similarity; ``radius`` bits are allowed, four
   standard deviations beyond what the threshold makes expect.
 * *Shards.* In one global order of all shingles, sets that reach the threshold share one of their first
-  ``n - ceil(threshold * n) + 1`` shingles (prefix filter, no loss). Each such shingle is a shard. Shingles that very
-  many texts hold, named by a sketch, stand last in the order; where such a shard can't be avoided its rows are split
-  into blocks that meet pairwise.
+  ``n - ceil(threshold * n) + 1`` shingles (prefix filter, no loss in any order). Each such shingle is a shard. The order
+  puts rare shingles first, by a table of counts of fixed size (``BUCKETS``), so shards stay small; a shard that is large
+  all the same is split into blocks that meet pairwise.
 * *BK-trees.* Each shard is a tree whose children are keyed by their integer Hamming distance to the parent. A query
-  of distance d to a node follows only the edges d - radius .. d + radius. The trees live in the tasks that hold the
-  shard: they are not broadcast, because all trees together grow with the corpus.
+  of distance d to a node follows only the edges d - radius .. d + radius; at most ``LEAF`` rows are a leaf and are
+  compared directly. The trees live in the tasks that hold the shard: they are not broadcast, because all trees
+  together grow with the corpus.
 * *Verification.* The pairs within the radius are compared exactly.
 """
 
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import let, run_hashes, word_hashes, words
 from quern.operators.components import connected_components
-from quern.operators.skew import heavy_keys
 from quern.session import cut_lineage
 
-BITS = 64
-#: A shingle is common if it makes up at least this share of all shingles of all classes.
-COMMON_SHARE = 0.001
+WORDS = 2
+BITS = 64 * WORDS
+#: Places of the table of shingle counts: 8 MB at any size of the corpus.
+BUCKETS = 1 << 20
 #: Rows of a shard beyond which it is split into blocks.
 SHARD_ROWS = 8_192
+LEAF = 8
 SEED = 20_240_303
 
 
@@ -46,82 +48,74 @@ def radius_of(threshold: float, deviations: float = 4.0) -> int:
 
 
 def fingerprints(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """uint64 fingerprint of each of the non-empty sets that stand one after another in ``values``."""
+    """Fingerprint, ``WORDS`` uint64, of each of the non-empty sets that stand one after another in ``values``."""
     factors = np.random.default_rng(SEED).integers(1, 1 << 63, BITS, dtype=np.int64).astype(np.uint64) * 2 + 1
     begin = (np.cumsum(lengths) - lengths).astype(np.int64)
-    out = np.zeros(len(lengths), np.uint64)
+    out = np.zeros((len(lengths), WORDS), np.uint64)
     unsigned = values.view(np.uint64)
+    mixed = unsigned ^ (unsigned >> np.uint64(31))
     for bit, factor in enumerate(factors):
-        least = np.minimum.reduceat((unsigned ^ (unsigned >> np.uint64(31))) * factor, begin)
-        out |= ((least >> np.uint64(9)) & np.uint64(1)) << np.uint64(bit)
+        least = np.minimum.reduceat(mixed * factor, begin)
+        out[:, bit // 64] |= ((least >> np.uint64(9)) & np.uint64(1)) << np.uint64(bit % 64)
     return out
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of fingerprints."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 class BKTree:
-    """Burkhard-Keller tree over distinct places of an array of fingerprints."""
+    """Burkhard-Keller tree over places of an array of fingerprints."""
 
     def __init__(self, prints: np.ndarray, places: np.ndarray):
-        self.prints, self.root = prints, int(places[0])
-        rest = places[1:]
+        self.prints, self.places = prints, places[: 1 if len(places) > LEAF else LEAF]
         self.children: dict[int, BKTree] = {}
+        rest = places[len(self.places) :]
         if len(rest):
-            apart = np.bitwise_count(prints[rest] ^ prints[self.root])
-            order = np.argsort(apart, kind="stable")
-            edges, begin = np.unique(apart[order], return_index=True)
-            for edge, part in zip(edges, np.split(rest[order], begin[1:]), strict=True):
-                self.children[int(edge)] = BKTree(prints, part)
+            distance = apart(prints[rest], prints[places[0]])
+            order = np.argsort(distance, kind="stable")
+            edges, begin = np.unique(distance[order], return_index=True)
+            for edge, part in zip(edges.tolist(), np.split(rest[order], begin[1:]), strict=True):
+                self.children[edge] = BKTree(prints, part)
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(place in the tree, place of the query) of all pairs at most ``radius`` apart; many queries go down
         together."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         stack = [(self, queries)]
         while stack:
             node, asking = stack.pop()
-            apart = np.bitwise_count(self.prints[asking] ^ self.prints[node.root]).astype(int)
-            hit = asking[apart <= radius]
-            found.append((np.full(len(hit), node.root), hit))
+            for place in node.places:
+                distance = apart(self.prints[asking], self.prints[place])
+                hit = asking[distance <= radius]
+                found.append((np.full(len(hit), place), hit))
             for edge, child in node.children.items():
-                follow = asking[abs(apart - edge) <= radius]
+                follow = asking[abs(distance - edge) <= radius]
                 if len(follow):
                     stack.append((child, follow))
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def shard_pairs(prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places at most ``radius`` apart, one of ``left`` and one of ``right``; a shard with itself if both are
-    the same places, then each pair once."""
-    # Equal fingerprints are one node.
-    distinct, node_of = np.unique(prints[left], return_inverse=True)
-    if len(left) <= 8:
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        tree = None
-    else:
-        tree = BKTree(np.concatenate([distinct, prints[right]]), _balanced(len(distinct)))
-    if tree is not None:
-        node, query = tree.within(np.arange(len(right)) + len(distinct), radius)
-        order = np.argsort(node_of, kind="stable")
-        many = np.bincount(node_of, minlength=len(distinct))
-        begin = np.cumsum(many) - many
-        times = many[node]
-        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        a = left[order[np.repeat(begin[node], times) + offset]]
-        b = right[np.repeat(query - len(distinct), times)]
-    near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
-    if left is right:
-        near &= a < b
-    return a[near], b[near]
-
-
-def _balanced(n: int) -> np.ndarray:
-    """Places in a fixed random order, so that sorted fingerprints give no degenerate tree."""
-    return np.random.default_rng(SEED).permutation(n)
-
-
-def _prefixes(threshold: float, common: np.ndarray, blocks: np.ndarray):
-    """Rows ``(shard, block_a, block_b, side, id, print, n)`` of each class."""
+def tree_pairs(prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of ``left``, place of ``right``) at most ``radius`` apart. Equal fingerprints are one node."""
+    distinct, node_of = np.unique(prints[left], axis=0, return_inverse=True)
+    shuffled = np.random.default_rng(SEED).permutation(len(distinct))
+    tree = BKTree(np.concatenate([distinct, prints[right]]), shuffled)
+    node, query = tree.within(np.arange(len(right)) + len(distinct), radius)
+    order = np.argsort(node_of.ravel(), kind="stable")
+    many = np.bincount(node_of.ravel(), minlength=len(distinct))
+    begin, times = np.cumsum(many) - many, many[node]
+    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return left[order[np.repeat(begin[node], times) + offset]], right[np.repeat(query - len(distinct), times)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _prefixes(threshold: float, counts: np.ndarray, shard_rows: int):
+    """Rows ``(shard, block_a, block_b, side, id, print, n, rest)`` of each class; ``rest`` counts the shingles behind
+    the shard's in the class's order."""
+    usual = 2 * counts.mean()
+
+    def run(batches: Iterator[pa.RecordBatch], counts=counts) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = batch.column("shingles")
             n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -130,14 +124,15 @@ def _prefixes(threshold: float, common: np.ndarray, blocks: np.ndarray):
                 continue
             prints = fingerprints(values, n)
             doc = np.repeat(np.arange(len(n)), n)
-            slot = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
-            known = common[slot] == values if len(common) else np.zeros(len(values), bool)
-            order = np.lexsort((values, known, doc))
+            common = counts[values & (BUCKETS - 1)]
+            order = np.lexsort((values, common, doc))
             rank = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-            keep = order[rank < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(int) + 1, n)]
+            first = rank < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(int) + 1, n)
+            keep = order[first]
             at, shard = doc[keep], values[keep]
-            many = np.where(known[keep], blocks[slot[keep]], 1) if len(common) else np.ones(len(keep), int)
-            own = ((prints[at] ^ (prints[at] >> np.uint64(17))) % many.astype(np.uint64)).astype(np.int64)
+            rest = n[at] - rank[first] - 1
+            many = np.ceil(np.maximum(common[keep] - usual, 1) / shard_rows).astype(np.int64)
+            own = ((prints[at, 0] ^ (prints[at, 1] >> np.uint64(17))) % many.astype(np.uint64)).astype(np.int64)
             row = np.repeat(np.arange(len(keep)), many)
             other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             yield pa.RecordBatch.from_arrays(
@@ -147,15 +142,19 @@ def _prefixes(threshold: float, common: np.ndarray, blocks: np.ndarray):
                     pa.array(np.maximum(own[row], other).astype(np.int32)),
                     pa.array((own[row] > other).astype(np.int32)),
                     batch.column("id").take(pa.array(at[row])),
-                    pa.array(prints[at[row]].view(np.int64)),
+                    *(pa.array(prints[at[row], w].view(np.int64)) for w in range(WORDS)),
                     pa.array(n[at[row]].astype(np.int32)),
+                    pa.array(rest[row].astype(np.int32)),
                 ],
-                names=["shard", "block_a", "block_b", "side", "id", "print", "n"],
+                names=["shard", "block_a", "block_b", "side", "id", *PRINTS, "n", "rest"],
             )
 
     return run
 
 
+PRINTS = [f"print_{w}" for w in range(WORDS)]
+
+
 def _shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole shards, many at a time, of batches sorted by shard: a batch's last shard waits for the next batch."""
     kept: list[pa.RecordBatch] = []
@@ -163,10 +162,9 @@ def _shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([*kept, batch])
-        last = [table.column(c)[-1].as_py() for c in ("shard", "block_a", "block_b")]
         same = np.ones(table.num_rows, bool)
-        for c, v in zip(("shard", "block_a", "block_b"), last, strict=True):
-            same &= table.column(c).to_numpy() == v
+        for c in ("shard", "block_a", "block_b"):
+            same &= table.column(c).to_numpy() == table.column(c)[-1].as_py()
         begin = int(np.argmax(same))
         if begin:
             yield table.slice(0, begin)
@@ -176,29 +174,37 @@ def _shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _search(threshold: float, radius: int):
-    """Pairs ``(a, b)`` of ids within the radius and of sizes that can reach the threshold."""
+    """Pairs ``(a, b)`` of ids within the radius whose sizes, and what can follow the shard's shingle if it is the
+    first they share, can reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _shard_runs(batches):
             keys = np.stack([table.column(c).to_numpy() for c in ("shard", "block_a", "block_b")])
-            prints = table.column("print").to_numpy().view(np.uint64)
-            n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
+            prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in PRINTS], axis=1)
+            n, side, rest = (table.column(c).to_numpy() for c in ("n", "side", "rest"))
             begin = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0)])
-            end = np.r_[begin[1:], len(prints)]
+            many = np.diff(np.r_[begin, len(n)])
+            shard = np.repeat(np.arange(len(begin)), many)
             pairs = []
-            for s, e in zip(begin, end, strict=True):
-                if e - s > 1:
-                    places = np.arange(s, e)
-                    if keys[1, s] == keys[2, s]:
-                        pairs.append(shard_pairs(prints, places, places, radius))
-                    else:
-                        pairs.append(shard_pairs(prints, places[side[s:e] == 0], places[side[s:e] == 1], radius))
-            if not pairs:
-                continue
+            leaf = np.flatnonzero((many[shard] <= LEAF) & (keys[1] == keys[2]))
+            for step in range(1, LEAF):
+                a, b = leaf[:-step], leaf[step:]
+                same = shard[a] == shard[b]
+                pairs.append((a[same], b[same]))
+            for k in np.flatnonzero((many > LEAF) | (keys[1, begin] != keys[2, begin])):
+                places = np.arange(begin[k], begin[k] + many[k])
+                if keys[1, begin[k]] == keys[2, begin[k]]:
+                    a, b = tree_pairs(prints, places, places, radius)
+                    pairs.append((a[a < b], b[a < b]))
+                elif 0 < side[places].sum() < len(places):
+                    pairs.append(tree_pairs(prints, places[side[places] == 0], places[side[places] == 1], radius))
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            able = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
+            need = threshold / (1 + threshold) * (n[a].astype(float) + n[b]) - 1e-9
+            able = (1 + np.minimum(rest[a], rest[b]) >= need) & (np.minimum(n[a], n[b]) >= need)
+            a, b = a[able], b[able]
+            near = apart(prints[a], prints[b]) <= radius
             ids = table.column("id").combine_chunks()
-            first, second = ids.take(pa.array(a[able])), ids.take(pa.array(b[able]))
+            first, second = ids.take(pa.array(a[near])), ids.take(pa.array(b[near]))
             yield pa.RecordBatch.from_arrays([first, second], names=["a", "b"])
 
     return run
@@ -219,7 +225,6 @@ class NearDuplicates:
         shingle: int = 5,
         threshold: float = 0.8,
         min_words: int = 0,
-        common_share: float = COMMON_SHARE,
         shard_rows: int = SHARD_ROWS,
     ):
         if not 0 < threshold <= 1:
@@ -237,24 +242,33 @@ class NearDuplicates:
         #: ``(id, class)``
         self.members = read.select("id", "class")
         #: ``(id, shingles)`` of the classes
-        self.sets = read.groupBy(F.col("class").alias("id")).agg(F.first("shingles").alias("shingles"))
-        self.links = cut_lineage(self._links(common_share, shard_rows))
-
-    def _links(self, common_share: float, shard_rows: int) -> DataFrame:
-        spread = self.sets.select(F.explode("shingles").alias("s"))
-        # At most 1 / common_share shingles.
-        named = [r["s"] for r in heavy_keys(spread, "s", common_share).collect()]
-        counts = {r["s"]: r["n"] for r in spread.where(F.col("s").isin(named)).groupBy("s").agg(
-            F.count(F.lit(1)).alias("n")).collect()} if named else {}
-        common = np.array(sorted(counts), np.int64)
-        blocks = np.array([-(-counts[s] // shard_rows) for s in common.tolist()], np.int64)
+        self.sets = cut_lineage(read.groupBy(F.col("class").alias("id")).agg(F.first("shingles").alias("shingles")))
+        self.links = cut_lineage(self._links(shard_rows))
+
+    def _counts(self) -> np.ndarray:
+        """Occurrences of the shingles of each of the ``BUCKETS`` places."""
+        place = F.col("s").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        rows = self.sets.select(F.explode("shingles").alias("s")).groupBy(place.alias("place")).agg(
+            F.count(F.lit(1)).alias("n")
+        ).toArrow()
+        counts = np.zeros(BUCKETS, np.int64)
+        counts[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
+        return counts
+
+    def _links(self, shard_rows: int) -> DataFrame:
+        held = self.sets.sparkSession.sparkContext.broadcast(self._counts())
+        threshold = self.threshold
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _prefixes(threshold, held.value, shard_rows)(batches)
+
+        prints = ", ".join(f"{c} bigint" for c in PRINTS)
         rows = self.sets.mapInArrow(
-            _prefixes(self.threshold, common, blocks),
-            "shard bigint, block_a int, block_b int, side int, id binary, print bigint, n int",
+            prefixes, f"shard bigint, block_a int, block_b int, side int, id binary, {prints}, n int, rest int"
         )
         keys = ["shard", "block_a", "block_b"]
         shards = rows.repartition(*keys).sortWithinPartitions(*keys)
-        near = shards.mapInArrow(_search(self.threshold, radius_of(self.threshold)), "a binary, b binary")
+        near = shards.mapInArrow(_search(threshold, radius_of(threshold)), "a binary, b binary")
         pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
             self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
