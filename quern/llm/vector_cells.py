@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows that the reduction, the pivots and the codebooks are fitted on.
 SAMPLE = 8_192
 #: Wanted mean number of vectors at home in a cell, and the bounds of the number of cells.
-CELL_ROWS = 600
+CELL_ROWS = 1_000
 MIN_CELLS, MAX_CELLS = 8, 2_048
 REDUCED = 96
 #: Expected rows of a group beyond which its rows are split into blocks that meet pairwise.

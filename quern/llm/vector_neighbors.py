@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells
 
-PROBES = 3
+PROBES = 12
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
 #: Codebooks are fitted on this many rows of the sample.
 BOOK_SAMPLE = 4_096
 #: Best estimates per query and cell that are scored exactly.
-RERANK = 128
+RERANK = 256
 BLOCK = 256
 SEED = 20_240_302
 
