@@ -114,14 +114,12 @@ class Cells:
 
 
 def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, overlap: int) -> Cells | None:
-    """Fit on at most ``SAMPLE`` rows, taken by hash of the row's content so that the same table gives the same cells.
-    None where no vector is readable."""
+    """Fit on at most ``SAMPLE`` rows, drawn with a fixed seed and whatever their content, so that copies of one vector
+    can't fill the sample beyond their share. None where no vector is readable."""
     n = vectors.count()
     share = min(1.0, 1.25 * SAMPLE / max(n, 1))
     some = vectors.select(vector).where(F.size(vector) == scaling.width)
-    if share < 1:
-        some = some.where(F.pmod(F.xxhash64(vector), F.lit(1 << 20)) < int(share * (1 << 20)))
-    lists = some.limit(2 * SAMPLE).toArrow().column(vector)
+    lists = (some.sample(share, SEED) if share < 1 else some).toArrow().column(vector)
     rng = np.random.default_rng(SEED)
     _, sample = scaling.units(lists) if len(lists) else ([], np.zeros((0, scaling.width), np.float32))
     if not len(sample):
