@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.vector_cells import Scaling, scaling_of
-from quern.llm.vector_clusters import vector_clusters
+from quern.llm.vector_clusters import cluster_medoids, vector_clusters
 from quern.llm.vector_neighbors import nearest_neighbors
 from quern.sources.tables import table, track_vectors
 
@@ -27,6 +27,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.select("cluster_id", F.col("id").alias("track_id"))
 
 
+def p2_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and three most typical tracks of every cluster."""
+    vectors, scaling = track_vectors(spark, sf_dir), _scaling(spark, sf_dir)
+    clusters = vector_clusters(vectors, "track_id", "feature", scaling, THRESHOLD, min_size=3)
+    found = cluster_medoids(vectors, "track_id", "feature", scaling, clusters)
+    return found.withColumn("mean_similarity", F.round("mean_similarity", 4))
+
+
 def known_track_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the tracks that occur in ``tracks``. The vectors are not shuffled while the ids are few."""
     ids = table(spark, sf_dir, "tracks").select("track_id").where("track_id is not null")
@@ -47,5 +55,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_neighbors": p4_neighbors}
+QUERIES = {"p2_found": p2_found, "p2_medoids": p2_medoids, "p4_found": p4_found, "p4_neighbors": p4_neighbors}
 ORACLE: dict[str, str] = {}

@@ -1,4 +1,4 @@
-"""Similarity clusters of vectors.
+"""Similarity clusters of vectors and their medoids.
 
 Density clustering with a density threshold of one neighbour: two vectors are linked where their cosine reaches the
 threshold, and a cluster is a largest set of vectors linked directly or through others. Cells of the reduced space
@@ -9,9 +9,11 @@ links are folded into labels block by block and never listed, so a dense cell co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.vector_cells import Cell, Cells, Scaling, assign, cells_of, fit_cells
@@ -91,3 +93,67 @@ def vector_clusters(
     found = found.select(F.coalesce("component", "root").alias("cluster_id"), "id")
     sizes = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return skew_join(found, sizes, "cluster_id").select("cluster_id", "id", "size")
+
+
+def _partial_sums(scaling: Scaling):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of unit vectors per cluster of a partition; flushed where many clusters gather."""
+        held: dict[int, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            sums = [held[k].tolist() for k in held]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["cluster_id", "part"])
+
+        for batch in batches:
+            rows, units = scaling.units(batch.column("v"))
+            cluster = batch.column("cluster_id").to_numpy()[rows]
+            order = np.argsort(cluster, kind="stable")
+            names, begin = np.unique(cluster[order], return_index=True)
+            if len(names):
+                for k, total in zip(names.tolist(), np.add.reduceat(units[order].astype(np.float64), begin, axis=0), strict=True):
+                    held[k] = held[k] + total if k in held else total
+            if len(held) > 4_096:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    return run
+
+
+def cluster_medoids(
+    vectors: DataFrame, row_id: str, vector: str, scaling: Scaling, clusters: DataFrame, representatives: int = 3
+) -> DataFrame:
+    """``(cluster_id, size, rank, id, mean_similarity)``: the ``representatives`` most typical members of each cluster of
+    ``clusters`` (``cluster_id, id, size``), by their mean cosine to all members.
+
+    The sum of the cosines of a vector to all members is its product with the sum of the members' unit vectors, so the
+    medoid is found exactly without comparing pairs. Of repeated ids the smallest vector counts; ties go by the id.
+    """
+    named = clusters.select(F.col("id").alias("i"), "cluster_id", "size")
+    once = vectors.where(F.col(row_id).isNotNull() & (F.size(vector) == scaling.width)).select(
+        F.col(row_id).cast("bigint").alias("i"), F.col(vector).cast("array<float>").alias("v")
+    )
+    rows = cut_lineage(once.join(named, "i").groupBy("i", "cluster_id", "size").agg(F.min("v").alias("v")))
+    parts = rows.select("cluster_id", "v").mapInArrow(_partial_sums(scaling), "cluster_id bigint, part array<double>")
+    # One row per cluster and task reaches the second sum.
+    sums = parts.groupBy("cluster_id").applyInArrow(_add_up, "cluster_id bigint, total array<double>")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, units = scaling.units(batch.column("v"))
+            whole = batch.column("total").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            mean = (units * whole).sum(axis=1) / batch.column("size").take(pa.array(at)).to_numpy()
+            taken = [batch.column(c).take(pa.array(at)) for c in ("cluster_id", "size", "i")]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(mean)], names=["cluster_id", "size", "id", "mean_similarity"])
+
+    scored = skew_join(rows, sums, "cluster_id").mapInArrow(score, "cluster_id bigint, size bigint, id bigint, mean_similarity double")
+    order = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("mean_similarity", 6)), "id")
+    # Ranked within partitions of the members first by Spark's group limit, so a large cluster is not sorted whole.
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= representatives)
+
+
+def _add_up(group: pa.Table) -> pa.Table:
+    width = len(group.column("part")[0])
+    whole = group.column("part").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).sum(axis=0)
+    return pa.table({"cluster_id": group.column("cluster_id").slice(0, 1), "total": pa.array([whole.tolist()], pa.list_(pa.float64()))})

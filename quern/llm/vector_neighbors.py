@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells
 
-PROBES = 8
+PROBES = 10
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
 #: Codebooks are fitted on this many rows of the sample.
 BOOK_SAMPLE = 4_096
