@@ -62,12 +62,13 @@ def eigengap(values: np.ndarray) -> int:
     return int(peaks[0] if len(peaks) else np.argmax(gaps) if len(gaps) else 0) + 1
 
 
-def spectral_clusters(graph: DataFrame, k: int | None = None, seed: int = 1) -> DataFrame:
-    """``(node, cluster)`` by k-means on the eigenvectors 1..k of the normalised Laplacian; ``k`` by the eigengap unless
-    given. For graphs of at most ``MAX_DENSE_NODES`` nodes."""
+def spectral_clusters(graph: DataFrame, k: int | None = None, seed: int = 1, n_vectors: int | None = None) -> DataFrame:
+    """``(node, cluster)`` by k-means on eigenvectors of the normalised Laplacian, from the second one on: ``n_vectors``
+    columns, by default k - 1, as the first one is constant. ``k`` by the eigengap unless given. For graphs of at most
+    ``MAX_DENSE_NODES`` nodes."""
     nodes, values, vectors = laplacian_spectrum(graph)
     k = max(2, k or eigengap(values))
-    rows = [(n, v.tolist()) for n, v in zip(nodes, vectors[:, 1 : k + 1], strict=True)]
+    rows = [(n, v.tolist()) for n, v in zip(nodes, vectors[:, 1 : 1 + (n_vectors or k - 1)], strict=True)]
     spark = graph.sparkSession
     points = spark.createDataFrame(rows, "node bigint, v array<double>").withColumn("features", array_to_vector("v"))
     model = KMeans(k=k, seed=seed).fit(points)
