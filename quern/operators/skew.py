@@ -94,4 +94,4 @@ def skew_join(
         spread = hot.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
         copies = hot_right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = spread.join(copies, [key, "_salt"], how).drop("_salt")
-    return rest.join(right.hint("shuffle_hash"), key, how).unionByName(joined)
+    return rest.join(right, key, how).unionByName(joined)
