@@ -44,22 +44,27 @@ def portable_hash(s: Column) -> Column:
 
 
 def signature(hashes: Column, permutations: int) -> Column:
-    """Least hash of each member of the family over the set; null elements for an empty set, null for null."""
+    """Least hash of each member of the family over the set; null elements for an empty set, null for null. The family
+    is a nested transform, so the plan stays as small for many permutations as for one."""
+    numbers = F.sequence(F.lit(0), F.lit(permutations - 1)).cast("array<bigint>")
 
-    def least(h: Column, a: int, b: int) -> Column:
-        return F.array_min(F.transform(h, lambda x: (x * a + b) % PRIME))
+    def member(i: Column) -> Column:
+        a = F.lit(1) + (i * 1_103_515_245 + 12_345) % (PRIME - 1)
+        return F.struct(a.alias("a"), ((i * 69_069 + 1) % PRIME).alias("b"))
 
     def of(h: Column) -> Column:
-        return F.array(*[least(h, a, b) for a, b in coefficients(permutations)])
+        return F.transform(
+            F.transform(numbers, member), lambda f: F.array_min(F.transform(h, lambda x: (x * f["a"] + f["b"]) % PRIME))
+        )
 
-    return let(hashes, of)
+    return F.when(hashes.isNotNull(), let(hashes, of))
 
 
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
     """One key per band: the band's number and its ``rows`` values joined, as text."""
-    return F.array(
-        *[
-            F.concat_ws("|", F.lit(str(b)), *[F.get(signature, F.lit(b * rows + r)).cast("string") for r in range(rows)])
-            for b in range(bands)
-        ]
-    )
+
+    def key(band: Column) -> Column:
+        values = F.slice(signature, band * rows + 1, F.lit(rows)).cast("array<string>")
+        return F.concat(band.cast("string"), F.lit("|"), F.array_join(values, "|"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,15 @@ MIN_STD_LIFT = 0.2
 
 
 def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket_items(condition_items(spark, sf_dir), "patient", "code")
+    """Distinct (patient, code), kept for the levels that are all built from it."""
+    return basket_items(condition_items(spark, sf_dir), "patient", "code").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _levels(spark: SparkSession, sf_dir: str, k: int) -> list[DataFrame]:
     b = _baskets(spark, sf_dir)
-    out = [frequent_items(b, SUPPORT)]
+    out = [frequent_items(b, SUPPORT).persist(StorageLevel.MEMORY_AND_DISK)]
     if k >= 2:
-        out.append(frequent_pairs(b, SUPPORT, out[0]))
+        out.append(frequent_pairs(b, SUPPORT, out[0]).persist(StorageLevel.MEMORY_AND_DISK))
     if k >= 3:
         out.append(frequent_triplets(b, SUPPORT, out[0], out[1]))
     return out

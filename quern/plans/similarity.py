@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapse(_sets(spark, sf_dir))[0]
+    """Representatives, kept for the several uses within a query."""
+    return collapse(_sets(spark, sf_dir))[0].persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
