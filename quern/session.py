@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recomputation of what led to them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast of an object with the code of its class, so that executors need not have the package. For objects of
+    bounded size only."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held: Broadcast) -> object:
+    """The object of :func:`shared`, in a task."""
+    return cloudpickle.loads(held.value)
