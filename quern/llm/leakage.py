@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import word_hashes, words
+from quern.session import opened, shared
 
 #: Item windows held by each task in one pass: 16 bytes a window and repetition.
 MAX_ITEM_WINDOWS = 2_000_000
@@ -231,10 +232,10 @@ def leaked_items(
             [(r["i"], np.array(r["h"], np.int64)) for r in part.collect()], window, max_edits, samples, repetitions
         )
         # A broadcast is sent once per executor and not once per task.
-        held = spark.sparkContext.broadcast(index)
+        held = shared(spark, index)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
+            index = opened(held)
             for batch in batches:
                 tokens, lengths = _arrays(batch.column("h"))
                 d, i = index.leaks(tokens, lengths)

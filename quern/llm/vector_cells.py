@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import opened, shared
+
 #: Rows that the reduction, the pivots and the codebooks are fitted on.
 SAMPLE = 8_192
 #: Wanted mean number of vectors at home in a cell, and the bounds of the number of cells.
@@ -149,10 +151,10 @@ def assign(vectors: DataFrame, row_id: str, vector: str, cells: Cells) -> DataFr
     tasks (j, i), so that every left row meets every right row of the group exactly once.
     """
     sent = Cells(cells.scaling, cells.directions, cells.pivots, cells.group, cells.blocks, cells.overlap, cells.sample[:0])
-    held = vectors.sparkSession.sparkContext.broadcast(sent)
+    held = shared(vectors.sparkSession, sent)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
+        c = opened(held)
         for batch in batches:
             rows, units = c.scaling.units(batch.column(1))
             if not len(rows):

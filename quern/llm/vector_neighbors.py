@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells
+from quern.session import opened, shared
 
 PROBES = 10
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
@@ -152,10 +153,10 @@ def nearest_neighbors(
     coder = fit_books(cells.sample)
     spread = assign(rows, row_id, vector, cells)
     cells.sample = cells.sample[:0]
-    held = spark.sparkContext.broadcast((cells, coder))
+    held = shared(spark, (cells, coder))
 
     def run(group: pa.Table) -> pa.Table:
-        cells, coder = held.value
+        cells, coder = opened(held)
         parts = [search_cell(c, coder, k, threshold, rerank) for c in cells_of(group, cells)]
         a, b, cos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
         return pa.table(
