@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,6 @@ GROUP_CONTAINERS = 64
 TIERS = 6
 
 
-@lru_cache(maxsize=2)
 def _encoding(ranks: bytes):
     import tiktoken
 
