@@ -6,6 +6,8 @@ hot cluster is reduced before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -88,6 +90,29 @@ def nearest_center(points: DataFrame, centers: list[tuple[int, list[float]]]) ->
     return best.select(*points.columns, "_best.center", "_best.distance")
 
 
+def mahalanobis_to_centers(points: DataFrame, centers: list[tuple[int, list[float]]]) -> DataFrame:
+    """``(id, center, distance)`` of the nearest center under the pseudo-inverse of the centers' own covariance. The
+    matrix is as large as the vectors are wide, whatever the number of points; points are never shuffled."""
+    names = np.array([i for i, _ in centers])
+    at = np.array([c for _, c in centers], float)
+    inverse = np.linalg.pinv(np.atleast_2d(np.cov(at, rowvar=False)))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            square = np.stack([np.einsum("ij,ij->i", (x - c) @ inverse, x - c) for c in at], axis=1)
+            best = np.argmin(square, axis=1)
+            distance = np.sqrt(np.maximum(square[np.arange(len(x)), best], 0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(names[best].astype(np.int32)), pa.array(distance)], names=["id", "center", "distance"]
+            )
+
+    kind = points.schema["id"].dataType.simpleString()
+    return points.select("id", "vector").mapInArrow(nearest, f"id {kind}, center int, distance double")
+
+
 def diameters(points: DataFrame, cluster: str, block: int = DIAMETER_BLOCK) -> DataFrame:
     """``(cluster, diameter)``: the exact largest distance between two members.
 

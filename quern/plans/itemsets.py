@@ -100,6 +100,44 @@ def report_itemsets_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_width_lines(shown, {"Code": 42, "Conditions": 120, "Count": 15}, [F.desc("Count"), F.col("Code")])
 
 
+def _top_report(spark: SparkSession, sf_dir: str, k: int, widths: tuple[int, int]) -> DataFrame:
+    """Codes, descriptions and support of the ten most frequent itemsets of ``k`` items, side by side."""
+    top, known = top_itemsets(_levels(spark, sf_dir, k)[k - 1]), _descriptions(spark, sf_dir)
+    names = [f"item{i}" for i in range(1, k + 1)]
+    for n in names:
+        top = top.join(known.select(F.col("code").alias(n), F.col("description").alias(f"{n}_text")), n, "left")
+    columns = {n: widths[0] for n in names} | {f"{n}_text": widths[1] for n in names} | {"support": 15}
+    return fixed_width_lines(top.select(*columns), columns, [F.desc("support"), *[F.col(n) for n in names]])
+
+
+def report_pairs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_report(spark, sf_dir, 2, (14, 60))
+
+
+def report_triplets_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top_report(spark, sf_dir, 3, (14, 40))
+
+
+def _rule_report(spark: SparkSession, sf_dir: str, rules: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Rules with the descriptions of their codes."""
+    known = _descriptions(spark, sf_dir)
+    ordered = rules.select(*keys, *[F.format_string("%.6f", F.col(m)).alias(m) for m in METRICS])
+    for k in keys:
+        ordered = ordered.join(known.select(F.col("code").alias(k), F.col("description").alias(f"{k}_text")), k, "left")
+    columns = {f"{k}_text": width for k in keys} | {m: 20 for m in ("std_lift", "lift", "confidence", "interest")}
+    order = [F.col("std_lift").cast("double").desc(), *[F.col(k) for k in keys]]
+    return fixed_width_lines(ordered, columns, order)
+
+
+def report_rules_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_report(spark, sf_dir, rules_filtered_sorted(spark, sf_dir), ["x", "y"], 80)
+
+
+def report_xyz_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = _rounded(select_rules(rules_xyz(*_levels(spark, sf_dir, 3)), MIN_STD_LIFT))
+    return _rule_report(spark, sf_dir, rules, ["x", "y", "z"], 80)
+
+
 def report_rules_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rules_filtered_sorted(spark, sf_dir)
     shown = rules.select(
@@ -116,6 +154,7 @@ QUERIES = {
     for f in (
         basket_distinct, itemsets_k1, itemsets_k2, itemsets_k3, itemsets_top10, assoc_rules_xy, assoc_rules_xy_baskets,
         assoc_rules_xyz, rules_filtered_sorted, report_itemsets_text, report_rules_text,
+        report_pairs_text, report_triplets_text, report_rules_described, report_xyz_described,
     )
 }
 
@@ -156,7 +195,41 @@ _XYZ = """select x, y, z, r.support, p.support as sxy, k.support as sz from (
 _RULES = _rule_sql(_XY, "x, y", "sx", "(sx / t1)", "(sy / t1)", "t2")
 _SORTED = f"select * from ({_RULES}) where std_lift >= {MIN_STD_LIFT}"
 
+_NAMES = "d as (select c as code, min(description) as t from c where c is not null group by c)"
+
+
+def _pad(parts: list[tuple[str, int]]) -> str:
+    """A longer value is not cut."""
+    return "rtrim(" + " || ".join(f"coalesce({c}, '') || repeat(' ', greatest(0, {w} - length(coalesce({c}, ''))))" for c, w in parts) + ")"
+
+
+def _top_sql(k: int, widths: tuple[int, int]) -> str:
+    items = [f"item{i}" for i in range(1, k + 1)]
+    joins = " ".join(f"left join d d{i} on d{i}.code = item{i}" for i in range(1, k + 1))
+    texts = ", ".join(f"d{i}.t as item{i}_text" for i in range(1, k + 1))
+    line = _pad([(f"{i}::varchar", widths[0]) for i in items] + [(f"{i}_text", widths[1]) for i in items] + [("support::varchar", 15)])
+    head = _pad([(f"'{i}'", widths[0]) for i in items] + [(f"'{i}_text'", widths[1]) for i in items] + [("'support'", 15)])
+    order = ", ".join(["support desc", *items])
+    return f"""{_BASE}, {_NAMES},
+        r as (select {", ".join(items)}, support, {texts} from (select * from l{k} order by {order} limit 10) {joins})
+        select row_number() over (order by {order}) as line_no, {line} as line from r union all select 0, {head}"""
+
+
+def _described_sql(rules: str, keys: list[str]) -> str:
+    joins = " ".join(f"left join d d{k} on d{k}.code = {k}" for k in keys)
+    order = ("std_lift", "lift", "confidence", "interest")
+    line = _pad([(f"d{k}.t", 80) for k in keys] + [(f"printf('%.6f', {m})", 20) for m in order])
+    head = _pad([(f"'{k}_text'", 80) for k in keys] + [(f"'{m}'", 20) for m in order])
+    return f"""{_BASE}, {_NAMES}, s as (select * from ({rules}) where std_lift >= {MIN_STD_LIFT})
+        select row_number() over (order by std_lift desc, {", ".join(keys)}) as line_no, {line} as line from s {joins}
+        union all select 0, {head}"""
+
+
 ORACLE = {
+    "report_pairs_text": _top_sql(2, (14, 60)),
+    "report_triplets_text": _top_sql(3, (14, 40)),
+    "report_rules_described": _described_sql(_RULES, ["x", "y"]),
+    "report_xyz_described": _described_sql(_rule_sql(_XYZ, "x, y, z", "sxy", "(sxy / t2)", "(sz / t1)", "t3"), ["x", "y", "z"]),
     "basket_distinct": f"{_BASE} select n_items, count(*) as n_baskets from (select o, count(*) as n_items from b group by o) group by 1",
     "itemsets_k1": f"{_BASE} select * from l1",
     "itemsets_k2": f"{_BASE} select * from l2",

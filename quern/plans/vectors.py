@@ -12,6 +12,7 @@ from quern.operators.vectors import (
     cluster_metrics,
     diameters,
     distance_to_center,
+    mahalanobis_to_centers,
     mean_and_deviation,
     nearest_center,
     standardised,
@@ -72,6 +73,13 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "center", F.round("distance", 4).alias("distance"))
 
 
+def nearest_centroid_full_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _embeddings(spark, sf_dir)
+    means = mean_and_deviation(summaries(points, "label")).orderBy("cluster").collect()
+    found = mahalanobis_to_centers(points, [(r["cluster"], r["mean"]) for r in means])
+    return found.select(F.col("id").alias("vec_id"), "center", F.round("distance", 4).alias("distance"))
+
+
 def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cluster_metrics(_embeddings(spark, sf_dir), "label")
     return rows.select(F.col("cluster").alias("label"), "size", *[F.round(c, 4).alias(c) for c in ("radius", "diameter", "density")])
@@ -119,7 +127,7 @@ def ward_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        centroids, feature_statistics, standardised_norms, center_distances, nearest_centroid, label_metrics,
+        centroids, feature_statistics, standardised_norms, center_distances, nearest_centroid, nearest_centroid_full_covariance, label_metrics,
         top_genre_per_subset, bfr_summaries, bfr_assignments, bfr_top_genre, ward_metrics, ward_elbow,
     )
 }

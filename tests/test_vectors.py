@@ -86,3 +86,17 @@ def test_row_helpers(spark):
     v = spark.createDataFrame(list(enumerate([1.0, 3.0, 2.0, 5.0, 4.0])), "i int, v double")
     assert [r["i"] for r in local_maxima(v, "i", "v").collect()] == [1, 3]
     assert [r["diff"] for r in differences(v, "i", "v").orderBy("i").collect()] == [2.0, -1.0, 3.0, -1.0, None]
+
+
+def test_distance_under_the_centers_covariance(spark):
+    from quern.operators.vectors import mahalanobis_to_centers
+
+    rng = np.random.default_rng(4)
+    centers = [(i, c.tolist()) for i, c in enumerate(rng.normal(size=(4, 3)))]
+    x = rng.normal(size=(20, 3))
+    at = np.array([c for _, c in centers])
+    inverse = np.linalg.pinv(np.cov(at, rowvar=False))
+    got = {r["id"]: (r["center"], r["distance"]) for r in mahalanobis_to_centers(points(spark, [(i, v, 0) for i, v in enumerate(x)]), centers).collect()}
+    for i, v in enumerate(x):
+        d = [np.sqrt((v - c) @ inverse @ (v - c)) for c in at]
+        assert got[i][0] == int(np.argmin(d)) and got[i][1] == pytest.approx(min(d))
