@@ -31,13 +31,19 @@ STOP_WORDS = (
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash sets of the articles, kept for the several uses within a query."""
     news = table(spark, sf_dir, "covid_news_full").select("tweet_id", "text")
-    return shingle_sets(news, "tweet_id", "text", K, STOP_WORDS)
+    return shingle_sets(news, "tweet_id", "text", K, STOP_WORDS).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Representatives, kept for the several uses within a query, and members."""
+    reps, members = collapse(_sets(spark, sf_dir))
+    return reps.persist(StorageLevel.MEMORY_AND_DISK), members
 
 
 def _reps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Representatives, kept for the several uses within a query."""
-    return collapse(_sets(spark, sf_dir))[0].persist(StorageLevel.MEMORY_AND_DISK)
+    return _classes(spark, sf_dir)[0]
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def similar_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_doc_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each article with its class of equal texts and the number of classes that are similar to it."""
-    reps, members = collapse(_sets(spark, sf_dir))
+    reps, members = _classes(spark, sf_dir)
     links = similar_to(jaccard(_candidates(reps), reps), SIMILAR).groupBy(F.col("id").alias("rep")).agg(
         F.count(F.lit(1)).alias("n_similar")
     )

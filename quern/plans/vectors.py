@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One vector per track: a repeated track has the same vector."""
+    """One vector per track: a repeated track has the same vector. Kept for the passes of the clusterings."""
     rows = clean_vectors(track_vectors(spark, sf_dir), "track_id", "feature", FEATURES)
-    return rows.groupBy("id").agg(F.first("vector").alias("vector"))
+    return rows.groupBy("id").agg(F.first("vector").alias("vector")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _by_place(df: DataFrame, key: str, *columns: str) -> DataFrame:
