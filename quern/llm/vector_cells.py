@@ -96,6 +96,30 @@ def spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: in
     return pivots
 
 
+def split_large(x: np.ndarray, pivots: np.ndarray, most: float, rng: np.random.Generator) -> np.ndarray:
+    """Pivots of which none is the nearest to more than ``most`` rows, as far as the rows of a cell differ: larger cells
+    are halved again and again."""
+    home = np.argmax(x @ pivots.T, axis=1)
+    done: list[np.ndarray] = []
+    waiting = [np.flatnonzero(home == c) for c in range(len(pivots))]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) > most:
+            halves = spherical_kmeans(x[rows], 2, rng)
+            side = np.argmax(x[rows] @ halves.T, axis=1)
+            if 0 < side.sum() < len(rows):
+                waiting += [rows[side == 0], rows[side == 1]]
+                continue
+        if len(rows):
+            done.append(unit_sum(x[rows]))
+    return np.stack(done)
+
+
+def unit_sum(x: np.ndarray) -> np.ndarray:
+    total = x.sum(axis=0)
+    return total / max(float(np.linalg.norm(total)), 1e-12)
+
+
 @dataclass
 class Cells:
     scaling: Scaling
@@ -132,7 +156,7 @@ def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, overlap: int) -
     y = sample @ directions
     y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     k = int(np.clip(n / CELL_ROWS, MIN_CELLS, MAX_CELLS))
-    pivots = spherical_kmeans(y, k, rng)
+    pivots = split_large(y, spherical_kmeans(y, k, rng), max(8.0, 1.5 * len(y) / k), rng)
     tops = spherical_kmeans(pivots, max(1, len(pivots) // 8), rng)
     group = np.argmax(pivots @ tops.T, axis=1)
     cells = Cells(scaling, directions, pivots, group, np.ones(len(tops), int), overlap, sample)

@@ -2,8 +2,10 @@
 
 Vectors are coded as a sum of one full-dimensional codeword of each codebook. The codebooks are fitted on the bounded
 sample one after another, each on what the former left over; a vector's code is found by beam search over all
-codebooks. Its cosine to a query is estimated by adding one table entry per codebook and dividing by the stored norm
-of the coded vector. The best estimates are scored exactly.
+codebooks. The cosine to a query is estimated by adding one table entry per codebook and dividing by a stored number,
+the product of the vector with its code; this is unbiased for a query in any direction, and the part of the code that
+is perpendicular to the vector, the stored deviation, tells how far the estimate may be off. A vector is scored exactly
+unless its estimate, ``DEVIATIONS`` above, stays below the threshold or below what the k-th best reaches at least.
 
 The codes are searched cell by cell (:mod:`quern.llm.vector_cells`): a vector is stored in its home cell, and each
 vector asks in its nearest ``PROBES`` cells.
@@ -21,34 +23,36 @@ from pyspark.sql import functions as F
 from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells
 from quern.session import opened, shared
 
-PROBES = 10
+PROBES = 5
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
 #: Codebooks are fitted on this many rows of the sample.
 BOOK_SAMPLE = 4_096
-#: Best estimates per query and cell that are scored exactly.
-RERANK = 256
+DEVIATIONS = 3.0
 BLOCK = 256
 SEED = 20_240_302
 
 
 @dataclass
 class Additive:
-    """``words``: books x codewords x width. ``cross``: products of all pairs of codewords."""
+    """``words``: books x codewords x width. ``cross``: products of all pairs of codewords. ``freedom``: number of
+    directions that the sample's vectors effectively spread over."""
 
     words: np.ndarray
     cross: np.ndarray
+    freedom: float
 
     @classmethod
-    def of(cls, words: np.ndarray) -> Additive:
+    def of(cls, words: np.ndarray, freedom: float) -> Additive:
         flat = words.reshape(-1, words.shape[-1])
-        return cls(words, flat @ flat.T)
+        return cls(words, flat @ flat.T, freedom)
 
     def tables(self, x: np.ndarray) -> np.ndarray:
         """Products of each row with every codeword of every book."""
         return x @ self.words.reshape(-1, self.words.shape[-1]).T
 
-    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes, as places in the flat table of codewords, and the norms of the coded vectors."""
+    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of unit rows: codes, as places in the flat table of codewords, products of the vectors with their codes, and
+        norms of the codes."""
         books, k, _ = self.words.shape
         n, dots = len(x), self.tables(x)
         codes = np.zeros((n, 1, 0), np.int64)
@@ -67,8 +71,23 @@ class Additive:
             codes = np.concatenate([former, (best % k + m * k)[:, :, None]], axis=2)
         at = np.argmin(cost, axis=1)
         chosen = codes[np.arange(n), at]
-        square = np.take_along_axis(cost, at[:, None], axis=1)[:, 0] + 2 * np.take_along_axis(dots, chosen, axis=1).sum(1)
-        return chosen, np.sqrt(np.maximum(square, 1e-12))
+        product = np.take_along_axis(dots, chosen, axis=1).sum(axis=1)
+        square = np.take_along_axis(cost, at[:, None], axis=1)[:, 0] + 2 * product
+        return chosen, product, np.sqrt(np.maximum(square, 1e-12))
+
+    def candidates(self, lut: np.ndarray, stored: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, threshold: float) -> np.ndarray:
+        """Whether each stored vector may be among the ``k`` best of at least ``threshold`` of each query."""
+        codes, product, norm = stored
+        score = np.take(lut, codes[:, 0], axis=1)
+        for m in range(1, codes.shape[1]):
+            score += np.take(lut, codes[:, m], axis=1)
+        coded = product > 1e-3
+        safe = np.where(coded, product, 1)
+        score /= safe
+        off = DEVIATIONS * np.sqrt(np.maximum((norm / safe) ** 2 - 1, 0) / self.freedom)
+        off[~coded] = np.inf
+        least = np.partition(score - off, len(off) - k, axis=1)[:, len(off) - k] if len(off) > k else np.full(len(lut), -np.inf)
+        return score + off >= np.maximum(least, threshold)[:, None]
 
 
 def fit_books(sample: np.ndarray, books: int = BOOKS, codewords: int = CODEWORDS, rounds: int = 6) -> Additive:
@@ -87,30 +106,23 @@ def fit_books(sample: np.ndarray, books: int = BOOKS, codewords: int = CODEWORDS
             c[filled] = np.add.reduceat(left[order], begin, axis=0) / many[filled, None]
         left -= c[np.argmax(left @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)]
         words.append(c)
-    return Additive.of(np.stack(words).astype(np.float32))
+    spectrum = np.linalg.eigvalsh((sample[:BOOK_SAMPLE].T @ sample[:BOOK_SAMPLE]).astype(float))
+    return Additive.of(np.stack(words).astype(np.float32), float(spectrum.sum() ** 2 / (spectrum**2).sum()))
 
 
-def search_cell(cell: Cell, coder: Additive, k: int, threshold: float, rerank: int) -> tuple[np.ndarray, ...]:
+def search_cell(cell: Cell, coder: Additive, k: int, threshold: float) -> tuple[np.ndarray, ...]:
     """(query id, other id, cosine) of the ``k`` best others of each left row among the right rows at home."""
     stored, asking = np.flatnonzero(cell.right & cell.home), np.flatnonzero(cell.left)
     out: list[tuple[np.ndarray, ...]] = []
     if not len(stored) or not len(asking):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     units, ids = cell.units[stored], cell.ids[stored]
-    codes, norms = coder.encode(units)
+    codes = coder.encode(units)
     for s in range(0, len(asking), BLOCK):
         rows = asking[s : s + BLOCK]
         q, mine = cell.units[rows], cell.ids[rows]
-        columns = np.arange(len(stored))
-        if len(stored) > rerank:
-            lut = coder.tables(q)
-            score = np.take(lut, codes[:, 0], axis=1)
-            for m in range(1, codes.shape[1]):
-                score += np.take(lut, codes[:, m], axis=1)
-            score /= norms
-            best = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
-            # One product scores the candidates of the whole block exactly.
-            columns = np.unique(best)
+        # The query itself is among the stored. One product scores the candidates of the whole block exactly.
+        columns = np.flatnonzero(coder.candidates(coder.tables(q), codes, k + 1, threshold).any(axis=0))
         exact = np.round((q @ units[columns].T).astype(np.float64), 6)
         exact[mine[:, None] == ids[columns]] = -2
         least = np.full(len(rows), threshold)
@@ -136,7 +148,6 @@ def nearest_neighbors(
     k: int = 5,
     threshold: float = -1.0,
     probes: int = PROBES,
-    rerank: int = RERANK,
 ) -> DataFrame:
     """``(id, other, similarity, rank)``: up to ``k`` other ids of each id, of those with a cosine of at least
     ``threshold``, the most similar first; equal cosines (to six digits) go by the smaller ``other``.
@@ -157,7 +168,7 @@ def nearest_neighbors(
 
     def run(group: pa.Table) -> pa.Table:
         cells, coder = opened(held)
-        parts = [search_cell(c, coder, k, threshold, rerank) for c in cells_of(group, cells)]
+        parts = [search_cell(c, coder, k, threshold) for c in cells_of(group, cells)]
         a, b, cos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
         return pa.table(
             {"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(cos, pa.float64())}

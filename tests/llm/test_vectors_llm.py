@@ -86,7 +86,7 @@ def test_neighbours_recall(spark, data, monkeypatch, split):
     if split:
         monkeypatch.setattr(cells, "GROUP_ROWS", 150)
     k = 5
-    got = nearest_neighbors(frame(spark, data, odd_rows(data)), "track", "v", scaling(), k, 0.75, rerank=40).collect()
+    got = nearest_neighbors(frame(spark, data, odd_rows(data)), "track", "v", scaling(), k, 0.75).collect()
     s = unit(data.astype(np.float32).astype(float))
     s = s @ s.T
     np.fill_diagonal(s, -1)
@@ -125,9 +125,10 @@ def test_beam_search_is_no_worse_than_greedy(data):
     flat = coder.words.reshape(-1, WIDTH)
 
     def error(beam):
-        codes, norms = coder.encode(x, beam)
+        codes, products, norms = coder.encode(x, beam)
         coded = flat[codes].sum(axis=1)
         assert np.allclose(np.linalg.norm(coded, axis=1), norms, atol=1e-3)
+        assert np.allclose((coded * x).sum(axis=1), products, atol=1e-3)
         return np.linalg.norm(x - coded, axis=1)
 
     assert error(8).mean() <= error(1).mean() + 1e-6
