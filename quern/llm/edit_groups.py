@@ -38,6 +38,8 @@ BUCKETS = 1 << 20
 #: Rows of a shard beyond which it is split into blocks.
 SHARD_ROWS = 8_192
 LEAF = 8
+#: Queries that go down a tree together: bounds the pairs that are held at once.
+QUERIES = 512
 SEED = 20_240_303
 
 
@@ -97,17 +99,20 @@ class BKTree:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def tree_pairs(prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place of ``left``, place of ``right``) at most ``radius`` apart. Equal fingerprints are one node."""
+def tree_pairs(prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place of ``left``, place of ``right``) at most ``radius`` apart, for ``QUERIES`` places of ``right`` at a
+    time. Equal fingerprints are one node."""
     distinct, node_of = np.unique(prints[left], axis=0, return_inverse=True)
     shuffled = np.random.default_rng(SEED).permutation(len(distinct))
-    tree = BKTree(np.concatenate([distinct, prints[right]]), shuffled)
-    node, query = tree.within(np.arange(len(right)) + len(distinct), radius)
     order = np.argsort(node_of.ravel(), kind="stable")
     many = np.bincount(node_of.ravel(), minlength=len(distinct))
-    begin, times = np.cumsum(many) - many, many[node]
-    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return left[order[np.repeat(begin[node], times) + offset]], right[np.repeat(query - len(distinct), times)]
+    begin = np.cumsum(many) - many
+    tree = BKTree(np.concatenate([distinct, prints[right]]), shuffled)
+    for s in range(0, len(right), QUERIES):
+        node, query = tree.within(np.arange(s, min(s + QUERIES, len(right))) + len(distinct), radius)
+        times = many[node]
+        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        yield left[order[np.repeat(begin[node], times) + offset]], right[np.repeat(query - len(distinct), times)]
 
 
 def _prefixes(threshold: float, counts: np.ndarray, shard_rows: int):
@@ -185,27 +190,28 @@ def _search(threshold: float, radius: int):
             begin = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0)])
             many = np.diff(np.r_[begin, len(n)])
             shard = np.repeat(np.arange(len(begin)), many)
-            pairs = []
+            ids = table.column("id").combine_chunks()
+
+            def kept(a: np.ndarray, b: np.ndarray, prints=prints, n=n, rest=rest, ids=ids) -> pa.RecordBatch:
+                need = threshold / (1 + threshold) * (n[a].astype(float) + n[b]) - 1e-9
+                able = (1 + np.minimum(rest[a], rest[b]) >= need) & (np.minimum(n[a], n[b]) >= need)
+                a, b = a[able], b[able]
+                near = apart(prints[a], prints[b]) <= radius
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(a[near])), ids.take(pa.array(b[near]))], names=["a", "b"])
+
             leaf = np.flatnonzero((many[shard] <= LEAF) & (keys[1] == keys[2]))
             for step in range(1, LEAF):
                 a, b = leaf[:-step], leaf[step:]
                 same = shard[a] == shard[b]
-                pairs.append((a[same], b[same]))
+                yield kept(a[same], b[same])
             for k in np.flatnonzero((many > LEAF) | (keys[1, begin] != keys[2, begin])):
                 places = np.arange(begin[k], begin[k] + many[k])
                 if keys[1, begin[k]] == keys[2, begin[k]]:
-                    a, b = tree_pairs(prints, places, places, radius)
-                    pairs.append((a[a < b], b[a < b]))
+                    for a, b in tree_pairs(prints, places, places, radius):
+                        yield kept(a[a < b], b[a < b])
                 elif 0 < side[places].sum() < len(places):
-                    pairs.append(tree_pairs(prints, places[side[places] == 0], places[side[places] == 1], radius))
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            need = threshold / (1 + threshold) * (n[a].astype(float) + n[b]) - 1e-9
-            able = (1 + np.minimum(rest[a], rest[b]) >= need) & (np.minimum(n[a], n[b]) >= need)
-            a, b = a[able], b[able]
-            near = apart(prints[a], prints[b]) <= radius
-            ids = table.column("id").combine_chunks()
-            first, second = ids.take(pa.array(a[near])), ids.take(pa.array(b[near]))
-            yield pa.RecordBatch.from_arrays([first, second], names=["a", "b"])
+                    for a, b in tree_pairs(prints, places[side[places] == 0], places[side[places] == 1], radius):
+                        yield kept(a, b)
 
     return run
 
