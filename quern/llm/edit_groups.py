@@ -37,7 +37,7 @@ BITS = 64 * WORDS
 BUCKETS = 1 << 20
 #: Rows of a shard beyond which it is split into blocks.
 SHARD_ROWS = 8_192
-LEAF = 8
+LEAF = 16
 #: Queries that go down a tree together: bounds the pairs that are held at once.
 QUERIES = 512
 SEED = 20_240_303
