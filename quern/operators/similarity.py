@@ -60,16 +60,21 @@ def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def exact_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(id1, id2, similarity)`` of all pairs of at least ``threshold`` (above 0), by joining the sets' hashes: the
-    brute-force answer that :func:`candidate_pairs` approximates, for evaluation."""
-    h = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    """``(id1, id2, similarity)`` of all pairs of at least ``threshold`` (above 0): the truth that
+    :func:`candidate_pairs` approximates.
+
+    Two sets of n hashes that reach the threshold share one of their ``n - ceil(threshold * n) + 1`` smallest hashes, so
+    only these are joined, with sizes that can reach it, and the pairs are verified: no pair is lost, and far fewer are
+    formed than by a join on all hashes.
+    """
+    n = F.size("hashes")
+    first = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
+    h = sets.select("id", n.alias("n"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), first)).alias("h"))
     l, r = h.alias("l"), h.alias("r")
-    both = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.id") < F.col("r.id")))
-    common = both.groupBy(F.col("l.id").alias("id1"), F.col("r.id").alias("id2"), F.col("l.n").alias("n1"), F.col("r.n").alias("n2")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    share = F.col("c").cast("double") / (F.col("n1") + F.col("n2") - F.col("c"))
-    return common.select("id1", "id2", share.alias("similarity")).where(F.col("similarity") >= threshold)
+    able = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * F.lit(threshold) - 1e-9
+    met = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.id") < F.col("r.id")) & able)
+    pairs = met.select(F.col("l.id").alias("id1"), F.col("r.id").alias("id2")).distinct()
+    return jaccard(pairs, sets).where(F.col("similarity") >= threshold)
 
 
 def similar_to(verified: DataFrame, threshold: float) -> DataFrame:
