@@ -56,4 +56,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_medoids": p2_medoids, "p4_found": p4_found, "p4_neighbors": p4_neighbors}
-ORACLE: dict[str, str] = {}
+
+_VECTORS = r"""
+    with recursive t as (
+        select try_cast(nullif(regexp_extract(track_id, '^\s*(\d+)(?:\.0)?\s*$', 1), '') as bigint) as id, feature from features),
+    g as (select id, any_value(feature) as f from t where id is not null and len(feature) = 518
+          and len(list_filter(feature, lambda x: x is null or isnan(x) or isinf(x))) = 0 group by id),
+    k as (select list(center order by pos) as c, list(spread order by pos) as s from feature_columns),
+    z as (select id, list_transform(range(1, 519), lambda i: (f[i]::double - c[i]) / s[i]) as v from g, k)"""
+
+ORACLE = {
+    "p2_found": f"""{_VECTORS},
+        p as (select x.id as a, y.id as b from z x join z y on x.id < y.id where list_cosine_similarity(x.v, y.v) >= {THRESHOLD}),
+        e as (select a, b from p union all select b, a from p),
+        r as (select a as node, a as root from e group by a union select e.b, r.root from r join e on r.node = e.a where r.root < e.b),
+        c as (select node, min(root) as cluster_id from r group by node)
+        select cluster_id, node as track_id from c qualify count(*) over (partition by cluster_id) >= 3""",
+    "p4_found": f"""{_VECTORS},
+        q as (select * from z where id in (select track_id from tracks)),
+        p as (select x.id as a, y.id as b, round(list_cosine_similarity(x.v, y.v), 6) as s from q x join q y on x.id < y.id),
+        e as (select a, b, s from p where s >= {THRESHOLD} union all select b, a, s from p where s >= {THRESHOLD}),
+        n as (select a, b from e qualify row_number() over (partition by a order by s desc, b) <= 5)
+        select distinct least(a, b) as track_a, greatest(a, b) as track_b from n""",
+}
