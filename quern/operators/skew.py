@@ -51,7 +51,11 @@ def skew_aggregate(
     """
     keyed = _mark(df.where(F.col(key).isNotNull()), key, heavy_keys(df, key, min_share), "heavy")
     salt = F.when(F.col("heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)
-    first = keyed.withColumn("_salt", salt).groupBy(key, "heavy", "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+    # The mark is an aggregate and no grouping key: a filter on it stays above the shuffle, so that both branches read
+    # the same shuffled rows and the table is scanned once.
+    first = keyed.withColumn("_salt", salt).groupBy(key, "_salt").agg(
+        F.bool_or("heavy").alias("heavy"), *[c.alias(n) for n, c in partial.items()]
+    )
     heavy = first.where("heavy").groupBy(key, "heavy").agg(*[final[n](n).alias(n) for n in partial])
     return first.where("not heavy").drop("_salt").unionByName(heavy)
 

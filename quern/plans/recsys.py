@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.minhash import PRIME, coefficients
 from quern.operators.recsys import centered, item_candidates, item_similarity, mean_ratings, pivoted, predict
 from quern.sources.tables import table
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 MIN_SIMILARITY = 0.1
+LSH_BANDS, LSH_ROWS = 30, 3
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def ratings_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return item_candidates(_ratings(spark, sf_dir), 30, 3)
+    return item_candidates(_ratings(spark, sf_dir), LSH_BANDS, LSH_ROWS)
 
 
 def item_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,11 @@ ORACLE = {
         f"round(coalesce(max(value) filter (event_type = '{t}'), 0), 6) as {t}" for t in EVENT_TYPES
     ) + " from v where i is not null group by i",
     "ratings_centered": f"{_BASE} select u as user, i as item, round(r, 6) as rating, round(c, 6) as centered from c",
+    "item_lsh_candidates": f"""{_BASE},
+        f(k, a, b) as (values {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(coefficients(LSH_BANDS * LSH_ROWS)))}),
+        g as (select i, k, min((a * u + b) % {PRIME}) as v from r, f group by i, k),
+        h as (select i, k // {LSH_ROWS} as band, string_agg(v::varchar, '|' order by k) as key from g group by i, k // {LSH_ROWS})
+        select distinct x.i as id1, y.i as id2 from h x join h y on x.band = y.band and x.key = y.key and x.i < y.i""",
     "item_cosine": f"{_BASE} select i as item1, j as item2, round(s, 6) as similarity from s",
     "predict_missing": f"""{_BASE}
         select r.u as user, w.i as item, round(sum(s * r) / sum(abs(s)), 4) as prediction
