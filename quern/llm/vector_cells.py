@@ -1,6 +1,6 @@
 """Vectors in overlapping spatial cells of a reduced space.
 
-Shared by the clustering and the neighbour search. A bounded sample (``SAMPLE`` rows) gives the leading principal
+Shared by the clustering and the neighbour search. A bounded sample (at most ``MAX_SAMPLE`` rows) gives the leading principal
 directions of the unit vectors and, in the reduced space, the pivots of the cells (spherical k-means). Every vector has
 a home cell (its nearest pivot) and lies in the margin of the next nearest cells. Cells are bound into groups of
 neighbouring cells; a vector is sent once per group that holds one of its cells, not once per cell.
@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from quern.session import opened, shared
 
-#: Rows that the reduction, the pivots and the codebooks are fitted on.
-SAMPLE = 8_192
 #: Wanted mean number of vectors at home in a cell, and the bounds of the number of cells.
 CELL_ROWS = 1_000
-MIN_CELLS, MAX_CELLS = 8, 2_048
+MIN_CELLS, MAX_CELLS = 8, 16_384
+#: Rows that the reduction, the pivots and the codebooks are fitted on: eight a cell, between these bounds (the upper
+#: one is 136 MB of vectors on the driver, reached at eight million vectors).
+MIN_SAMPLE, MAX_SAMPLE = 8_192, 65_536
+#: Rows whose products with all pivots are held at once.
+BLOCK = 1_024
 REDUCED = 96
 #: Expected rows of a group beyond which its rows are split into blocks that meet pairwise.
 GROUP_ROWS = 40_000
@@ -81,11 +84,17 @@ def unpack(flat: np.ndarray, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Number of the pivot of the greatest product with each row."""
+    parts = [np.argmax(x[s : s + BLOCK] @ pivots.T, axis=1) for s in range(0, len(x), BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """``k`` unit pivots of the unit rows of ``x``; an emptied pivot restarts at a random row."""
     pivots = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        home = np.argmax(x @ pivots.T, axis=1)
+        home = nearest_pivot(x, pivots)
         order = np.argsort(home, kind="stable")
         begin = np.searchsorted(home[order], np.arange(len(pivots)))
         filled = np.flatnonzero(np.bincount(home, minlength=len(pivots)))
@@ -99,14 +108,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: in
 def split_large(x: np.ndarray, pivots: np.ndarray, most: float, rng: np.random.Generator) -> np.ndarray:
     """Pivots of which none is the nearest to more than ``most`` rows, as far as the rows of a cell differ: larger cells
     are halved again and again."""
-    home = np.argmax(x @ pivots.T, axis=1)
+    home = nearest_pivot(x, pivots)
     done: list[np.ndarray] = []
     waiting = [np.flatnonzero(home == c) for c in range(len(pivots))]
     while waiting:
         rows = waiting.pop()
         if len(rows) > most:
             halves = spherical_kmeans(x[rows], 2, rng)
-            side = np.argmax(x[rows] @ halves.T, axis=1)
+            side = nearest_pivot(x[rows], halves)
             if 0 < side.sum() < len(rows):
                 waiting += [rows[side == 0], rows[side == 1]]
                 continue
@@ -132,25 +141,27 @@ class Cells:
 
     def nearest(self, units: np.ndarray) -> np.ndarray:
         """The ``overlap`` nearest cells of each row, the home cell first."""
-        y = units @ self.directions
-        score = y @ self.pivots.T
-        t = min(self.overlap, score.shape[1])
-        best = np.argpartition(-score, t - 1, axis=1)[:, :t]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1), axis=1)
+        y, t, parts = units @ self.directions, min(self.overlap, len(self.pivots)), []
+        for s in range(0, len(y), BLOCK):
+            score = y[s : s + BLOCK] @ self.pivots.T
+            best = np.argpartition(-score, t - 1, axis=1)[:, :t]
+            parts.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1), axis=1))
+        return np.concatenate(parts)
 
 
 def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, overlap: int) -> Cells | None:
-    """Fit on at most ``SAMPLE`` rows, drawn with a fixed seed and whatever their content, so that copies of one vector
+    """Fit on at most ``MAX_SAMPLE`` rows, drawn with a fixed seed and whatever their content, so that copies of one vector
     can't fill the sample beyond their share. None where no vector is readable."""
     n = vectors.count()
-    share = min(1.0, 1.25 * SAMPLE / max(n, 1))
+    size = int(np.clip(8 * n / CELL_ROWS, MIN_SAMPLE, MAX_SAMPLE))
+    share = min(1.0, 1.25 * size / max(n, 1))
     some = vectors.select(vector).where(F.size(vector) == scaling.width)
     lists = (some.sample(share, SEED) if share < 1 else some).toArrow().column(vector)
     rng = np.random.default_rng(SEED)
-    _, sample = scaling.units(lists) if len(lists) else ([], np.zeros((0, scaling.width), np.float32))
+    sample = np.concatenate([np.zeros((0, scaling.width), np.float32), *(scaling.units(c)[1] for c in lists.chunks)])
     if not len(sample):
         return None
-    sample = sample[rng.permutation(len(sample))[:SAMPLE]]
+    sample = sample[rng.permutation(len(sample))[:size]]
     _, v = np.linalg.eigh((sample.T @ sample / len(sample)).astype(np.float64))
     directions = np.ascontiguousarray(v[:, ::-1][:, : min(REDUCED, scaling.width)], dtype=np.float32)
     y = sample @ directions
@@ -158,7 +169,7 @@ def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, overlap: int) -
     k = int(np.clip(n / CELL_ROWS, MIN_CELLS, MAX_CELLS))
     pivots = split_large(y, spherical_kmeans(y, k, rng), max(8.0, 1.5 * len(y) / k), rng)
     tops = spherical_kmeans(pivots, max(1, len(pivots) // 8), rng)
-    group = np.argmax(pivots @ tops.T, axis=1)
+    group = nearest_pivot(pivots, tops)
     cells = Cells(scaling, directions, pivots, group, np.ones(len(tops), int), overlap, sample)
     groups = [np.unique(x) for x in group[cells.nearest(sample)]]
     expected = np.bincount(np.concatenate(groups), minlength=len(tops)) * n / len(sample)
