@@ -1,9 +1,15 @@
 """Vectors in overlapping spatial cells of a reduced space.
 
 Shared by the clustering and the neighbour search. A bounded sample (at most ``MAX_SAMPLE`` rows) gives the leading principal
-directions of the unit vectors and, in the reduced space, the pivots of the cells (spherical k-means). Every vector has
-a home cell (its nearest pivot) and lies in the margin of the next nearest cells. Cells are bound into groups of
-neighbouring cells; a vector is sent once per group that holds one of its cells, not once per cell.
+directions of the unit vectors and, in the reduced space, the pivots of the cells (spherical k-means). The reduced space
+has one more axis, the length of what the directions leave over: its vectors are unit vectors again, and the angle
+between two of them is at most the angle between the whole vectors.
+
+Every vector has a home cell (its nearest pivot). The radius of a cell is the largest angle between its pivot and a
+vector at home, over all rows. A vector within an angle of ``reach`` of one at home in a cell is at most ``reach`` plus
+the radius from its pivot (triangle inequality), so it asks in all cells for which that holds: no pair within the reach
+is lost, however many cells that takes. Cells are bound into groups of neighbouring cells; a vector is sent once per
+group that holds one of its cells, not once per cell.
 
 Vectors travel as 16-bit integers with one scale per vector: half the bytes, and an error of about 3e-6 in a cosine.
 """
@@ -11,7 +17,7 @@ Vectors travel as 16-bit integers with one scale per vector: half the bytes, and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +35,13 @@ MIN_SAMPLE, MAX_SAMPLE = 8_192, 65_536
 #: Rows whose products with all pivots are held at once.
 BLOCK = 1_024
 REDUCED = 96
-#: Expected rows of a group beyond which its rows are split into blocks that meet pairwise.
+#: Cells of a group.
+GROUP_CELLS = 20
+#: Expected rows of a task of a group; beyond that the rows at home and the asking rows are split into blocks that meet
+#: pairwise.
 GROUP_ROWS = 40_000
+#: Angle by which rounded numbers and 16-bit integers may be off.
+SLACK = 2e-3
 SEED = 20_240_301
 
 
@@ -133,24 +144,53 @@ def unit_sum(x: np.ndarray) -> np.ndarray:
 class Cells:
     scaling: Scaling
     directions: np.ndarray  # width x reduced
-    pivots: np.ndarray  # cells x reduced
+    pivots: np.ndarray  # cells x (reduced + 1)
+    radius: np.ndarray  # of each cell
     group: np.ndarray  # group of each cell
-    blocks: np.ndarray  # blocks that the rows of each group are split into
-    overlap: int
+    blocks: np.ndarray  # groups x 2: blocks of the rows at home and of the asking rows
+    reach: float  # angle within which vectors must meet
+    once: bool  # whether one of two vectors of different homes asks, or both
     sample: np.ndarray  # unit vectors that all was fitted on; dropped before it is sent
 
-    def nearest(self, units: np.ndarray) -> np.ndarray:
-        """The ``overlap`` nearest cells of each row, the home cell first."""
-        y, t, parts = units @ self.directions, min(self.overlap, len(self.pivots)), []
-        for s in range(0, len(y), BLOCK):
-            score = y[s : s + BLOCK] @ self.pivots.T
-            best = np.argpartition(-score, t - 1, axis=1)[:, :t]
-            parts.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1), axis=1))
-        return np.concatenate(parts)
+    def reduced(self, units: np.ndarray) -> np.ndarray:
+        y = units @ self.directions
+        rest = np.sqrt(np.maximum(1 - (y * y).sum(axis=1, keepdims=True), 0))
+        y = np.concatenate([y, rest], axis=1)
+        return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+
+    def asked(self, reduced: np.ndarray, home: np.ndarray, cells: np.ndarray, slack: float) -> np.ndarray:
+        """Whether each row asks in each of ``cells``: those that may hold a vector within the reach, and its home."""
+        least = np.cos(np.minimum(self.radius[cells] + self.reach + slack, np.pi)).astype(np.float32)
+        near = reduced @ self.pivots[cells].T >= least
+        near |= self.radius[cells] + self.reach + slack >= np.pi
+        if self.once:
+            near &= (home[:, None] < cells) ^ ((home[:, None] + cells) % 2 == 1)
+        return near | (home[:, None] == cells)
+
+
+def radii(vectors: DataFrame, vector: str, cells: Cells) -> np.ndarray:
+    """The largest angle between each pivot and the vectors at home, over all rows."""
+    held = shared(vectors.sparkSession, cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = opened(held)
+        least = np.full(len(c.pivots), 2.0)
+        for batch in batches:
+            y = c.reduced(c.scaling.units(batch.column(0))[1])
+            home = nearest_pivot(y, c.pivots)
+            np.minimum.at(least, home, (y * c.pivots[home]).sum(axis=1, dtype=float))
+        cell = np.flatnonzero(least < 2)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(least[cell])], names=["cell", "least"])
+
+    rows = vectors.select(vector).mapInArrow(run, "cell int, least double").groupBy("cell").agg(F.min("least").alias("least"))
+    radius = np.zeros(len(cells.pivots))
+    for r in rows.collect():
+        radius[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
+    return radius
 
 
-def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, overlap: int) -> Cells | None:
-    """Fit on at most ``MAX_SAMPLE`` rows, drawn with a fixed seed and whatever their content, so that copies of one vector
+def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, threshold: float, once: bool = False) -> Cells | None:
+    """Cells in which all vectors of a cosine of at least ``threshold`` meet, ``once`` or in both homes. Fit on at most ``MAX_SAMPLE`` rows, drawn with a fixed seed and whatever their content, so that copies of one vector
     can't fill the sample beyond their share. None where no vector is readable."""
     n = vectors.count()
     size = int(np.clip(8 * n / CELL_ROWS, MIN_SAMPLE, MAX_SAMPLE))
@@ -164,81 +204,88 @@ def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, overlap: int) -
     sample = sample[rng.permutation(len(sample))[:size]]
     _, v = np.linalg.eigh((sample.T @ sample / len(sample)).astype(np.float64))
     directions = np.ascontiguousarray(v[:, ::-1][:, : min(REDUCED, scaling.width)], dtype=np.float32)
-    y = sample @ directions
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    # Rounded to six digits a cosine may reach the threshold from below.
+    reach = float(np.arccos(np.clip(threshold - 1e-6, -1, 1)))
+    cells = Cells(scaling, directions, np.zeros((0, 0)), np.zeros(0), np.zeros(0, int), np.zeros((0, 2), int), reach, once, sample[:0])
+    y = cells.reduced(sample)
     k = int(np.clip(n / CELL_ROWS, MIN_CELLS, MAX_CELLS))
     pivots = split_large(y, spherical_kmeans(y, k, rng), max(8.0, 1.5 * len(y) / k), rng)
-    tops = spherical_kmeans(pivots, max(1, len(pivots) // 8), rng)
-    group = nearest_pivot(pivots, tops)
-    cells = Cells(scaling, directions, pivots, group, np.ones(len(tops), int), overlap, sample)
-    groups = [np.unique(x) for x in group[cells.nearest(sample)]]
-    expected = np.bincount(np.concatenate(groups), minlength=len(tops)) * n / len(sample)
-    cells.blocks = np.maximum(1, np.ceil(expected / GROUP_ROWS).astype(int))
+    tops = spherical_kmeans(pivots, max(1, len(pivots) // GROUP_CELLS), rng)
+    cells.pivots, cells.group = pivots, nearest_pivot(pivots, tops)
+    cells.radius = radii(vectors, vector, cells)
+    home = nearest_pivot(y, pivots)
+    asking = np.zeros(len(tops))
+    for s in range(0, len(y), BLOCK):
+        near = cells.asked(y[s : s + BLOCK], home[s : s + BLOCK], np.arange(len(pivots)), 2 * SLACK)
+        asking += [near[:, cells.group == g].any(axis=1).sum() for g in range(len(tops))]
+    stored = np.bincount(cells.group[home], minlength=len(tops))
+    most = GROUP_ROWS / 2 * len(sample) / n
+    cells.blocks = np.maximum(1, np.ceil(np.stack([stored, asking], axis=1) / most).astype(int))
+    cells.sample = sample
     return cells
 
 
 def assign(vectors: DataFrame, row_id: str, vector: str, cells: Cells) -> DataFrame:
-    """``(grp, block_l, block_r int, id bigint, role int, cells binary, vec binary)``: one row per readable vector and
-    group of its cells. ``cells`` holds the vector's cells as int32, the home cell first, in every group's row.
+    """``(grp, block_l, block_r int, id bigint, role, home int, vec binary)``: one row per readable vector and group of the
+    cells that it asks in, its home's among them.
 
-    ``role`` is 1 for a left, 2 for a right row, 3 for both. In a group of one block all rows are both. In a group of
-    b blocks each pair of blocks is a task: a row of block i is a left row of the tasks (i, j) and a right row of the
-    tasks (j, i), so that every left row meets every right row of the group exactly once.
+    ``role`` is 1 for an asking row, 2 for a stored row, 3 for both. Only rows at home in the group are stored there. A
+    task is a pair of blocks, of the stored rows and of the asking rows: a stored row is sent to all tasks of its left
+    block, an asking row to all tasks of its right block, so every asking row meets every stored row exactly once.
     """
-    sent = Cells(cells.scaling, cells.directions, cells.pivots, cells.group, cells.blocks, cells.overlap, cells.sample[:0])
-    held = shared(vectors.sparkSession, sent)
+    held = shared(vectors.sparkSession, replace(cells, sample=cells.sample[:0]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = opened(held)
+        many = len(c.blocks)
+        order = np.argsort(c.group, kind="stable")
+        used, begin = np.unique(c.group[order], return_index=True)
         for batch in batches:
             rows, units = c.scaling.units(batch.column(1))
             if not len(rows):
                 continue
-            near = c.nearest(units).astype(np.int32)
-            groups = c.group[near]
-            first = np.ones_like(groups, bool)
-            for j in range(1, groups.shape[1]):
-                first[:, j] = (groups[:, :j] != groups[:, j : j + 1]).all(axis=1)
-            at, j = np.nonzero(first)
-            grp = groups[at, j]
-            left = np.zeros(len(at), int)
-            right = np.zeros(len(at), int)
-            role = np.full(len(at), 3)
-            if (c.blocks[grp] > 1).any():
-                at, grp, left, right, role = _blocks(at, grp, c.blocks[grp], batch.column(0).take(pa.array(rows[at])))
+            y = c.reduced(units)
+            home = nearest_pivot(y, c.pivots)
+            asks = np.zeros((len(y), many), bool)
+            for s in range(0, len(y), BLOCK):
+                near = c.asked(y[s : s + BLOCK], home[s : s + BLOCK], np.arange(len(c.pivots)), 2 * SLACK)
+                asks[s : s + BLOCK, used] = np.logical_or.reduceat(near[:, order], begin, axis=1)
+            at, grp = np.nonzero(asks)
+            at, grp, left, right, role = _blocks(at, grp, c.group[home[at]] == grp, c.blocks[grp], batch.column(0).take(pa.array(rows[at])))
             packed = pack(units)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array(x.astype(np.int32)) for x in (grp, left, right)),
                     batch.column(0).take(pa.array(rows[at])),
-                    pa.array(role.astype(np.int32)),
-                    _binary(near[at]),
+                    *(pa.array(x.astype(np.int32)) for x in (role, home[at])),
                     _binary(packed[at]),
                 ],
-                names=["grp", "block_l", "block_r", "id", "role", "cells", "vec"],
+                names=["grp", "block_l", "block_r", "id", "role", "home", "vec"],
             )
 
     rows = vectors.select(F.col(row_id).cast("bigint").alias("id"), vector)
-    return rows.mapInArrow(
-        spread, "grp int, block_l int, block_r int, id bigint, role int, cells binary, vec binary"
-    )
+    return rows.mapInArrow(spread, "grp int, block_l int, block_r int, id bigint, role int, home int, vec binary")
 
 
-def _blocks(at: np.ndarray, grp: np.ndarray, many: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, ...]:
-    """The rows' copies for all pairs of blocks of their groups."""
-    own = (ids.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    own = (own % many.astype(np.uint64)).astype(int)
-    row = np.repeat(np.arange(len(at)), many)
-    other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    same = other == own[row]
-    l_row, l_other = row, other
-    r_row, r_other = row[~same], other[~same]
+def _blocks(at: np.ndarray, grp: np.ndarray, at_home: np.ndarray, blocks: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, ...]:
+    """The rows' copies for the pairs of blocks of their groups."""
+    mixed = (ids.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+    own_l = ((mixed >> np.uint64(24)) % blocks[:, 0].astype(np.uint64)).astype(int)
+    own_r = ((mixed & np.uint64(0xFFFFFF)) % blocks[:, 1].astype(np.uint64)).astype(int)
+
+    def copies(rows: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(rows, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+    a, a_left = copies(np.arange(len(at)), blocks[:, 0])
+    homes = np.flatnonzero(at_home)
+    b, b_right = copies(homes, blocks[homes, 1])
+    b, b_right = b[b_right != own_r[b]], b_right[b_right != own_r[b]]
     return (
-        np.concatenate([at[l_row], at[r_row]]),
-        np.concatenate([grp[l_row], grp[r_row]]),
-        np.concatenate([own[l_row], r_other]),
-        np.concatenate([l_other, own[r_row]]),
-        np.concatenate([np.where(same, 3, 1), np.full(len(r_row), 2)]),
+        np.concatenate([at[a], at[b]]),
+        np.concatenate([grp[a], grp[b]]),
+        np.concatenate([a_left, own_l[b]]),
+        np.concatenate([own_r[a], b_right]),
+        np.concatenate([np.where(at_home[a] & (a_left == own_l[a]), 3, 1), np.full(len(b), 2)]),
     )
 
 
@@ -251,8 +298,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 @dataclass
 class Cell:
-    """What a task holds of one cell: vectors at home or in the margin, each id and vector once."""
+    """What a task holds of one cell: vectors at home and those that ask in it, each id and vector once. ``left`` rows ask,
+    ``right`` rows are stored."""
 
+    at: np.ndarray  # places among the rows of the task
     ids: np.ndarray
     units: np.ndarray
     home: np.ndarray
@@ -264,7 +313,7 @@ def cells_of(group: pa.Table, cells: Cells) -> Iterator[Cell]:
     """The cells of a task's rows in ascending order. Rows that repeat an id with the same vector are dropped."""
     ids = group.column("id").to_numpy()
     vec = group.column("vec").combine_chunks()
-    near = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.int32).reshape(len(ids), -1)
+    home = group.column("home").to_numpy()
     role = group.column("role").to_numpy()
     raw = np.frombuffer(b"".join(vec.to_pylist()), np.int16).reshape(len(ids), -1)
     with np.errstate(over="ignore"):
@@ -273,10 +322,14 @@ def cells_of(group: pa.Table, cells: Cells) -> Iterator[Cell]:
     keep = np.ones(len(ids), bool)
     keep[1:] = (np.diff(ids[order]) != 0) | (np.diff(mark[order]) != 0) | (np.diff(role[order]) != 0)
     at = order[keep]
-    ids, near, role = ids[at], near[at], role[at]
+    ids, home, role = ids[at], home[at], role[at]
     units = unpack(raw[at], cells.scaling.width)
-    for cell in np.flatnonzero(cells.group == group.column("grp")[0].as_py()):
-        inside = np.flatnonzero((near == cell).any(axis=1))
+    own = np.flatnonzero(cells.group == group.column("grp")[0].as_py())
+    near = np.concatenate(
+        [cells.asked(cells.reduced(units[s : s + BLOCK]), home[s : s + BLOCK], own, SLACK) for s in range(0, len(units), BLOCK)]
+    )
+    for j, cell in enumerate(own):
+        inside = np.flatnonzero(near[:, j])
         if len(inside):
             r = role[inside]
-            yield Cell(ids[inside], units[inside], near[inside, 0] == cell, (r & 1) > 0, (r & 2) > 0)
+            yield Cell(inside, ids[inside], units[inside], home[inside] == cell, (r & 1) > 0, (r & 2) > 0)

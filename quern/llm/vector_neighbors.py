@@ -8,7 +8,7 @@ is perpendicular to the vector, the stored deviation, tells how far the estimate
 unless its estimate, ``DEVIATIONS`` above, stays below the threshold or below what the k-th best reaches at least.
 
 The codes are searched cell by cell (:mod:`quern.llm.vector_cells`): a vector is stored in its home cell, and each
-vector asks in its nearest ``PROBES`` cells.
+vector asks in every cell that can hold a vector of at least the threshold, however many these are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells
 from quern.session import opened, shared
 
-PROBES = 5
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
 #: Codebooks are fitted on this many rows of the sample.
 BOOK_SAMPLE = 4_096
@@ -110,8 +109,9 @@ def fit_books(sample: np.ndarray, books: int = BOOKS, codewords: int = CODEWORDS
     return Additive.of(np.stack(words).astype(np.float32), float(spectrum.sum() ** 2 / (spectrum**2).sum()))
 
 
-def search_cell(cell: Cell, coder: Additive, k: int, threshold: float) -> tuple[np.ndarray, ...]:
-    """(query id, other id, cosine) of the ``k`` best others of each left row among the right rows at home."""
+def search_cell(cell: Cell, coder: Additive, tables: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """(query id, other id, cosine) of the ``k`` best others of each left row among the right rows at home. ``tables`` holds
+    the products of the task's rows with the codewords."""
     stored, asking = np.flatnonzero(cell.right & cell.home), np.flatnonzero(cell.left)
     out: list[tuple[np.ndarray, ...]] = []
     if not len(stored) or not len(asking):
@@ -122,7 +122,7 @@ def search_cell(cell: Cell, coder: Additive, k: int, threshold: float) -> tuple[
         rows = asking[s : s + BLOCK]
         q, mine = cell.units[rows], cell.ids[rows]
         # The query itself is among the stored. One product scores the candidates of the whole block exactly.
-        columns = np.flatnonzero(coder.candidates(coder.tables(q), codes, k + 1, threshold).any(axis=0))
+        columns = np.flatnonzero(coder.candidates(tables[cell.at[rows]], codes, k + 1, threshold).any(axis=0))
         exact = np.round((q @ units[columns].T).astype(np.float64), 6)
         exact[mine[:, None] == ids[columns]] = -2
         least = np.full(len(rows), threshold)
@@ -147,18 +147,17 @@ def nearest_neighbors(
     scaling: Scaling,
     k: int = 5,
     threshold: float = -1.0,
-    probes: int = PROBES,
 ) -> DataFrame:
     """``(id, other, similarity, rank)``: up to ``k`` other ids of each id, of those with a cosine of at least
     ``threshold``, the most similar first; equal cosines (to six digits) go by the smaller ``other``.
 
     Rows with a null id or an unreadable vector are left out; repeated rows count once, and of an id with several
-    different vectors the best cosine counts. Empty input gives no row. The index holds every row; ``tests/llm``
-    measures its recall against brute force.
+    different vectors the best cosine counts. Empty input gives no row. The index holds every row and no cell that can
+    hold a neighbour is left out: in a dense group all its members meet, and a ``threshold`` of -1 compares all rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(row_id).isNotNull())
-    cells = fit_cells(rows, vector, scaling, probes)
+    cells = fit_cells(rows, vector, scaling, threshold)
     if cells is None:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank int")
     coder = fit_books(cells.sample)
@@ -168,7 +167,12 @@ def nearest_neighbors(
 
     def run(group: pa.Table) -> pa.Table:
         cells, coder = opened(held)
-        parts = [search_cell(c, coder, k, threshold) for c in cells_of(group, cells)]
+        tables, filled = np.empty((len(group), coder.words.shape[0] * coder.words.shape[1]), np.float32), np.zeros(len(group), bool)
+        parts = []
+        for c in cells_of(group, cells):
+            new = c.left & ~filled[c.at]
+            tables[c.at[new]], filled[c.at[new]] = coder.tables(c.units[new]), True
+            parts.append(search_cell(c, coder, tables, k, threshold))
         a, b, cos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
         return pa.table(
             {"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(cos, pa.float64())}

@@ -132,3 +132,25 @@ def test_beam_search_is_no_worse_than_greedy(data):
         return np.linalg.norm(x - coded, axis=1)
 
     assert error(8).mean() <= error(1).mean() + 1e-6
+
+
+def dense_group(members, noise, cosine, width=64):
+    """One round group around a direction, its members' mean cosine as given, and rows without neighbours."""
+    rng = np.random.default_rng(11)
+    off = unit(rng.normal(size=(members, width)))
+    x = np.sqrt(cosine) * unit(rng.normal(size=width)) + np.sqrt(1 - cosine) * off
+    return np.concatenate([x, unit(rng.normal(size=(noise, width)))])
+
+
+def test_neighbours_in_a_group_of_a_third_of_the_rows(spark, monkeypatch):
+    import quern.llm.vector_cells as cells
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 40)
+    x, k = dense_group(1_000, 2_000, 0.85), 5
+    got = nearest_neighbors(frame(spark, x), "track", "v", Scaling(None, None, 64), k, 0.75).collect()
+    s = unit(x.astype(np.float32).astype(float))
+    s = s @ s.T
+    np.fill_diagonal(s, -1)
+    truth = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:k] if s[i, j] >= 0.75}
+    found = {(r["id"], r["other"]) for r in got}
+    assert len(found & truth) >= 0.995 * len(truth)
