@@ -2,7 +2,7 @@
 
 Density clustering with a density threshold of one neighbour: two vectors are linked where their cosine reaches the
 threshold, and a cluster is a largest set of vectors linked directly or through others. Cells of the reduced space
-with overlapping margins (:mod:`quern.llm.vector_cells`) are clustered on their own, on the full vectors; local
+with the vectors that ask in them (:mod:`quern.llm.vector_cells`) are clustered on their own, on the full vectors; local
 clusters that share a vector are merged through the distributed components of the local clusters' graph. Within a cell
 links are folded into labels block by block and never listed, so a dense cell costs no edge table.
 """
@@ -72,11 +72,11 @@ def vector_clusters(
     direction) are left out; repeated rows count once, and an id with several different vectors is linked by any of
     them. Empty input gives no row.
 
-    Two vectors that reach the threshold always meet: each asks in every cell that can hold a partner.
+    Two vectors that reach the threshold always meet: one of them asks in every cell that can hold a partner.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(row_id).isNotNull())
-    cells = fit_cells(rows, vector, scaling, threshold)
+    cells = fit_cells(rows, vector, scaling, threshold, once=True)
     if cells is None:
         return spark.createDataFrame([], "cluster_id bigint, id bigint, size bigint")
     spread = assign(rows, row_id, vector, cells)

@@ -154,3 +154,12 @@ def test_neighbours_in_a_group_of_a_third_of_the_rows(spark, monkeypatch):
     truth = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:k] if s[i, j] >= 0.75}
     found = {(r["id"], r["other"]) for r in got}
     assert len(found & truth) >= 0.995 * len(truth)
+
+
+def test_loosely_linked_members_of_a_group_of_a_third_of_the_rows(spark, monkeypatch):
+    import quern.llm.vector_cells as cells
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 40)
+    x = dense_group(1_000, 2_000, 0.70, 256)
+    got = vector_clusters(frame(spark, x), "track", "v", Scaling(None, None, 256), 0.75, 3).collect()
+    assert {(r["cluster_id"], r["id"]) for r in got} == brute_clusters(x, 0.75, 3)
