@@ -20,22 +20,22 @@ from quern.operators.vectors import (
     summaries,
     top_value_per_group,
 )
-from quern.operators.ward import MAX_ROWS, elbow, ward_labels
+from quern.operators.ward import elbow, ward_labels
 from quern.sources.tables import table, track_vectors
 
 WIDTH, FEATURES = 64, 518
 BFR_K, BFR_THRESHOLD = 14, 3.0
-#: Rows of the sample that is clustered by all distances: a parameter of the sampling, as the method holds n^2 numbers.
-WARD_SAMPLE = 400
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", WIDTH, "label")
 
 
-def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One vector per track: a repeated track has the same vector. Kept for the passes of the clusterings."""
-    rows = clean_vectors(track_vectors(spark, sf_dir), "track_id", "feature", FEATURES)
+def _tracks(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """One vector per track, of those in ``ids`` (``track_id``) if given: a repeated track has the same vector. Kept for
+    the passes of the clusterings."""
+    vectors = track_vectors(spark, sf_dir)
+    rows = clean_vectors(vectors.join(ids, "track_id", "left_semi") if ids else vectors, "track_id", "feature", FEATURES)
     return rows.groupBy("id").agg(F.first("vector").alias("vector")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -108,11 +108,12 @@ def bfr_top_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _tracks(spark, sf_dir)
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(min(WARD_SAMPLE, MAX_ROWS))
-    labels = ward_labels(sample, range(8, 17))
+    """All readable tracks of the subset ``small``, clustered for every k."""
+    small = table(spark, sf_dir, "tracks").where("set_subset = 'small'").select("track_id")
+    points = _tracks(spark, sf_dir, small)
+    labels = ward_labels(points, range(8, 17))
     key = F.col("k") * 100 + F.col("cluster")
-    return labels.join(sample, "id").withColumn("key", key)
+    return labels.join(points, "id").withColumn("key", key)
 
 
 def ward_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

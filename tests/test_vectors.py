@@ -100,3 +100,22 @@ def test_distance_under_the_centers_covariance(spark):
     for i, v in enumerate(x):
         d = [np.sqrt((v - c) @ inverse @ (v - c)) for c in at]
         assert got[i][0] == int(np.argmin(d)) and got[i][1] == pytest.approx(min(d))
+
+
+def test_ward_clusters_the_whole_small_subset(spark):
+    import os
+
+    import duckdb
+
+    from quern.plans.vectors import ward_metrics
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    n = duckdb.sql(rf"""
+        select count(distinct try_cast(regexp_extract(track_id, '^\s*(\d+)(?:\.0)?\s*$', 1) as bigint)) from '{folder}/features.parquet'
+        where len(feature) = 518 and len(list_filter(feature, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        and try_cast(nullif(regexp_extract(track_id, '^\s*(\d+)(?:\.0)?\s*$', 1), '') as bigint)
+            in (select track_id from '{folder}/tracks.parquet' where set_subset = 'small')""").fetchall()[0][0]
+    sizes = ward_metrics(spark, folder).groupBy("k").sum("size").collect()
+    assert {r["k"]: r["sum(size)"] for r in sizes} == dict.fromkeys(range(8, 17), n)
