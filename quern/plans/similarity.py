@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.minhash import PRIME, PUNCTUATION, clean_tokens, coefficients
+from quern.functions.minhash import PRIME, PUNCTUATION, clean_tokens, coefficients, text_shingles
 from quern.operators.similarity import (
     bands,
     candidate_pairs,
@@ -61,7 +61,11 @@ def doc_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingle_distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sets(spark, sf_dir).select(F.explode("hashes").alias("h")).agg(F.count_distinct("h").alias("n_shingles"))
+    """Counts the shingles by the whole MD5 digest: the 28 bits of the hash sets would merge different ones."""
+    news = table(spark, sf_dir, "covid_news_full").where("tweet_id is not null and text is not null")
+    once = news.groupBy("tweet_id").agg(F.min("text").alias("text"))
+    shingles = once.select(F.explode(text_shingles(clean_tokens("text", STOP_WORDS), K)).alias("s"))
+    return shingles.select(F.unhex(F.md5("s")).alias("h")).agg(F.count_distinct("h").alias("n_shingles"))
 
 
 def lsh_tune(spark: SparkSession, sf_dir: str) -> DataFrame:

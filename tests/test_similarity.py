@@ -72,3 +72,16 @@ def test_components(spark):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_distinct_shingles_are_counted_without_collisions(spark, tmp_path):
+    from quern.plans.similarity import K, STOP_WORDS, shingle_distinct_count
+
+    # Runs of unlike words: enough of them that 28 bits of hash merge some.
+    n, words = 60_000, 100
+    rows = spark.range(n // words).selectExpr(
+        "cast(id as string) as tweet_id", f"array_join(transform(sequence(1, {words}), i -> concat('x', id, 'y', i)), ' ') as text"
+    )
+    rows.write.parquet(str(tmp_path / "covid_news_full.parquet"))
+    assert not {"x", "y"} & set(STOP_WORDS)
+    assert shingle_distinct_count(spark, str(tmp_path)).collect()[0][0] == n // words * (words - K + 1)
