@@ -118,25 +118,30 @@ def search_cell(cell: Cell, coder: Additive, tables: np.ndarray, k: int, thresho
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     units, ids = cell.units[stored], cell.ids[stored]
     codes = coder.encode(units)
+    # Rows that repeat an id with another vector: so many more rows hold k other ids for certain.
+    wide = k + len(ids) - len(np.unique(ids))
     for s in range(0, len(asking), BLOCK):
         rows = asking[s : s + BLOCK]
         q, mine = cell.units[rows], cell.ids[rows]
         # The query itself is among the stored. One product scores the candidates of the whole block exactly.
-        columns = np.flatnonzero(coder.candidates(tables[cell.at[rows]], codes, k + 1, threshold).any(axis=0))
+        columns = np.flatnonzero(coder.candidates(tables[cell.at[rows]], codes, wide + 1, threshold).any(axis=0))
         exact = np.round((q @ units[columns].T).astype(np.float64), 6)
         exact[mine[:, None] == ids[columns]] = -2
         least = np.full(len(rows), threshold)
-        if len(columns) > k:
-            least = np.maximum(least, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
+        if len(columns) > wide:
+            least = np.maximum(least, -np.partition(-exact, wide - 1, axis=1)[:, wide - 1])
         a, b = np.nonzero(exact >= least[:, None])
         out.append((mine[a], ids[columns[b]], exact[a, b]))
     a, b, cos = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((-cos, b, a))
+    a, b, cos = a[order], b[order], cos[order]
+    best = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)][: len(a)]
+    a, b, cos = a[best], b[best], cos[best]
     order = np.lexsort((b, -cos, a))
     a, b, cos = a[order], b[order], cos[order]
     begin = np.flatnonzero(np.r_[True, np.diff(a) != 0]) if len(a) else np.zeros(0, int)
     rank = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)]))
-    # Some room for rows that repeat an id with another vector.
-    keep = rank < 2 * k
+    keep = rank < k
     return a[keep], b[keep], cos[keep]
 
 

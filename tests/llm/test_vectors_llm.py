@@ -163,3 +163,17 @@ def test_loosely_linked_members_of_a_group_of_a_third_of_the_rows(spark, monkeyp
     x = dense_group(1_000, 2_000, 0.70, 256)
     got = vector_clusters(frame(spark, x), "track", "v", Scaling(None, None, 256), 0.75, 3).collect()
     assert {(r["cluster_id"], r["id"]) for r in got} == brute_clusters(x, 0.75, 3)
+
+
+def test_an_id_with_many_vectors_takes_one_place(spark, monkeypatch):
+    import quern.llm.vector_cells as cells
+
+    monkeypatch.setattr(cells, "MIN_CELLS", 1)
+    rng = np.random.default_rng(3)
+    q = unit(rng.normal(size=WIDTH))
+    near = [(1, unit(q + 0.01 * unit(rng.normal(size=WIDTH)))) for _ in range(20)]
+    near += [(1 + i, unit(q + 0.1 * i * unit(rng.normal(size=WIDTH)))) for i in range(1, 6)]
+    rows = [(i, v.tolist()) for i, v in [(0, q), *near]]
+    df = spark.createDataFrame(rows, "track bigint, v array<float>")
+    got = nearest_neighbors(df, "track", "v", scaling(), 5, 0.5).where("id = 0").orderBy("rank").collect()
+    assert [r["other"] for r in got] == [1, 2, 3, 4, 5]
