@@ -46,12 +46,12 @@ class Walk:
         self.bits = rng.integers(1, 1 << 63, size=int(self.steps[-1]) + 1, dtype=np.int64) | np.int64(1)
         self.mix = rng.integers(1, 1 << 63, size=len(self.steps), dtype=np.int64) | np.int64(1)
 
-    def stages(self, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def stages(self, tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """After each sampled step: its number, the alive window numbers and their keys so far; takes back (by
-        ``send``) which of them stay alive."""
+        ``send``) which of them stay alive. A window stops at its text's end, one of ``ends``."""
         alive = np.arange(len(starts))
         at = starts.astype(np.int64)
-        end = at + self.window
+        end = at + self.window if ends is None else np.minimum(at + self.window, ends)
         key = np.zeros(len(starts), np.int64)
         sampled = 0
         with np.errstate(over="ignore"):
@@ -92,10 +92,10 @@ class ItemIndex:
             if last is not None:
                 stages[-1] = last[self.order[-1]]
 
-    def candidates(self, tokens: np.ndarray, starts: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of the document window, number of the item window) of all that meet in repetition ``r``."""
         walk, keys = self.walks[r], self.keys[r]
-        run = walk.stages(tokens, starts)
+        run = walk.stages(tokens, starts, ends)
         stay, alive, key = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         try:
             k, alive, key = next(run)
@@ -116,12 +116,12 @@ class ItemIndex:
     def leaks(self, tokens: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (number of the document, item id) of the documents whose words stand one after another in
         ``tokens``."""
-        starts, doc = _window_starts(lengths, self.window)
+        starts, doc = _window_starts(lengths, self.window, self.edits)
         found: list[np.ndarray] = []
         if len(starts) and len(self.start):
             ends = np.cumsum(np.asarray(lengths))[doc]
             for r in range(len(self.walks)):
-                d, i = self.candidates(tokens, starts, r)
+                d, i = self.candidates(tokens, starts, ends, r)
                 if found and len(d):
                     known = np.concatenate(found)
                     new = ~np.isin(_pair(doc[d], self._slot(i)), _pair(known[:, 0], self._slot_of(known[:, 1])))
@@ -157,10 +157,11 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a << np.int64(32)) | b
 
 
-def _window_starts(lengths: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every window that lies within one text, and the number of its text."""
+def _window_starts(lengths: list[int], window: int, edits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every window that lies within one text, and the number of its text; the last ones may lack up to
+    ``edits`` words at the text's end."""
     n = np.asarray(lengths, np.int64)
-    many = np.maximum(n - window + 1, 0)
+    many = np.where(n >= window, n - window + 1 + min(edits, window - 1), 0)
     text = np.repeat(np.arange(len(n)), many)
     begin = np.cumsum(n) - n
     return begin[text] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), text

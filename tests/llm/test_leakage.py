@@ -81,3 +81,16 @@ def test_empty_tables(spark, tables):
     docs, items = tables
     assert run(spark, [], items) == set() and run(spark, docs, []) == set()
     assert run(spark, docs, [(1, None)]) == set()
+
+
+def test_passages_that_lack_a_word_at_a_documents_end_are_found(spark):
+    rng = random.Random(8)
+    words = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    items = [(i, words(20)) for i in range(40)]
+    docs = []
+    for i, w in items:
+        at = rng.randrange(3, 17)
+        docs.append((i, " ".join(words(30) + w[:at] + w[at + 1 :])))
+    found = run(spark, docs, [(i, " ".join(w)) for i, w in items], max_edits=1)
+    assert all(d == i for d, i in found)
+    assert len(found) >= 0.95 * len(items)
