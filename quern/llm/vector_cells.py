@@ -7,21 +7,31 @@ between two of them is at most the angle between the whole vectors.
 
 Every vector has a home cell (its nearest pivot). The radius of a cell is the largest angle between its pivot and a
 vector at home, over all rows. A vector within an angle of ``reach`` of one at home in a cell is at most ``reach`` plus
-the radius from its pivot (triangle inequality), so it asks in all cells for which that holds: no pair within the reach
-is lost, however many cells that takes. Cells are bound into groups of neighbouring cells; a vector is sent once per
-group that holds one of its cells, not once per cell.
+the radius from its pivot (triangle inequality), so cells for which that holds are its margin: no pair within the reach
+is lost, however many cells that takes. Cells are bound into groups of neighbouring cells.
 
-Vectors travel as 16-bit integers with one scale per vector: half the bytes, and an error of about 3e-6 in a cosine.
+Vectors travel in two steps, so that whole vectors go only where a partner is:
+
+1. Whole vectors go to their home; to the groups of their margin go *sketches*, projections on ``SKETCH`` random
+   orthogonal directions in 8-bit integers. The cosine of two sketches is off from that of the vectors by a known
+   deviation in any direction; a pair of at least ``threshold`` stays below ``Cells.near``, ``DEVIATIONS`` of them
+   lower, with a probability of 3e-7. Each vector at home learns in which tasks it has possible partners.
+2. Whole vectors go to those tasks, and rest at home if they have a possible partner anywhere.
+
+Copies of one vector that hold a large share of the rows (:func:`survey`) are represented by a few ids; what holds for
+the greatest of these holds for the others (:func:`left_out`).
+
+Whole vectors travel as 16-bit integers with one scale per vector: half the bytes, and an error of about 3e-6 in a cosine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.session import opened, shared
@@ -37,9 +47,15 @@ BLOCK = 1_024
 REDUCED = 96
 #: Cells of a group.
 GROUP_CELLS = 20
-#: Expected rows of a task of a group; beyond that the rows at home and the asking rows are split into blocks that meet
-#: pairwise.
+#: Expected rows at home and asking rows of a task of a group, each; beyond that they are split into blocks that meet
+#: pairwise. Of sketches a task holds five times as many.
 GROUP_ROWS = 40_000
+#: Directions of a sketch, and the deviations by which a pair's sketches may be farther apart than the pair.
+SKETCH, DEVIATIONS = 224, 5.0
+#: A vector is represented by a few ids if it may hold this share of the rows and has at least so many copies.
+HEAVY_SHARE, HEAVY_ROWS = 1e-3, 64
+#: Rows of the sample that tell how many vectors ask in a group.
+ASKING_SAMPLE = 4_096
 #: Angle by which rounded numbers and 16-bit integers may be off.
 SLACK = 2e-3
 SEED = 20_240_301
@@ -144,13 +160,16 @@ def unit_sum(x: np.ndarray) -> np.ndarray:
 class Cells:
     scaling: Scaling
     directions: np.ndarray  # width x reduced
-    pivots: np.ndarray  # cells x (reduced + 1)
-    radius: np.ndarray  # of each cell
-    group: np.ndarray  # group of each cell
-    blocks: np.ndarray  # groups x 2: blocks of the rows at home and of the asking rows
+    random: np.ndarray  # width x sketch, orthonormal columns
     reach: float  # angle within which vectors must meet
-    once: bool  # whether one of two vectors of different homes asks, or both
+    near: float  # least cosine of the sketches of vectors within the reach
     sample: np.ndarray  # unit vectors that all was fitted on; dropped before it is sent
+    pivots: np.ndarray  # cells x (reduced + 1)
+    group: np.ndarray  # group of each cell
+    bit: np.ndarray  # of each cell within its group; more than 62 cells share bits
+    radius: np.ndarray  # of each cell
+    blocks: np.ndarray  # groups x 3: blocks of the rows at home, of the sketches and of the asking rows
+    heavy: dict[int, int] = field(default_factory=dict)  # greatest id that represents a vector of many copies
 
     def reduced(self, units: np.ndarray) -> np.ndarray:
         y = units @ self.directions
@@ -163,35 +182,138 @@ class Cells:
         least = np.cos(np.minimum(self.radius[cells] + self.reach + slack, np.pi)).astype(np.float32)
         near = reduced @ self.pivots[cells].T >= least
         near |= self.radius[cells] + self.reach + slack >= np.pi
-        if self.once:
-            near &= (home[:, None] < cells) ^ ((home[:, None] + cells) % 2 == 1)
         return near | (home[:, None] == cells)
 
+    def margins(self, reduced: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, bits of the cells) of all groups in which each row asks."""
+        order = np.argsort(self.group, kind="stable")
+        used, begin = np.unique(self.group[order], return_index=True)
+        parts = []
+        for s in range(0, len(reduced), BLOCK // 4):
+            near = self.asked(reduced[s : s + BLOCK // 4], home[s : s + BLOCK // 4], order, 2 * SLACK)
+            bits = np.bitwise_or.reduceat(np.where(near, self.bit[order], 0), begin, axis=1)
+            at, g = np.nonzero(bits)
+            parts.append((at + s, used[g], bits[at, g]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def sketches(self, units: np.ndarray) -> np.ndarray:
+        y = units @ self.random
+        step = np.maximum(np.abs(y).max(axis=1, keepdims=True), 1e-30) / 127
+        return np.rint(y / step).astype(np.int8)
+
+    def kept(self, marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each row stands for itself, as all do but further copies of a vector of many copies."""
+        stay = np.ones(len(ids), bool)
+        if self.heavy:
+            names = np.array(sorted(self.heavy))
+            at = np.minimum(np.searchsorted(names, marks), len(names) - 1)
+            last = np.array([self.heavy[m] for m in names.tolist()])
+            stay = (names[at] != marks) | (ids <= last[at])
+        return stay
+
+
+def lengthened(sketch: np.ndarray) -> np.ndarray:
+    """Sketches as unit vectors of floats."""
+    x = sketch.astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def marks_of(units: np.ndarray) -> np.ndarray:
+    """64-bit hash of each vector."""
+    with np.errstate(over="ignore"):
+        whole = np.ascontiguousarray(units).view(np.int32).astype(np.int64)
+        mark = whole @ np.random.default_rng(SEED).integers(1, 1 << 62, units.shape[1])
+    return mark ^ (mark >> np.int64(31))
+
 
-def radii(vectors: DataFrame, vector: str, cells: Cells) -> np.ndarray:
-    """The largest angle between each pivot and the vectors at home, over all rows."""
+def survey(vectors: DataFrame, vector: str, cells: Cells) -> tuple[np.ndarray, list[int]]:
+    """In one pass over all rows: the radius of each cell, and the marks of the vectors of many copies.
+
+    Each task names the vectors that hold half of ``HEAVY_SHARE`` of its rows, with their number. Those named for half
+    of that share of all rows come out, among them every vector that holds the share; that is a bounded number.
+    """
     held = shared(vectors.sparkSession, cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = opened(held)
-        least = np.full(len(c.pivots), 2.0)
+        least, seen = np.full(len(c.pivots), 2.0), 0
+        names, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            y = c.reduced(c.scaling.units(batch.column(0))[1])
+            units = c.scaling.units(batch.column(0))[1]
+            y = c.reduced(units)
             home = nearest_pivot(y, c.pivots)
             np.minimum.at(least, home, (y * c.pivots[home]).sum(axis=1, dtype=float))
-        cell = np.flatnonzero(least < 2)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(least[cell])], names=["cell", "least"])
+            seen += len(units)
+            names, at = np.unique(np.concatenate([names, marks_of(units)]), return_inverse=True)
+            many = np.bincount(at, weights=np.concatenate([many, np.ones(len(units), np.int64)])).astype(np.int64)
+            if len(names) > 1_000_000:
+                names, many = names[many > seen * HEAVY_SHARE / 4], many[many > seen * HEAVY_SHARE / 4]
+        cell, often = np.flatnonzero(least < 2), (many > 1) & (many >= seen * HEAVY_SHARE / 2)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[cell, np.full(often.sum(), -1)].astype(np.int32)),
+                pa.array(np.r_[least[cell], np.full(often.sum(), 2.0)]),
+                pa.array(np.r_[np.zeros(len(cell), np.int64), names[often]]),
+                pa.array(np.r_[np.zeros(len(cell), np.int64), many[often]]),
+                pa.array(np.r_[[seen], np.zeros(len(cell) + often.sum(), np.int64)][: len(cell) + often.sum()].astype(np.int64)),
+            ],
+            names=["cell", "least", "mark", "n", "seen"],
+        )
+
+    rows = vectors.select(vector).mapInArrow(run, "cell int, least double, mark bigint, n bigint, seen bigint")
+    found = rows.groupBy("cell", "mark").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    found = found.where((F.col("cell") >= 0) | (F.col("n") >= HEAVY_ROWS)).collect()
+    radius, seen = np.zeros(len(cells.pivots)), sum(r["seen"] for r in found)
+    for r in found:
+        if r["cell"] >= 0:
+            radius[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
+    return radius, [r["mark"] for r in found if r["cell"] < 0 and r["n"] >= seen * HEAVY_SHARE / 2]
+
+
+def representatives(vectors: DataFrame, row_id: str, vector: str, scaling: Scaling, marks: list[int], keep: int) -> dict[int, int]:
+    """Of each of ``marks``, the ``keep``-th smallest id; only marks of more ids come out."""
+    wanted = np.array(sorted(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, units = scaling.units(batch.column(1))
+            mark = marks_of(units)
+            heavy = np.isin(mark, wanted)
+            pairs = np.unique(np.stack([mark[heavy], batch.column(0).to_numpy()[rows[heavy]]], axis=1), axis=0)
+            begin = np.searchsorted(pairs[:, 0], pairs[:, 0])
+            first = pairs[np.arange(len(pairs)) - begin <= keep]
+            yield pa.RecordBatch.from_arrays([pa.array(first[:, 0]), pa.array(first[:, 1])], names=["mark", "id"])
+
+    some = vectors.select(F.col(row_id).cast("bigint").alias("id"), vector).mapInArrow(run, "mark bigint, id bigint")
+    rank = F.dense_rank().over(Window.partitionBy("mark").orderBy("id"))
+    first = some.withColumn("rank", rank).where(F.col("rank") <= keep + 1)
+    at = first.groupBy("mark").agg(F.max("rank").alias("most"), F.max(F.when(F.col("rank") == keep, F.col("id"))).alias("last"))
+    return {r["mark"]: r["last"] for r in at.where(F.col("most") > keep).collect()}
+
+
+def left_out(vectors: DataFrame, row_id: str, vector: str, cells: Cells) -> DataFrame | None:
+    """``(id, rep)`` of the copies that are represented by others, with the greatest id of these; None if there are none."""
+    if not cells.heavy:
+        return None
+    held = shared(vectors.sparkSession, replace(cells, sample=cells.sample[:0]))
 
-    rows = vectors.select(vector).mapInArrow(run, "cell int, least double").groupBy("cell").agg(F.min("least").alias("least"))
-    radius = np.zeros(len(cells.pivots))
-    for r in rows.collect():
-        radius[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
-    return radius
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = opened(held)
+        for batch in batches:
+            rows, units = c.scaling.units(batch.column(1))
+            mark, ids = marks_of(units), batch.column(0).to_numpy()[rows]
+            out = ~c.kept(mark, ids)
+            reps = np.array([c.heavy[m] for m in mark[out].tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(reps)], names=["id", "rep"])
+
+    some = vectors.select(F.col(row_id).cast("bigint").alias("id"), vector)
+    return some.mapInArrow(run, "id bigint, rep bigint").distinct()
 
 
-def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, threshold: float, once: bool = False) -> Cells | None:
-    """Cells in which all vectors of a cosine of at least ``threshold`` meet, ``once`` or in both homes. Fit on at most ``MAX_SAMPLE`` rows, drawn with a fixed seed and whatever their content, so that copies of one vector
-    can't fill the sample beyond their share. None where no vector is readable."""
+def fit_cells(vectors: DataFrame, row_id: str, vector: str, scaling: Scaling, threshold: float, keep: int) -> Cells | None:
+    """Cells in which all vectors of a cosine of at least ``threshold`` meet. Fit on at most ``MAX_SAMPLE`` rows, drawn with
+    a fixed seed and whatever their content, so that copies of one vector can't fill the sample beyond their share.
+    ``keep`` ids represent a vector of many copies. None where no vector is readable."""
     n = vectors.count()
     size = int(np.clip(8 * n / CELL_ROWS, MIN_SAMPLE, MAX_SAMPLE))
     share = min(1.0, 1.25 * size / max(n, 1))
@@ -204,88 +326,168 @@ def fit_cells(vectors: DataFrame, vector: str, scaling: Scaling, threshold: floa
     sample = sample[rng.permutation(len(sample))[:size]]
     _, v = np.linalg.eigh((sample.T @ sample / len(sample)).astype(np.float64))
     directions = np.ascontiguousarray(v[:, ::-1][:, : min(REDUCED, scaling.width)], dtype=np.float32)
+    wide = min(SKETCH, scaling.width)
+    random = np.linalg.qr(rng.normal(size=(scaling.width, wide)))[0].astype(np.float32)
     # Rounded to six digits a cosine may reach the threshold from below.
-    reach = float(np.arccos(np.clip(threshold - 1e-6, -1, 1)))
-    cells = Cells(scaling, directions, np.zeros((0, 0)), np.zeros(0), np.zeros(0, int), np.zeros((0, 2), int), reach, once, sample[:0])
+    least = float(np.clip(threshold - 1e-6, -1, 1))
+    near = least - DEVIATIONS * (1 - least**2) * float(np.sqrt((1 - wide / scaling.width) / wide)) - 0.01
+    none = np.zeros(0, int)
+    cells = Cells(scaling, directions, random, float(np.arccos(least)), near, sample, sample[:0], none, none, none, none)
     y = cells.reduced(sample)
     k = int(np.clip(n / CELL_ROWS, MIN_CELLS, MAX_CELLS))
-    pivots = split_large(y, spherical_kmeans(y, k, rng), max(8.0, 1.5 * len(y) / k), rng)
-    tops = spherical_kmeans(pivots, max(1, len(pivots) // GROUP_CELLS), rng)
-    cells.pivots, cells.group = pivots, nearest_pivot(pivots, tops)
-    cells.radius = radii(vectors, vector, cells)
-    home = nearest_pivot(y, pivots)
-    asking = np.zeros(len(tops))
-    for s in range(0, len(y), BLOCK):
-        near = cells.asked(y[s : s + BLOCK], home[s : s + BLOCK], np.arange(len(pivots)), 2 * SLACK)
-        asking += [near[:, cells.group == g].any(axis=1).sum() for g in range(len(tops))]
-    stored = np.bincount(cells.group[home], minlength=len(tops))
-    most = GROUP_ROWS / 2 * len(sample) / n
-    cells.blocks = np.maximum(1, np.ceil(np.stack([stored, asking], axis=1) / most).astype(int))
-    cells.sample = sample
+    cells.pivots = split_large(y, spherical_kmeans(y, k, rng), max(8.0, 1.5 * len(y) / k), rng)
+    tops = spherical_kmeans(cells.pivots, max(1, len(cells.pivots) // GROUP_CELLS), rng)
+    cells.group = nearest_pivot(cells.pivots, tops)
+    place = np.zeros(len(cells.group), np.int64)
+    for g in range(len(tops)):
+        place[cells.group == g] = np.arange((cells.group == g).sum())
+    cells.bit = np.int64(1) << (place % 62)
+    sent = replace(cells, sample=sample[:0])
+    cells.radius, marks = survey(vectors, vector, sent)
+    if marks:
+        cells.heavy = representatives(vectors, row_id, vector, scaling, marks, keep)
+    cells.blocks = _blocks_of(cells, y, len(tops), GROUP_ROWS * len(sample) / n)
     return cells
 
 
+def _blocks_of(cells: Cells, y: np.ndarray, groups: int, most: float) -> np.ndarray:
+    """Blocks of each group: ``most`` rows of the sample at home, five times as many sketches, and ``most`` rows that ask
+    because the sample holds a possible partner."""
+    home = nearest_pivot(y, cells.pivots)
+    at = cells.group[home]
+    stored = np.bincount(at, minlength=groups)
+    row, grp, _ = cells.margins(y, home)
+    sketches = np.bincount(grp, minlength=groups)
+    some = lengthened(cells.sketches(cells.sample[:ASKING_SAMPLE]))
+    others = lengthened(cells.sketches(cells.sample[: 4 * ASKING_SAMPLE]))
+    theirs = np.argsort(at[: len(others)], kind="stable")
+    used, begin = np.unique(at[theirs], return_index=True)
+    hit = np.zeros((len(some), groups), bool)
+    for s in range(0, len(some), BLOCK):
+        near = some[s : s + BLOCK] @ others[theirs].T >= cells.near
+        hit[s : s + BLOCK, used] = np.logical_or.reduceat(near, begin, axis=1)
+    hit[np.arange(len(some)), at[: len(some)]] = False
+    margin = np.zeros((len(some), groups), bool)
+    margin[row[row < len(some)], grp[row < len(some)]] = True
+    asking = (hit & margin).sum(axis=0) * len(cells.sample) / len(some) + stored
+    return np.maximum(1, np.ceil(np.stack([stored, sketches / 5, asking], axis=1) / most).astype(int))
+
+
+MEETING = "grp int, block_l int, block_r int, id bigint, home int, cells bigint, vec binary"
+TASKS = "grp int, block_l int, block_r int, id bigint, role int, home int, vec binary"
+
+
 def assign(vectors: DataFrame, row_id: str, vector: str, cells: Cells) -> DataFrame:
-    """``(grp, block_l, block_r int, id bigint, role, home int, vec binary)``: one row per readable vector and group of the
-    cells that it asks in, its home's among them.
+    """``(grp, block_l, block_r int, id bigint, role, home int, vec binary)``: the vectors that may have a partner, at home
+    and in every task that holds such a partner at home.
 
-    ``role`` is 1 for an asking row, 2 for a stored row, 3 for both. Only rows at home in the group are stored there. A
-    task is a pair of blocks, of the stored rows and of the asking rows: a stored row is sent to all tasks of its left
-    block, an asking row to all tasks of its right block, so every asking row meets every stored row exactly once.
+    ``role`` is 1 for an asking row, 2 for a stored row, 3 for both. A task is a pair of blocks, of the stored rows of a
+    group and of the asking rows: a stored row is sent to all tasks of its left block, an asking row to that of its
+    right block, so it meets every stored row that it asks for exactly once.
     """
     held = shared(vectors.sparkSession, replace(cells, sample=cells.sample[:0]))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = opened(held)
-        many = len(c.blocks)
-        order = np.argsort(c.group, kind="stable")
-        used, begin = np.unique(c.group[order], return_index=True)
         for batch in batches:
             rows, units = c.scaling.units(batch.column(1))
-            if not len(rows):
+            ids = batch.column(0).to_numpy()[rows]
+            stay = c.kept(marks_of(units), ids) if c.heavy else np.ones(len(ids), bool)
+            ids, units = ids[stay], units[stay]
+            if not len(ids):
                 continue
             y = c.reduced(units)
             home = nearest_pivot(y, c.pivots)
-            asks = np.zeros((len(y), many), bool)
-            for s in range(0, len(y), BLOCK):
-                near = c.asked(y[s : s + BLOCK], home[s : s + BLOCK], np.arange(len(c.pivots)), 2 * SLACK)
-                asks[s : s + BLOCK, used] = np.logical_or.reduceat(near[:, order], begin, axis=1)
-            at, grp = np.nonzero(asks)
-            at, grp, left, right, role = _blocks(at, grp, c.group[home[at]] == grp, c.blocks[grp], batch.column(0).take(pa.array(rows[at])))
-            packed = pack(units)
+            own = c.group[home]
+            # Whole vectors at home, in all blocks of sketches.
+            a, a_right = _copies(np.arange(len(ids)), c.blocks[own, 1])
+            # Sketches in their margins, in all blocks of rows at home.
+            at, grp, bits = c.margins(y, home)
+            b, b_left = _copies(np.arange(len(at)), c.blocks[grp, 0])
+            who, there = at[b], grp[b]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(x.astype(np.int32)) for x in (grp, left, right)),
-                    batch.column(0).take(pa.array(rows[at])),
-                    *(pa.array(x.astype(np.int32)) for x in (role, home[at])),
-                    _binary(packed[at]),
+                    pa.array(np.r_[own[a], there].astype(np.int32)),
+                    pa.array(np.r_[_block(ids[a], c.blocks[own[a], 0]), b_left].astype(np.int32)),
+                    pa.array(np.r_[a_right, _block(ids[who], c.blocks[there, 1])].astype(np.int32)),
+                    pa.array(np.r_[ids[a], ids[who]]),
+                    pa.array(np.r_[home[a], home[who]].astype(np.int32)),
+                    pa.array(np.r_[np.zeros(len(a), np.int64), bits[b]]),
+                    pa.concat_arrays([_binary(pack(units)[a]), _binary(c.sketches(units)[who])]),
                 ],
-                names=["grp", "block_l", "block_r", "id", "role", "home", "vec"],
+                names=["grp", "block_l", "block_r", "id", "home", "cells", "vec"],
             )
 
-    rows = vectors.select(F.col(row_id).cast("bigint").alias("id"), vector)
-    return rows.mapInArrow(spread, "grp int, block_l int, block_r int, id bigint, role int, home int, vec binary")
-
-
-def _blocks(at: np.ndarray, grp: np.ndarray, at_home: np.ndarray, blocks: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, ...]:
-    """The rows' copies for the pairs of blocks of their groups."""
-    mixed = (ids.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
-    own_l = ((mixed >> np.uint64(24)) % blocks[:, 0].astype(np.uint64)).astype(int)
-    own_r = ((mixed & np.uint64(0xFFFFFF)) % blocks[:, 1].astype(np.uint64)).astype(int)
-
-    def copies(rows: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(rows, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-
-    a, a_left = copies(np.arange(len(at)), blocks[:, 0])
-    homes = np.flatnonzero(at_home)
-    b, b_right = copies(homes, blocks[homes, 1])
-    b, b_right = b[b_right != own_r[b]], b_right[b_right != own_r[b]]
-    return (
-        np.concatenate([at[a], at[b]]),
-        np.concatenate([grp[a], grp[b]]),
-        np.concatenate([a_left, own_l[b]]),
-        np.concatenate([own_r[a], b_right]),
-        np.concatenate([np.where(at_home[a] & (a_left == own_l[a]), 3, 1), np.full(len(b), 2)]),
+    def meet(group: pa.Table) -> pa.Table:
+        return _meet(group, opened(held))
+
+    rows = vectors.select(F.col(row_id).cast("bigint").alias("id"), vector).mapInArrow(send, MEETING)
+    return rows.groupBy("grp", "block_l", "block_r").applyInArrow(meet, TASKS)
+
+
+def _copies(rows: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as said, and the number of the copy."""
+    return np.repeat(rows, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _block(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (mixed % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def _meet(group: pa.Table, c: Cells) -> pa.Table:
+    """Rows of :data:`TASKS` of the vectors at home whose sketch meets another's."""
+    grp = group.column("grp")[0].as_py()
+    bits, ids, cell = (group.column(n).to_numpy() for n in ("cells", "id", "home"))
+    vec = group.column("vec").combine_chunks()
+    mine, theirs = np.flatnonzero(bits == 0), np.flatnonzero(bits)
+    raw = np.frombuffer(b"".join(vec.take(pa.array(mine)).to_pylist()), np.int16).reshape(len(mine), -1)
+    other = np.frombuffer(b"".join(vec.take(pa.array(theirs)).to_pylist()), np.int8).reshape(len(theirs), -1)
+    # The tasks in which the others are at home, in ascending order.
+    there = c.group[cell[theirs]]
+    place = there * np.int64(1 << 32) + _block(ids[theirs], c.blocks[there, 0])
+    order = np.argsort(place, kind="stable")
+    theirs, other, place = theirs[order], lengthened(other[order]), place[order]
+    targets, begin = np.unique(place, return_index=True)
+    target = np.repeat(np.arange(len(targets)), np.diff(np.r_[begin, len(place)]))
+    own = np.zeros((len(mine), len(targets)), bool)
+    for k in np.flatnonzero(c.group == grp):
+        rows, cols = np.flatnonzero(cell[mine] == k), np.flatnonzero(bits[theirs] & c.bit[k])
+        if not len(rows) or not len(cols):
+            continue
+        sketch = lengthened(c.sketches(unpack(raw[rows], c.scaling.width)))
+        across, used, first = other[cols].T, *np.unique(target[cols], return_index=True)
+        by_id = np.argsort(ids[theirs[cols]], kind="stable")
+        sorted_ids = ids[theirs[cols[by_id]]]
+        for s in range(0, len(rows), BLOCK):
+            part = rows[s : s + BLOCK]
+            hit = sketch[s : s + BLOCK] @ across >= c.near
+            low = np.searchsorted(sorted_ids, ids[mine[part]])
+            self_at, nth = _copies(np.arange(len(part)), np.searchsorted(sorted_ids, ids[mine[part]], side="right") - low)
+            hit[self_at, by_id[low[self_at] + nth]] = False
+            own[part[:, None], used] |= np.logical_or.reduceat(hit, first, axis=1)
+    home_block = group.column("block_l")[0].as_py()
+    some = own.any(axis=1)
+    here = np.flatnonzero(targets == grp * (1 << 32) + home_block)
+    at_home = own[:, here].any(axis=1)
+    own[:, here] = False
+    row, t = np.nonzero(own)
+    to, block = targets[t] >> np.int64(32), targets[t] & np.int64(0xFFFFFFFF)
+    right = _block(ids[mine[row]], c.blocks[to, 2])
+    # A vector with a partner anywhere is stored at home, in all blocks of asking rows, and asks there if it has one there.
+    kept, kept_right = _copies(np.flatnonzero(some), np.full(some.sum(), c.blocks[grp, 2]))
+    asks = at_home[kept] & (kept_right == _block(ids[mine[kept]], np.full(len(kept), c.blocks[grp, 2])))
+    who = np.r_[row, kept]
+    return pa.table(
+        {
+            "grp": pa.array(np.r_[to, np.full(len(kept), grp)].astype(np.int32)),
+            "block_l": pa.array(np.r_[block, np.full(len(kept), home_block)].astype(np.int32)),
+            "block_r": pa.array(np.r_[right, kept_right].astype(np.int32)),
+            "id": pa.array(ids[mine[who]]),
+            "role": pa.array(np.r_[np.full(len(row), 1), np.where(asks, 3, 2)].astype(np.int32)),
+            "home": pa.array(cell[mine[who]].astype(np.int32)),
+            "vec": vec.take(pa.array(mine[who])),
+        }
     )
 
 
@@ -304,13 +506,14 @@ class Cell:
     at: np.ndarray  # places among the rows of the task
     ids: np.ndarray
     units: np.ndarray
+    marks: np.ndarray  # hash of the vector
     home: np.ndarray
     left: np.ndarray
     right: np.ndarray
 
 
 def cells_of(group: pa.Table, cells: Cells) -> Iterator[Cell]:
-    """The cells of a task's rows in ascending order. Rows that repeat an id with the same vector are dropped."""
+    """The cells of a task's rows in ascending order. Rows that repeat an id with the same vector are one."""
     ids = group.column("id").to_numpy()
     vec = group.column("vec").combine_chunks()
     home = group.column("home").to_numpy()
@@ -318,11 +521,10 @@ def cells_of(group: pa.Table, cells: Cells) -> Iterator[Cell]:
     raw = np.frombuffer(b"".join(vec.to_pylist()), np.int16).reshape(len(ids), -1)
     with np.errstate(over="ignore"):
         mark = raw.astype(np.int64) @ np.random.default_rng(SEED).integers(1, 1 << 62, raw.shape[1])
-    order = np.lexsort((role, mark, ids))
-    keep = np.ones(len(ids), bool)
-    keep[1:] = (np.diff(ids[order]) != 0) | (np.diff(mark[order]) != 0) | (np.diff(role[order]) != 0)
-    at = order[keep]
-    ids, home, role = ids[at], home[at], role[at]
+    order = np.lexsort((mark, ids))
+    first = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(mark[order]) != 0)])
+    at, role = order[first], np.bitwise_or.reduceat(role[order], first)
+    ids, home, mark = ids[at], home[at], mark[at]
     units = unpack(raw[at], cells.scaling.width)
     own = np.flatnonzero(cells.group == group.column("grp")[0].as_py())
     near = np.concatenate(
@@ -332,4 +534,4 @@ def cells_of(group: pa.Table, cells: Cells) -> Iterator[Cell]:
         inside = np.flatnonzero(near[:, j])
         if len(inside):
             r = role[inside]
-            yield Cell(inside, ids[inside], units[inside], home[inside] == cell, (r & 1) > 0, (r & 2) > 0)
+            yield Cell(inside, ids[inside], units[inside], mark[inside], home[inside] == cell, (r & 1) > 0, (r & 2) > 0)

@@ -1,10 +1,14 @@
 """Similarity clusters of vectors and their medoids.
 
-Density clustering with a density threshold of one neighbour: two vectors are linked where their cosine reaches the
-threshold, and a cluster is a largest set of vectors linked directly or through others. Cells of the reduced space
-with the vectors that ask in them (:mod:`quern.llm.vector_cells`) are clustered on their own, on the full vectors; local
-clusters that share a vector are merged through the distributed components of the local clusters' graph. Within a cell
-links are folded into labels block by block and never listed, so a dense cell costs no edge table.
+Density clustering: a vector is a core point if at least ``min_points`` others reach the threshold; core points that
+reach it are linked, a cluster is a largest set of core points linked directly or through others, and a vector that is
+no core point joins the smallest cluster of its core partners. With ``min_points = 1`` every linked vector is a core
+point and a cluster is a largest linked set.
+
+Cells of the reduced space with the vectors that ask in them (:mod:`quern.llm.vector_cells`) are clustered on their own,
+on the full vectors; local clusters that share a core point are merged through the distributed components of the local
+clusters' graph. Within a cell links are folded into labels block by block and never listed, so a dense cell costs no
+edge table.
 """
 
 from __future__ import annotations
@@ -16,23 +20,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.vector_cells import Cell, Cells, Scaling, assign, cells_of, fit_cells
+from quern.llm.vector_cells import Cell, Cells, Scaling, assign, cells_of, fit_cells, left_out
 from quern.operators.components import connected_components
 from quern.operators.skew import skew_join
-from quern.session import cut_lineage
+from quern.session import cut_lineage, opened, shared
 
 BLOCK = 512
 
 
-def local_labels(cell: Cell, threshold: float) -> np.ndarray:
-    """Label of each row of the cell: equal for rows linked directly or through others. Links are sought between right
-    rows at home and all left rows."""
+def partners(cell: Cell, threshold: float) -> np.ndarray:
+    """Of each row that asks: how many stored vectors of other ids reach the threshold."""
+    stored, asking = np.flatnonzero(cell.right & cell.home), np.flatnonzero(cell.left)
+    across, many = cell.units[stored].T, np.zeros(len(asking), np.int64)
+    for s in range(0, len(asking), BLOCK):
+        rows = asking[s : s + BLOCK]
+        near = cell.units[rows] @ across >= threshold
+        many[s : s + BLOCK] = (near & (cell.ids[rows][:, None] != cell.ids[stored])).sum(axis=1)
+    return many
+
+
+def local_labels(cell: Cell, threshold: float, core: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Label of each row of the cell, equal for core points linked directly or through others, and (row, core row) of asking
+    rows that are no core points. Links are sought between stored rows at home and all asking rows."""
     label = np.arange(len(cell.ids))
-    left, right = np.flatnonzero(cell.right & cell.home), np.flatnonzero(cell.left)
-    across = cell.units[right].T
+    left, right = np.flatnonzero(cell.right & cell.home & core), np.flatnonzero(cell.left)
+    across, inner, border = cell.units[right].T, core[right], []
     for s in range(0, len(left), BLOCK):
         rows = left[s : s + BLOCK]
         linked = cell.units[rows] @ across >= threshold
+        if not inner.all():
+            a, b = np.nonzero(linked[:, ~inner])
+            border.append((right[~inner][b], rows[a]))
+            linked = linked & inner
         at = label[right]
         low = np.minimum(np.where(linked, at, len(label)).min(axis=1, initial=len(label)), label[rows])
         high = np.maximum(np.where(linked, at, -1).max(axis=1, initial=-1), label[rows])
@@ -42,51 +61,93 @@ def local_labels(cell: Cell, threshold: float) -> np.ndarray:
                 merge = np.arange(len(label))
                 merge[these] = these.min()
                 label = merge[label]
-    return label
-
-
-def _local(cells: Cells, threshold: float):
-    def run(group: pa.Table) -> pa.Table:
-        ids, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for cell in cells_of(group, cells):
-            label = local_labels(cell, threshold)
-            many = np.bincount(label, minlength=len(label))
-            lowest = np.full(len(label), np.iinfo(np.int64).max)
-            np.minimum.at(lowest, label, cell.ids)
-            linked = many[label] > 1
-            ids.append(cell.ids[linked])
-            roots.append(lowest[label[linked]])
-        pairs = np.unique(np.stack([np.concatenate(ids), np.concatenate(roots)], axis=1), axis=0)
-        return pa.table({"id": pairs[:, 0], "root": pairs[:, 1]})
-
-    return run
+    return label, border
+
+
+def _local(group: pa.Table, cells: Cells, threshold: float) -> pa.Table:
+    """``(id, root, core)``: core points with the smallest core id of their local cluster, and with ``core`` false the
+    others with that of each cluster they touch. ``is_core`` of the rows tells core points; without it all linked are."""
+    known = None
+    if "is_core" in group.column_names:
+        known = np.unique(group.column("id").to_numpy()[group.column("is_core").to_numpy(zero_copy_only=False)])
+    parts = [np.zeros((0, 3), np.int64)]
+    for cell in cells_of(group, cells):
+        core = np.ones(len(cell.ids), bool) if known is None else np.isin(cell.ids, known)
+        label, border = local_labels(cell, threshold, core)
+        many = np.bincount(label, minlength=len(label))
+        lowest = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, label, cell.ids)
+        found = (many[label] > 1) if known is None else core
+        parts.append(np.stack([cell.ids[found], lowest[label[found]], np.ones(found.sum(), np.int64)], axis=1))
+        for a, b in border:
+            parts.append(np.stack([cell.ids[a], lowest[label[b]], np.zeros(len(a), np.int64)], axis=1))
+    rows = np.unique(np.concatenate(parts), axis=0)
+    return pa.table({"id": rows[:, 0], "root": rows[:, 1], "core": rows[:, 2] == 1})
+
+
+def _with_density(rows: DataFrame, held, threshold: float, min_points: int) -> DataFrame:
+    """``rows`` plus ``is_core``. Every vector meets each partner in one task, so the tasks' numbers add up."""
+
+    def count(group: pa.Table) -> pa.Table:
+        ids, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for cell in cells_of(group, opened(held)):
+            ids.append(cell.ids[cell.left])
+            many.append(partners(cell, threshold))
+        return pa.table({"id": np.concatenate(ids), "n": np.concatenate(many)})
+
+    counts = rows.groupBy("grp", "block_l", "block_r").applyInArrow(count, "id bigint, n bigint")
+    core = counts.groupBy("id").agg(F.sum("n").alias("n")).select("id", (F.col("n") >= min_points).alias("is_core"))
+    return rows.join(cut_lineage(core), "id", "left").na.fill({"is_core": False})
 
 
 def vector_clusters(
-    vectors: DataFrame, row_id: str, vector: str, scaling: Scaling, threshold: float = 0.75, min_size: int = 3
+    vectors: DataFrame,
+    row_id: str,
+    vector: str,
+    scaling: Scaling,
+    threshold: float = 0.75,
+    min_size: int = 3,
+    min_points: int = 1,
 ) -> DataFrame:
     """``(cluster_id, id, size)`` of every id in a cluster of at least ``min_size`` ids; ``cluster_id`` is the smallest
-    id of the cluster.
+    core id of the cluster.
 
     Rows with a null id or an unreadable vector (null, another number of elements, null, NaN or infinite elements, no
     direction) are left out; repeated rows count once, and an id with several different vectors is linked by any of
-    them. Empty input gives no row.
+    them and counts once for each of them in ``min_points``. A vector that is near core points of several clusters
+    belongs to the one of the smallest id. Empty input gives no row.
 
-    Two vectors that reach the threshold always meet: one of them asks in every cell that can hold a partner.
+    Two vectors that reach the threshold meet in the cells of both.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(row_id).isNotNull())
-    cells = fit_cells(rows, vector, scaling, threshold, once=True)
+    cells = fit_cells(rows, row_id, vector, scaling, threshold, keep=min_points + 1)
     if cells is None:
         return spark.createDataFrame([], "cluster_id bigint, id bigint, size bigint")
     spread = assign(rows, row_id, vector, cells)
     cells.sample = cells.sample[:0]
-    local = spread.groupBy("grp", "block_l", "block_r").applyInArrow(_local(cells, threshold), "id bigint, root bigint")
-    member = cut_lineage(local.groupBy("id").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")))
+    held = shared(spark, cells)
+    if min_points > 1:
+        spread = _with_density(cut_lineage(spread), held, threshold, min_points).select(*spread.columns, "is_core")
+
+    def run(group: pa.Table) -> pa.Table:
+        return _local(group, opened(held), threshold)
+
+    local = spread.groupBy("grp", "block_l", "block_r").applyInArrow(run, "id bigint, root bigint, core boolean")
+    local = cut_lineage(local.groupBy("id", "core").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")))
+    member = local.where("core")
     links = member.where(F.size("roots") > 1).select(F.col("root").alias("a"), F.explode("roots").alias("b"))
-    merged = connected_components(links)
-    found = member.select("id", "root").join(merged.withColumnRenamed("node", "root"), "root", "left")
-    found = found.select(F.coalesce("component", "root").alias("cluster_id"), "id")
+    merged = connected_components(links).withColumnRenamed("node", "root")
+    touched = local.where("not core").select("id", F.explode("roots").alias("root"))
+    ends = member.select("id", "root").unionByName(touched).join(merged, "root", "left")
+    found = ends.groupBy("id").agg(F.min(F.coalesce("component", "root")).alias("cluster_id")).select("cluster_id", "id")
+    copies = left_out(rows, row_id, vector, cells)
+    if copies is not None:
+        found = cut_lineage(found)
+        of_rep = found.join(F.broadcast(copies.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
+        more = copies.join(F.broadcast(of_rep.withColumnRenamed("id", "rep")), "rep").select("cluster_id", "id")
+        found = found.unionByName(more).groupBy("id").agg(F.min("cluster_id").alias("cluster_id")).select("cluster_id", "id")
+    found = cut_lineage(found)
     sizes = found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return skew_join(found, sizes, "cluster_id").select("cluster_id", "id", "size")
 

@@ -3,12 +3,14 @@
 Vectors are coded as a sum of one full-dimensional codeword of each codebook. The codebooks are fitted on the bounded
 sample one after another, each on what the former left over; a vector's code is found by beam search over all
 codebooks. The cosine to a query is estimated by adding one table entry per codebook and dividing by a stored number,
-the product of the vector with its code; this is unbiased for a query in any direction, and the part of the code that
-is perpendicular to the vector, the stored deviation, tells how far the estimate may be off. A vector is scored exactly
-unless its estimate, ``DEVIATIONS`` above, stays below the threshold or below what the k-th best reaches at least.
+the product of the vector with its code. How far the estimate may be off is stored too: the deviation of the product of
+a random query with the part of the code that is perpendicular to the vector. The stored norm of the code gives a
+certain lower bound of the cosine besides. A vector is a candidate of a query unless its estimate, ``DEVIATIONS`` above,
+stays below the threshold or below what the k-th best reaches for certain; the query's own candidates are then scored
+exactly.
 
 The codes are searched cell by cell (:mod:`quern.llm.vector_cells`): a vector is stored in its home cell, and each
-vector asks in every cell that can hold a vector of at least the threshold, however many these are.
+vector asks in every cell of its margin where the sketches show a possible partner.
 """
 
 from __future__ import annotations
@@ -20,30 +22,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells
-from quern.session import opened, shared
+from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells, left_out
+from quern.session import cut_lineage, opened, shared
 
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
 #: Codebooks are fitted on this many rows of the sample.
 BOOK_SAMPLE = 4_096
-DEVIATIONS = 3.0
-BLOCK = 256
+#: Deviations, and what rounding may add, by which an estimate may be off.
+DEVIATIONS, SLACK = 4.0, 2e-3
+#: Queries whose estimates are held at once, and of those the ones whose candidates are scored together.
+BLOCK, TOGETHER = 256, 16
 SEED = 20_240_302
 
 
 @dataclass
 class Additive:
-    """``words``: books x codewords x width. ``cross``: products of all pairs of codewords. ``freedom``: number of
-    directions that the sample's vectors effectively spread over."""
+    """``words``: books x codewords x width. ``cross``: products of all pairs of codewords. ``root``: of the second moments of
+    the sample's vectors, width x width."""
 
     words: np.ndarray
     cross: np.ndarray
-    freedom: float
+    root: np.ndarray
 
     @classmethod
-    def of(cls, words: np.ndarray, freedom: float) -> Additive:
+    def of(cls, words: np.ndarray, sample: np.ndarray) -> Additive:
         flat = words.reshape(-1, words.shape[-1])
-        return cls(words, flat @ flat.T, freedom)
+        value, vector = np.linalg.eigh((sample.T @ sample / len(sample)).astype(np.float64))
+        return cls(words, flat @ flat.T, (vector * np.sqrt(np.maximum(value, 0))).astype(np.float32))
+
+    def deviation(self, x: np.ndarray, codes: np.ndarray, product: np.ndarray) -> np.ndarray:
+        """Standard deviation of what the estimates of each unit row are off for a random query: one of the sample's, or
+        one in any direction, whichever is more. Infinite for a code that has no part along the row."""
+        coded = product > 1e-3
+        flat = self.words.reshape(-1, self.words.shape[-1])
+        off = flat[codes].sum(axis=1) / np.where(coded, product, 1)[:, None] - x
+        least = np.linalg.norm(off, axis=1) / np.sqrt(x.shape[1])
+        return np.where(coded, np.maximum(np.linalg.norm(off @ self.root, axis=1), least), np.inf).astype(np.float32)
 
     def tables(self, x: np.ndarray) -> np.ndarray:
         """Products of each row with every codeword of every book."""
@@ -74,19 +88,25 @@ class Additive:
         square = np.take_along_axis(cost, at[:, None], axis=1)[:, 0] + 2 * product
         return chosen, product, np.sqrt(np.maximum(square, 1e-12))
 
-    def candidates(self, lut: np.ndarray, stored: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, threshold: float) -> np.ndarray:
-        """Whether each stored vector may be among the ``k`` best of at least ``threshold`` of each query."""
-        codes, product, norm = stored
+    def candidates(self, lut: np.ndarray, stored: tuple[np.ndarray, ...], begin: np.ndarray, k: int, threshold: float) -> np.ndarray:
+        """Whether each stored vector may be among the ``k`` best ids of at least ``threshold`` of each query. ``stored``:
+        codes, products, norms and deviations; ``begin``: where the rows of each id begin."""
+        codes, product, norm, deviation = stored
         score = np.take(lut, codes[:, 0], axis=1)
         for m in range(1, codes.shape[1]):
             score += np.take(lut, codes[:, m], axis=1)
-        coded = product > 1e-3
-        safe = np.where(coded, product, 1)
-        score /= safe
-        off = DEVIATIONS * np.sqrt(np.maximum((norm / safe) ** 2 - 1, 0) / self.freedom)
-        off[~coded] = np.inf
-        least = np.partition(score - off, len(off) - k, axis=1)[:, len(off) - k] if len(off) > k else np.full(len(lut), -np.inf)
-        return score + off >= np.maximum(least, threshold)[:, None]
+        least = np.full(len(lut), threshold, np.float32)
+        if len(begin) > k:
+            # Certain bounds: the parts beside the code at worst point in opposite directions.
+            along = score / norm
+            low = along * (product / norm)
+            low -= np.sqrt(np.maximum(1 - along * along, 0)) * np.sqrt(np.maximum(1 - (product / norm) ** 2, 0))
+            low = low if len(begin) == len(norm) else np.maximum.reduceat(low, begin, axis=1)
+            least = np.maximum(least, np.partition(low, len(begin) - k, axis=1)[:, len(begin) - k])
+        score /= np.where(np.isfinite(deviation), product, 1)
+        # Of a query at a cosine of at least c only the part beside the vector, sqrt(1 - c^2), can err.
+        beside = np.sqrt(np.maximum(1 - np.clip(least, 0, 1) ** 2, 0))
+        return score + (DEVIATIONS * deviation) * beside[:, None] + SLACK >= least[:, None]
 
 
 def fit_books(sample: np.ndarray, books: int = BOOKS, codewords: int = CODEWORDS, rounds: int = 6) -> Additive:
@@ -105,44 +125,78 @@ def fit_books(sample: np.ndarray, books: int = BOOKS, codewords: int = CODEWORDS
             c[filled] = np.add.reduceat(left[order], begin, axis=0) / many[filled, None]
         left -= c[np.argmax(left @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)]
         words.append(c)
-    spectrum = np.linalg.eigvalsh((sample[:BOOK_SAMPLE].T @ sample[:BOOK_SAMPLE]).astype(float))
-    return Additive.of(np.stack(words).astype(np.float32), float(spectrum.sum() ** 2 / (spectrum**2).sum()))
+    return Additive.of(np.stack(words).astype(np.float32), sample)
+
+
+def _few_copies(ids: np.ndarray, marks: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows, by id, of which at most ``most`` have the same vector: those of the smallest ids. As equal
+    cosines go by the smaller id, further copies are never among the ``most - 1`` best others of any query."""
+    order = np.lexsort((ids, marks))
+    first = np.flatnonzero(np.r_[True, np.diff(marks[order]) != 0])
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    kept = order[nth < most]
+    return kept[np.argsort(ids[kept], kind="stable")]
 
 
-def search_cell(cell: Cell, coder: Additive, tables: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, ...]:
+def exact_scores(queries: np.ndarray, units: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, int]:
+    """Cosines, -2 where not ``wanted``, and how many were computed. Queries whose candidates coincide are scored in one
+    product, otherwise pair by pair."""
+    out, done = np.full(wanted.shape, -2.0), 0
+    for s in range(0, len(queries), TOGETHER):
+        part = wanted[s : s + TOGETHER]
+        columns = np.flatnonzero(part.any(axis=0))
+        if part.sum() * 1.5 >= part.shape[0] * len(columns):
+            found = np.full(part.shape, -2.0)
+            found[:, columns] = queries[s : s + TOGETHER] @ units[columns].T
+            out[s : s + TOGETHER] = np.where(part, found, -2)
+            done += part.shape[0] * len(columns)
+        else:
+            for q in range(len(part)):
+                own = np.flatnonzero(part[q])
+                out[s + q, own] = units[own] @ queries[s + q]
+                done += len(own)
+    return np.round(out, 6), done
+
+
+def search_cell(
+    cell: Cell, coder: Additive, tables: np.ndarray, k: int, threshold: float, count: list[int] | None = None
+) -> tuple[np.ndarray, ...]:
     """(query id, other id, cosine) of the ``k`` best others of each left row among the right rows at home. ``tables`` holds
-    the products of the task's rows with the codewords."""
+    the products of the task's rows with the codewords. To ``count``, if given, are added the numbers of pairs, of
+    candidates and of exact scores."""
     stored, asking = np.flatnonzero(cell.right & cell.home), np.flatnonzero(cell.left)
-    out: list[tuple[np.ndarray, ...]] = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     if not len(stored) or not len(asking):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return out[0]
+    stored = stored[_few_copies(cell.ids[stored], cell.marks[stored], k + 1)]
     units, ids = cell.units[stored], cell.ids[stored]
-    codes = coder.encode(units)
-    # Rows that repeat an id with another vector: so many more rows hold k other ids for certain.
-    wide = k + len(ids) - len(np.unique(ids))
+    begin = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+    codes, product, norm = coder.encode(units)
+    codes = (codes, product, norm, coder.deviation(units, codes, product))
+    # Queries of the same first word come together, as their candidates often coincide.
+    asking = asking[np.argsort(np.argmax(tables[cell.at[asking], : coder.words.shape[1]], axis=1), kind="stable")]
     for s in range(0, len(asking), BLOCK):
         rows = asking[s : s + BLOCK]
-        q, mine = cell.units[rows], cell.ids[rows]
-        # The query itself is among the stored. One product scores the candidates of the whole block exactly.
-        columns = np.flatnonzero(coder.candidates(tables[cell.at[rows]], codes, wide + 1, threshold).any(axis=0))
-        exact = np.round((q @ units[columns].T).astype(np.float64), 6)
-        exact[mine[:, None] == ids[columns]] = -2
+        mine = cell.ids[rows]
+        # The query itself is among the stored.
+        wanted = coder.candidates(tables[cell.at[rows]], codes, begin, k + 1, threshold)
+        wanted &= mine[:, None] != ids
+        exact, done = exact_scores(cell.units[rows], units, wanted)
+        if count is not None:
+            count[:] = [count[0] + wanted.size, count[1] + int(wanted.sum()), count[2] + done]
+        best = exact if len(begin) == len(ids) else np.maximum.reduceat(exact, begin, axis=1)
         least = np.full(len(rows), threshold)
-        if len(columns) > wide:
-            least = np.maximum(least, -np.partition(-exact, wide - 1, axis=1)[:, wide - 1])
-        a, b = np.nonzero(exact >= least[:, None])
-        out.append((mine[a], ids[columns[b]], exact[a, b]))
-    a, b, cos = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((-cos, b, a))
-    a, b, cos = a[order], b[order], cos[order]
-    best = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)][: len(a)]
-    a, b, cos = a[best], b[best], cos[best]
-    order = np.lexsort((b, -cos, a))
-    a, b, cos = a[order], b[order], cos[order]
-    begin = np.flatnonzero(np.r_[True, np.diff(a) != 0]) if len(a) else np.zeros(0, int)
-    rank = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)]))
-    keep = rank < k
-    return a[keep], b[keep], cos[keep]
+        if len(begin) > k:
+            least = np.maximum(least, -np.partition(-best, k - 1, axis=1)[:, k - 1])
+        a, b = np.nonzero(best >= least[:, None])
+        # Ids ascend, so a stable sort keeps ties in their order.
+        order = np.lexsort((-best[a, b], a))
+        a, b = a[order], b[order]
+        first = np.searchsorted(a, a)
+        kept = np.arange(len(a)) - first < k
+        a, b = a[kept], b[kept]
+        out.append((mine[a], ids[begin[b]], best[a, b]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def nearest_neighbors(
@@ -162,7 +216,7 @@ def nearest_neighbors(
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(row_id).isNotNull())
-    cells = fit_cells(rows, vector, scaling, threshold)
+    cells = fit_cells(rows, row_id, vector, scaling, threshold, keep=k + 1)
     if cells is None:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank int")
     coder = fit_books(cells.sample)
@@ -184,6 +238,19 @@ def nearest_neighbors(
         )
 
     found = spread.groupBy("grp", "block_l", "block_r").applyInArrow(run, "id bigint, other bigint, similarity double")
+    ranked = _ranked(found, k)
+    copies = left_out(rows, row_id, vector, cells)
+    if copies is None:
+        return ranked
+    # A further copy has the same best others as the greatest id that represents it.
+    ranked = cut_lineage(ranked)
+    reps = F.broadcast(copies.select(F.col("rep").alias("id")).distinct())
+    theirs = ranked.join(reps, "id", "left_semi").select(F.col("id").alias("rep"), "other", "similarity")
+    more = copies.join(F.broadcast(theirs), "rep").where("id <> other").select("id", "other", "similarity")
+    return _ranked(ranked.select("id", "other", "similarity").unionByName(more), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -57,7 +57,7 @@ def test_clusters_equal_brute_force(spark, data, monkeypatch, split):
 
     monkeypatch.setattr(cells, "CELL_ROWS", 60)
     if split:
-        monkeypatch.setattr(cells, "GROUP_ROWS", 150)
+        monkeypatch.setattr(cells, "GROUP_ROWS", 75)
     got = vector_clusters(frame(spark, data, odd_rows(data)), "track", "v", scaling(), 0.75, 3).collect()
     found = {(r["cluster_id"], r["id"]) for r in got}
     assert len(found) == len(got)
@@ -84,7 +84,7 @@ def test_neighbours_recall(spark, data, monkeypatch, split):
 
     monkeypatch.setattr(cells, "CELL_ROWS", 60)
     if split:
-        monkeypatch.setattr(cells, "GROUP_ROWS", 150)
+        monkeypatch.setattr(cells, "GROUP_ROWS", 75)
     k = 5
     got = nearest_neighbors(frame(spark, data, odd_rows(data)), "track", "v", scaling(), k, 0.75).collect()
     s = unit(data.astype(np.float32).astype(float))
