@@ -3,17 +3,16 @@
 Texts are compared by their sets of ``shingle`` consecutive words (Jaccard similarity). Texts of the same words are one
 class from the start and are worked on once.
 
-* *Fingerprint.* 128 one-bit min-hashes of the set. Two sets of similarity s differ in each bit with probability
-  ``(1 - s) / 2``, so the Hamming distance of two fingerprints tells the similarity; ``radius`` bits are allowed, four
+* *Fingerprint.* 256 one-bit min-hashes of the set. Two sets of similarity s differ in each bit with probability
+  ``(1 - s) / 2``, so the Hamming distance of two fingerprints tells the similarity; ``radius`` bits are allowed, five
   standard deviations beyond what the threshold makes expect.
 * *Shards.* In one global order of all shingles, sets that reach the threshold share one of their first
   ``n - ceil(threshold * n) + 1`` shingles (prefix filter, no loss in any order). Each such shingle is a shard. The order
   puts rare shingles first, by a table of counts of fixed size (``BUCKETS``), so shards stay small; a shard that is large
   all the same is split into blocks that meet pairwise.
 * *BK-trees.* Each shard is a tree whose children are keyed by their integer Hamming distance to the parent. A query
-  of distance d to a node follows only the edges d - radius .. d + radius; at most ``LEAF`` rows are a leaf and are
-  compared directly. The trees live in the tasks that hold the shard: they are not broadcast, because all trees
-  together grow with the corpus.
+  of distance d to a node follows only the edges d - radius .. d + radius. All candidates come from the trees. They
+  live in the tasks that hold the shard: they are not broadcast, because all trees together grow with the corpus.
 * *Verification.* The pairs within the radius are compared exactly.
 """
 
@@ -29,22 +28,22 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import let, run_hashes, word_hashes, words
 from quern.operators.components import connected_components
+from quern.operators.skew import skew_join
 from quern.session import cut_lineage
 
-WORDS = 2
+WORDS = 4
 BITS = 64 * WORDS
 #: Places of the table of shingle counts: 8 MB at any size of the corpus.
 BUCKETS = 1 << 20
 #: Rows of a shard beyond which it is split into blocks.
 SHARD_ROWS = 8_192
-LEAF = 16
-#: Queries that go down a tree together: bounds the pairs that are held at once.
-QUERIES = 512
+#: Pairs of query and node that are held at once.
+QUERIES = 1 << 20
 SEED = 20_240_303
 
 
-def radius_of(threshold: float, deviations: float = 4.0) -> int:
-    """Hamming distance that two sets at the threshold exceed with a probability of about 3e-5."""
+def radius_of(threshold: float, deviations: float = 5.0) -> int:
+    """Hamming distance that two sets at the threshold exceed with a probability of about 3e-7."""
     p = (1 - threshold) / 2
     return min(BITS, math.ceil(BITS * p + deviations * math.sqrt(BITS * p * (1 - p))))
 
@@ -67,52 +66,61 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-class BKTree:
-    """Burkhard-Keller tree over places of an array of fingerprints."""
-
-    def __init__(self, prints: np.ndarray, places: np.ndarray):
-        self.prints, self.places = prints, places[: 1 if len(places) > LEAF else LEAF]
-        self.children: dict[int, BKTree] = {}
-        rest = places[len(self.places) :]
-        if len(rest):
-            distance = apart(prints[rest], prints[places[0]])
-            order = np.argsort(distance, kind="stable")
-            edges, begin = np.unique(distance[order], return_index=True)
-            for edge, part in zip(edges.tolist(), np.split(rest[order], begin[1:]), strict=True):
-                self.children[edge] = BKTree(prints, part)
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the tree, place of the query) of all pairs at most ``radius`` apart; many queries go down
-        together."""
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        stack = [(self, queries)]
-        while stack:
-            node, asking = stack.pop()
-            for place in node.places:
-                distance = apart(self.prints[asking], self.prints[place])
-                hit = asking[distance <= radius]
-                found.append((np.full(len(hit), place), hit))
-            for edge, child in node.children.items():
-                follow = asking[abs(distance - edge) <= radius]
-                if len(follow):
-                    stack.append((child, follow))
-        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-
-
-def tree_pairs(prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (place of ``left``, place of ``right``) at most ``radius`` apart, for ``QUERIES`` places of ``right`` at a
-    time. Equal fingerprints are one node."""
-    distinct, node_of = np.unique(prints[left], axis=0, return_inverse=True)
-    shuffled = np.random.default_rng(SEED).permutation(len(distinct))
-    order = np.argsort(node_of.ravel(), kind="stable")
-    many = np.bincount(node_of.ravel(), minlength=len(distinct))
-    begin = np.cumsum(many) - many
-    tree = BKTree(np.concatenate([distinct, prints[right]]), shuffled)
-    for s in range(0, len(right), QUERIES):
-        node, query = tree.within(np.arange(s, min(s + QUERIES, len(right))) + len(distinct), radius)
-        times = many[node]
-        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        yield left[order[np.repeat(begin[node], times) + offset]], right[np.repeat(query - len(distinct), times)]
+class Forest:
+    """Burkhard-Keller trees of many shards at once, as arrays: every node but a root hangs at its parent by the edge of
+    their distance, and no two children of a node have the same edge. All trees grow and are searched in step, a level
+    at a time. Equal fingerprints of a shard are one node."""
+
+    def __init__(self, prints: np.ndarray, shard: np.ndarray, rows: np.ndarray):
+        """Of the places ``rows`` of ``prints``; ``shard`` numbers their shards from 0."""
+        order = np.lexsort((*prints[rows].T, shard[rows]))
+        rows = rows[order]
+        new = np.r_[True, (np.diff(shard[rows]) != 0) | (np.diff(prints[rows].view(np.int64), axis=0) != 0).any(axis=1)][: len(rows)]
+        self.rows, self.begin = rows, np.flatnonzero(new)
+        self.many = np.diff(np.r_[self.begin, len(rows)])
+        self.prints, tree = prints[rows[self.begin]], shard[rows[self.begin]]
+        nodes = np.random.default_rng(SEED).permutation(len(self.begin))
+        trees, first = np.unique(tree[nodes], return_index=True)
+        self.root = np.full(int(shard.max(initial=-1)) + 1, -1)
+        self.root[trees] = nodes[first]
+        self.size = np.bincount(tree, minlength=len(self.root))
+        at, waiting = self.root[tree[nodes]], np.delete(nodes, first)
+        at = np.delete(at, first)
+        keys, children = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(waiting):
+            key = at * (BITS + 1) + apart(self.prints[waiting], self.prints[at])
+            edge, head, place = np.unique(key, return_index=True, return_inverse=True)
+            keys.append(edge)
+            children.append(waiting[head])
+            at = np.delete(waiting[head][place.ravel()], head)
+            waiting = np.delete(waiting, head)
+        keys, children = np.concatenate(keys), np.concatenate(children)
+        order = np.argsort(keys)
+        self.keys, self.children = keys[order], children[order]
+
+    def within(self, prints: np.ndarray, shard: np.ndarray, queries: np.ndarray, radius: int, count: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of the forest, query) of all pairs of a shard at most ``radius`` apart: a query at distance d from a node goes
+        on along its edges d - radius .. d + radius. ``QUERIES`` pairs at most are held at once, but those of one query.
+        To ``count``, if given, are added the numbers of edges followed and of all edges of the queries' trees."""
+        queries = queries[self.root[shard[queries]] >= 0]
+        part = np.cumsum(self.size[shard[queries]]) // QUERIES
+        for asking in np.split(queries, np.flatnonzero(np.diff(part)) + 1):
+            node = self.root[shard[asking]]
+            if count is not None:
+                count[1] += int((self.size[shard[asking]] - 1).sum())
+            while len(asking):
+                distance = apart(prints[asking], self.prints[node])
+                hit = np.flatnonzero(distance <= radius)
+                times = self.many[node[hit]]
+                offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                yield self.rows[np.repeat(self.begin[node[hit]], times) + offset], np.repeat(asking[hit], times)
+                low = np.searchsorted(self.keys, node * (BITS + 1) + np.maximum(distance - radius, 0))
+                high = np.searchsorted(self.keys, node * (BITS + 1) + np.minimum(distance + radius, BITS), side="right")
+                edges = high - low
+                if count is not None:
+                    count[0] += int(edges.sum())
+                offset = np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges)
+                node, asking = self.children[np.repeat(low, edges) + offset], np.repeat(asking, edges)
 
 
 def _prefixes(threshold: float, counts: np.ndarray, shard_rows: int):
@@ -187,31 +195,17 @@ def _search(threshold: float, radius: int):
             keys = np.stack([table.column(c).to_numpy() for c in ("shard", "block_a", "block_b")])
             prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in PRINTS], axis=1)
             n, side, rest = (table.column(c).to_numpy() for c in ("n", "side", "rest"))
-            begin = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0)])
-            many = np.diff(np.r_[begin, len(n)])
-            shard = np.repeat(np.arange(len(begin)), many)
+            shard = np.cumsum(np.r_[0, (np.diff(keys) != 0).any(axis=0)])
             ids = table.column("id").combine_chunks()
-
-            def kept(a: np.ndarray, b: np.ndarray, prints=prints, n=n, rest=rest, ids=ids) -> pa.RecordBatch:
+            one = keys[1] == keys[2]
+            forest = Forest(prints, shard, np.flatnonzero(one | (side == 0)))
+            for a, b in forest.within(prints, shard, np.flatnonzero(one | (side == 1)), radius):
+                # Within one block every pair comes up from both ends.
+                some = (a < b) | ~one[a]
+                a, b = a[some], b[some]
                 need = threshold / (1 + threshold) * (n[a].astype(float) + n[b]) - 1e-9
                 able = (1 + np.minimum(rest[a], rest[b]) >= need) & (np.minimum(n[a], n[b]) >= need)
-                a, b = a[able], b[able]
-                near = apart(prints[a], prints[b]) <= radius
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(a[near])), ids.take(pa.array(b[near]))], names=["a", "b"])
-
-            leaf = np.flatnonzero((many[shard] <= LEAF) & (keys[1] == keys[2]))
-            for step in range(1, LEAF):
-                a, b = leaf[:-step], leaf[step:]
-                same = shard[a] == shard[b]
-                yield kept(a[same], b[same])
-            for k in np.flatnonzero((many > LEAF) | (keys[1, begin] != keys[2, begin])):
-                places = np.arange(begin[k], begin[k] + many[k])
-                if keys[1, begin[k]] == keys[2, begin[k]]:
-                    for a, b in tree_pairs(prints, places, places, radius):
-                        yield kept(a[a < b], b[a < b])
-                elif 0 < side[places].sum() < len(places):
-                    for a, b in tree_pairs(prints, places[side[places] == 0], places[side[places] == 1], radius):
-                        yield kept(a, b)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[able])), ids.take(pa.array(b[able]))], names=["a", "b"])
 
     return run
 
@@ -298,7 +292,8 @@ class NearDuplicates:
         ends = self.links.select(F.col("a").alias("class")).unionByName(self.links.select(F.col("b").alias("class")))
         degree = ends.groupBy("class").agg(F.count(F.lit(1)).alias("class_links"))
         merged = connected_components(self.links.select("a", "b")).withColumnRenamed("node", "class")
-        found = self.members.join(merged, "class", "left").join(degree, "class", "left")
+        known = merged.join(degree, "class", "full")
+        found = skew_join(self.members, known, "class", "left")
         found = found.select("id", F.coalesce("component", "class").alias("c"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
         lowest = found.groupBy("c").agg(F.min("id").alias("group_id"))
-        return found.join(lowest, "c").select("id", "group_id", "class_links")
+        return skew_join(cut_lineage(found), lowest, "c").select("id", "group_id", "class_links")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from quern.llm.edit_groups import BKTree, NearDuplicates, apart, fingerprints, radius_of, tree_pairs
+from quern.llm.edit_groups import BITS, Forest, NearDuplicates, apart, fingerprints, radius_of
 
 RNG = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(300)]
@@ -85,16 +85,31 @@ def test_empty(spark):
         NearDuplicates(frame(spark, []), "key", "body", threshold=0)
 
 
-def test_tree_equals_scan():
+def test_trees_equal_scan():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 12, size=(400, 2)).astype(np.uint64)
-    tree = BKTree(prints, np.arange(300))
+    prints[50:80] = prints[0]
+    shard = rng.integers(0, 5, 400)
+    forest = Forest(prints, shard, np.arange(300))
     for radius in (0, 2, 5):
-        a, b = tree.within(np.arange(300, 400), radius)
-        assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(300) for j in range(300, 400) if apart(prints[i], prints[j]) <= radius}
-    left, right = np.arange(200), np.arange(200, 400)
-    same = np.repeat(prints[:40], 10, axis=0)
-    assert sum(len(a) for a, _ in tree_pairs(same, left, right, 3)) == sum(apart(same[i], same[j]) <= 3 for i in left for j in right)
+        count = [0, 0]
+        found = [p for a, b in forest.within(prints, shard, np.arange(250, 400), radius, count) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(found) == len(set(found))
+        assert set(found) == {(i, j) for i in range(300) for j in range(250, 400) if shard[i] == shard[j] and apart(prints[i], prints[j]) <= radius}
+        assert count[0] < count[1]
+
+
+def test_trees_prune_what_is_far_from_near_copies():
+    """A shard of groups of near copies: a query within the radius of a node leaves out what is far from it."""
+    rng = np.random.default_rng(4)
+    heads = rng.integers(0, 1 << 62, size=(4, BITS // 64), dtype=np.int64).astype(np.uint64)
+    prints = np.repeat(heads, 50, axis=0)
+    for row in prints:
+        for bit in rng.choice(BITS, 8, replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    shard, count = np.zeros(200, np.int64), [0, 0]
+    found = sum(len(a) for a, _ in Forest(prints, shard, np.arange(200)).within(prints, shard, np.arange(200), 40, count))
+    assert found == 4 * 50 * 50 and count[0] < 0.7 * count[1]
 
 
 def test_fingerprints_tell_the_similarity():
@@ -106,4 +121,4 @@ def test_fingerprints_tell_the_similarity():
         p = fingerprints(np.r_[a, b], np.array([80, 80]))
         distances.append(apart(p[0], p[1]))
     assert max(distances) <= radius_of(0.6)
-    assert np.mean(distances) == pytest.approx(128 * 0.2, rel=0.1)
+    assert np.mean(distances) == pytest.approx(BITS * 0.2, rel=0.1)
