@@ -1,13 +1,16 @@
 """Filling fixed-capacity containers with texts sized in tokens.
 
 Hierarchical multi-length packing. Texts longer than the capacity are split into full containers and a rest; all other
-texts stay whole. The pieces are spread over shards by hash; a shard holds about ``SHARD_CONTAINERS`` containers'
-worth of tokens at any size of the corpus, so at most one container in that many is left badly filled. Within a shard:
-
-1. pieces are routed to tiers by length (above 1/2 of the capacity, above 1/4, ...);
-2. tiers are packed from the longest: a tier's longest piece opens a container;
-3. the container's gap is filled from this and the shorter tiers: the pair of lengths that closes it exactly if there is
-   one, otherwise the longest piece that fits, until nothing fits;
+texts stay whole. The pieces are spread over shards; a shard holds about ``SHARD_CONTAINERS`` containers' worth of tokens
+and at most about ``SHARD_ROWS`` rows at any size of the corpus, so at most one container in that many is left badly
+filled. Within a shard:
+
+1. pieces are routed to the tier of the shortest context size that holds them: the capacity, a half, a quarter, ...;
+2. the tiers are packed one after another from the longest into windows of their context size: a tier's longest piece
+   opens a window, and its gap is filled from this and the shorter tiers: the pair of lengths that closes it exactly if
+   there is one, otherwise the longest piece that fits, until nothing fits;
+3. a tier's windows are bound into containers of the capacity, and what their gaps add up to is filled from the shorter
+   tiers once more;
 4. containers are dealt to step groups of equal number so that the groups' attention cost (sum of squared piece
    lengths) is balanced.
 """
@@ -25,10 +28,9 @@ from pyspark.sql import functions as F
 
 from quern.session import cut_lineage
 
-TOKENIZER_DIR = "/opt/tokenizers"
 #: Split pattern that belongs to the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHARD_CONTAINERS = 2_048
+SHARD_CONTAINERS, SHARD_ROWS = 2_048, 500_000
 GROUP_CONTAINERS = 64
 TIERS = 6
 
@@ -41,9 +43,7 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def token_counts(
-    docs: DataFrame, row_id: str = "doc_id", text: str = "text", tokenizer: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
-) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, n_tokens)`` of every row with a non-empty text, in tokens of the byte-level vocabulary in the file
     ``tokenizer``. The file (below 2 MB) is read where the plan is made and sent to the executors once."""
     with open(tokenizer, "rb") as f:
@@ -95,24 +95,30 @@ class _Lengths:
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Container of each piece (no piece is longer than the capacity) and the tier that opened it."""
+    """Container of each piece (no piece is longer than the capacity) and the tier of the container's windows."""
     box, tier = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    pool, boxes, bound = _Lengths(lengths, capacity), 0, capacity
-    while longest := pool.at_most(bound):
-        bound = longest
-        level = min(TIERS - 1, (capacity // longest).bit_length() - 1)
-        piece, gap = pool.take(longest), capacity - longest
-        box[piece], tier[piece] = boxes, level
-        while gap:
-            fit = pool.at_most(gap)
-            if not fit:
-                break
-            chosen = (fit,) if fit == gap else pool.pair(gap) or (fit,)
-            for n in chosen:
-                piece = pool.take(n)
-                box[piece], tier[piece] = boxes, level
+    pool, boxes = _Lengths(lengths, capacity), 0
+
+    def fill(pieces: list[int], gap: int) -> int:
+        while gap and (fit := pool.at_most(gap)):
+            for n in (fit,) if fit == gap else pool.pair(gap) or (fit,):
+                pieces.append(pool.take(n))
                 gap -= n
-        boxes += 1
+        return gap
+
+    for level in range(TIERS):
+        context = max(1, capacity >> level)
+        shorter = context // 2 if level < TIERS - 1 else 0
+        windows = []
+        while (longest := pool.at_most(context)) > shorter:
+            pieces = [pool.take(longest)]
+            windows.append((pieces, context - fill(pieces, context - longest)))
+        bound = capacity // context
+        for s in range(0, len(windows), bound):
+            pieces = [p for own, _ in windows[s : s + bound] for p in own]
+            fill(pieces, capacity - sum(used for _, used in windows[s : s + bound]))
+            box[pieces], tier[pieces] = boxes, level
+            boxes += 1
     return box, tier
 
 
@@ -149,7 +155,8 @@ def pack_containers(sizes: DataFrame, capacities: list[tuple[int, int]]) -> Data
 
     A row of at most the capacity is one piece (part 0); a longer one is cut into full pieces and a rest. Rows without
     tokens or with a null count are left out; a null id is kept as such; repeated ids are separate rows. Containers
-    are numbered within the target, with gaps. Empty input gives no row.
+    are numbered within the target, with gaps; which pieces share one depends on the places of the rows in the written
+    table of ``sizes``. Empty input gives no row.
     """
     spark = sizes.sparkSession
     kind = sizes.schema["id"].dataType.simpleString()
@@ -158,19 +165,20 @@ def pack_containers(sizes: DataFrame, capacities: list[tuple[int, int]]) -> Data
         "step_group bigint"
     )
     usable = cut_lineage(sizes.where(F.col("n_tokens") > 0).select("id", "n_tokens"))
-    total = usable.agg(F.sum("n_tokens")).first()[0]
+    total, rows = usable.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
     if total is None or not capacities:
         return spark.createDataFrame([], schema)
-    shards = [(t, c, max(1, round(total / (c * SHARD_CONTAINERS)))) for t, c in capacities]
+    shards = [(t, c, max(1, round(total / (c * SHARD_CONTAINERS)), -(-rows // SHARD_ROWS))) for t, c in capacities]
     targets = F.array(*[
         F.struct(F.lit(t).cast("int").alias("target_id"), F.lit(c).cast("int").alias("capacity"), F.lit(s).alias("s"))
         for t, c, s in shards
     ])
-    spread = usable.select("id", "n_tokens", F.explode(targets).alias("t")).select(
-        "id", "n_tokens", "t.target_id", "t.capacity",
-        F.pmod(F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("id", "n_tokens")),
-               F.col("t.s")).cast("int").alias("shard"),
-    )
+    # By the row's place and not by its id: repeated ids spread as well.
+    place = F.xxhash64(F.monotonically_increasing_id())
+    spread = usable.select("id", "n_tokens", place.alias("p")).select("id", "n_tokens", "p", F.explode(targets).alias("t"))
+    spread = spread.select(
+        "id", "n_tokens", "t.target_id", "t.capacity", F.pmod("p", F.col("t.s")).cast("int").alias("shard")
+    )
 
     def run(group: pa.Table) -> pa.Table:
         target, capacity, shard = (group.column(c)[0].as_py() for c in ("target_id", "capacity", "shard"))
@@ -194,6 +202,25 @@ def pack_containers(sizes: DataFrame, capacities: list[tuple[int, int]]) -> Data
     return spread.groupBy("target_id", "capacity", "shard").applyInArrow(run, schema)
 
 
+def packing_faults(packed: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
+    """``(target_id, n_ids, n_incomplete, n_split, n_over)``: packed ids (assumed unique), those whose parts don't follow one
+    another without a hole, those split although they fit a container, and containers above the capacity."""
+    known = F.broadcast(packed.sparkSession.createDataFrame(capacities, "target_id int, capacity int"))
+    pieces = packed.join(known, "target_id")
+    boxes = pieces.groupBy("target_id", "container_id").agg((F.sum("n_tokens") > F.max("capacity")).alias("over"))
+    over = boxes.groupBy("target_id").agg(F.count_if("over").alias("n_over"))
+    ids = pieces.groupBy("target_id", "id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("part").alias("last"), F.count_distinct("part").alias("parts"),
+        F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.max("capacity").alias("c"),
+    )
+    whole = (F.col("n") == F.col("parts")) & (F.col("n") == F.col("last") + 1) & (F.col("end") == F.col("tokens"))
+    found = ids.groupBy("target_id").agg(
+        F.count(F.lit(1)).alias("n_ids"), F.count_if(~whole).alias("n_incomplete"),
+        F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("c"))).alias("n_split"),
+    )
+    return found.join(over, "target_id")
+
+
 def fill_summary(packed: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """``(target_id, capacity, n_containers, n_pieces, n_tokens, fill)`` per target."""
     boxes = packed.groupBy("target_id", "container_id").agg(

@@ -28,6 +28,24 @@ def test_only_long_rows_are_split(lengths):
     assert all(k == -(-n // 100) for k, n in zip(pieces, lengths, strict=True))
 
 
+def test_tiers_are_packed_and_filled_from_shorter_ones():
+    rng = np.random.default_rng(8)
+    n = np.minimum(np.maximum(1, rng.lognormal(5, 1.3, 20_000).astype(int)), 2_048)
+    box, tier = pack_lengths(n, 2_048)
+    used = np.bincount(box, weights=n)
+    assert used.sum() / (2_048 * len(used)) > 0.999
+    # Every tier has containers of its own, and each of these holds pieces of that tier, the first one at least.
+    for level in range(6):
+        context = 2_048 >> level
+        boxes = np.unique(box[tier == level])
+        assert len(boxes) and n[tier == level].max() <= context
+        longest = np.zeros(len(used), int)
+        np.maximum.at(longest, box, n)
+        assert (longest[boxes] > (context // 2 if level < 5 else 0)).all()
+    # Gaps of the longest windows hold pieces of shorter tiers.
+    assert (n[tier == 0] <= 512).any()
+
+
 def test_step_groups_are_balanced():
     cost = np.random.default_rng(0).lognormal(size=1000)
     group = step_groups(cost, 50)
@@ -40,11 +58,12 @@ def test_token_counts_round_trip(spark):
 
     import tiktoken
 
-    from quern.llm.packing import PATTERN, TOKENIZER_DIR
+    from quern.llm.packing import PATTERN
+    from quern.llm.queries_packing import TOKENIZER
 
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, id int")
-    got = {r["id"]: r["n_tokens"] for r in token_counts(df).collect()}
-    with open(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", "rb") as f:
+    got = {r["id"]: r["n_tokens"] for r in token_counts(df, TOKENIZER).collect()}
+    with open(TOKENIZER, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     e = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert got == {i: len(e.encode_ordinary(t)) for i, t in enumerate(TEXTS) if t}
