@@ -44,5 +44,17 @@ def test_share_and_hot_basket(spark):
     assert run(spark, rows, min_share=0.5) == brute(rows, min_share=0.5)
 
 
+@pytest.mark.parametrize("literal", [0, 10_000])
+def test_long_baskets_and_many_items(spark, monkeypatch, literal):
+    """Blocks of items give the pairs of a basket that owns most rows; rare items leave by the join as by the list."""
+    import quern.llm.basket_pairs as module
+
+    monkeypatch.setattr(module, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(module, "LITERAL_ITEMS", literal)
+    rows = [("hot", i) for i in range(60)] + [(f"b{j}", i) for j in range(25) for i in range(j % 9)] + [("c", 500), (None, 1)]
+    for least in (1, 3):
+        assert run(spark, rows, min_count=least) == brute(rows, least)
+
+
 def test_empty(spark):
     assert run(spark, []) == {} and run(spark, [(None, 1), ("a", None)]) == {}
