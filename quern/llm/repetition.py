@@ -51,6 +51,7 @@ RULES = (
     Rule("symbol_ratio", most=0.1),
     Rule("alpha_word_ratio", 0.7),
     Rule("stop_words", 2),
+    Rule("stop_word_ratio", 0.01),
     Rule("bullet_line_ratio", most=0.9),
     Rule("ellipsis_line_ratio", most=0.3),
     Rule("dup_line_ratio", most=0.3),
@@ -99,7 +100,11 @@ def quality_metrics(docs: DataFrame, text: str = "text", run: int = 5, min_words
 
     def of_words(w: Column) -> Column:
         stops = F.when(w.isNotNull(), F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))))
-        return F.struct(_ratio(_chars(w), F.size(w)).alias("mean_word_chars"), stops.alias("stop_words"))
+        return F.struct(_ratio(_chars(w), F.size(w)).alias("mean_word_chars"), stops.alias("stop_words"), F.size(w).alias("n"))
+
+    def with_share(x: Column) -> Column:
+        share = _ratio(x["stop_words"], x["n"])
+        return F.struct(x["mean_word_chars"].alias("mean_word_chars"), x["stop_words"].alias("stop_words"), share.alias("stop_word_ratio"))
 
     def of_tokens(w: Column) -> Column:
         return F.struct(
@@ -120,7 +125,7 @@ def quality_metrics(docs: DataFrame, text: str = "text", run: int = 5, min_words
 
     parts = [
         (_run_stats(text, run, min_words), ("n_words", "dup_run_ratio")),
-        (let(words(text), of_words), ("mean_word_chars", "stop_words")),
+        (let(let(words(text), of_words), with_share), ("mean_word_chars", "stop_words", "stop_word_ratio")),
         (let(F.array_remove(F.split(t, r"\s+"), ""), of_tokens), ("symbol_ratio", "alpha_word_ratio")),
         (
             let(F.filter(F.split(t, r"\R"), lambda x: F.trim(x) != ""), of_lines),
