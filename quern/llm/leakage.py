@@ -12,7 +12,8 @@ Every window of ``window`` consecutive words of every document is compared with
    distance in words to the best end of the document's window.
 
 The items' keys are the only thing every task holds; their number is checked (``MAX_ITEM_WINDOWS``) and beyond it the
-items are processed in several passes, never cut.
+items are processed in several passes over the corpus' hashed words, which are written once; one pass's keys at a time
+are held, and none is ever left out.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import word_hashes, words
-from quern.session import opened, shared
+from quern.session import cut_lineage, opened, shared
 
 #: Item windows held by each task in one pass: 16 bytes a window and repetition.
 MAX_ITEM_WINDOWS = 2_000_000
@@ -226,16 +228,15 @@ def leaked_items(
     passes = max(1, -(-sizes.first()["n"] * repetitions // MAX_ITEM_WINDOWS))
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id bigint"
     hashed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), word_hashes(words(text)).alias("h"))
-    out = None
-    for p in range(passes):
-        part = listed.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p) if passes > 1 else listed
+
+    def one_pass(part: DataFrame) -> tuple[DataFrame, Broadcast]:
         index = ItemIndex(
             [(r["i"], np.array(r["h"], np.int64)) for r in part.collect()], window, max_edits, samples, repetitions
         )
         # A broadcast is sent once per executor and not once per task.
         held = shared(spark, index)
 
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = opened(held)
             for batch in batches:
                 tokens, lengths = _arrays(batch.column("h"))
@@ -244,6 +245,14 @@ def leaked_items(
                     [batch.column("d").take(pa.array(d)), pa.array(i, pa.int64())], names=["doc_id", "item_id"]
                 )
 
-        found = hashed.mapInArrow(scan, schema)
+        return hashed.mapInArrow(scan, schema).distinct(), held
+
+    if passes == 1:
+        return one_pass(listed)[0]
+    hashed, out = cut_lineage(hashed), None
+    for p in range(passes):
+        found, held = one_pass(listed.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == p))
+        found = cut_lineage(found)
+        held.destroy()
         out = found if out is None else out.unionByName(found)
     return out.distinct()
