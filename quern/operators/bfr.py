@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.vectors import summaries
+from quern.session import cut_lineage, shared_folder
 
 SEED = 12_345
 MINI_SEEDS = 10
@@ -82,7 +83,7 @@ def assign(points: DataFrame, state: Summary, threshold: float | None) -> DataFr
             best = np.argmin(d, axis=1)
             far = np.zeros(len(x), bool)
             if scaled and threshold is not None:
-                far = ~(d[np.arange(len(x)), best] < threshold)
+                far = ~(d[np.arange(len(x)), best] <= threshold)
             cluster = pa.array(best.astype(np.int32), mask=far)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), cluster], names=["id", "vector", "cluster"])
 
@@ -134,17 +135,21 @@ def bfr(points: DataFrame, k: int, threshold: float, chunks: int = 10, merge_lim
     Seeds are the first ``k`` points by a hash of the id, chunks are by hash too, so the same table always gives the
     same result. Points of a chunk that are within ``threshold`` deviations of a cluster join it; the others are
     gathered around up to ten of them, groups of one are retained as single points, and the mini clusters of all chunks
-    are merged at the end where that keeps them tight.
+    are merged at the end where that keeps them tight. Rows are written by chunk and again once they are assigned.
     """
     ids, seeds = _seeds(points, k)
     if not ids:
         return None
-    rest = points.where(~F.col("id").isin(ids)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    # Written by chunk, so that each chunk reads its own rows only.
+    place = shared_folder(points.sparkSession)
+    rest = points.where(~F.col("id").isin(ids)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    rest.select("id", "vector", "chunk").write.partitionBy("chunk").parquet(place)
+    rest = points.sparkSession.read.schema(rest.select("id", "vector", "chunk").schema).parquet(place)
     discard, compressed = Summary.of(seeds), Summary.empty(seeds.shape[1])
     found = [points.where(F.col("id").isin(ids)).select("id", F.lit("discard").alias("kind"), _seed_number(ids).alias("cluster"))]
     for c in range(chunks):
         state = Summary(discard.n.copy(), discard.total.copy(), discard.square.copy())
-        chunk = assign(rest.where(F.col("chunk") == c), state, threshold)
+        chunk = cut_lineage(assign(rest.where(F.col("chunk") == c), state, threshold))
         near, far = chunk.where("cluster is not null"), chunk.where("cluster is null")
         discard.add(summaries(near, "cluster").collect())
         found.append(near.select("id", F.lit("discard").alias("kind"), "cluster"))

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg import SparseVector
+from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.rows import with_row_numbers
+from quern.session import cut_lineage
+
 #: Nodes of the largest graph whose dense Laplacian is decomposed on the driver.
 MAX_DENSE_NODES = 2_000
+#: Eigenvalues that are looked at for the eigengap.
+LEADING = 12
 
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> DataFrame:
@@ -42,7 +50,7 @@ def normalized_laplacian(graph: DataFrame) -> DataFrame:
 
 def laplacian_spectrum(graph: DataFrame, max_nodes: int = MAX_DENSE_NODES) -> tuple[list, np.ndarray, np.ndarray]:
     """Sorted nodes, ascending eigenvalues and eigenvectors (columns) of the normalised Laplacian. Raises beyond
-    ``max_nodes``: use :func:`power_iteration_clusters` there."""
+    ``max_nodes``: use :func:`leading_spectrum` or :func:`power_iteration_clusters` there."""
     nodes = degrees(graph).select("node").limit(max_nodes + 1).toPandas()["node"].sort_values().tolist()
     if len(nodes) > max_nodes:
         raise ValueError(f"more than {max_nodes} nodes")
@@ -62,15 +70,41 @@ def eigengap(values: np.ndarray) -> int:
     return int(peaks[0] if len(peaks) else np.argmax(gaps) if len(gaps) else 0) + 1
 
 
-def spectral_clusters(graph: DataFrame, k: int | None = None, seed: int = 1, n_vectors: int | None = None) -> DataFrame:
+def leading_spectrum(graph: DataFrame, n_vectors: int = LEADING, max_nodes: int = MAX_DENSE_NODES) -> tuple[np.ndarray, DataFrame]:
+    """The ``n_vectors`` smallest eigenvalues of the normalised Laplacian, ascending, and ``(node, v array<double>)`` of their
+    eigenvectors. Up to ``max_nodes`` nodes by the dense matrix; beyond that as leading singular vectors of 2I - L, whose
+    rows stay distributed and are multiplied with one vector a job. The driver then holds ``n_vectors`` numbers a node,
+    and a hub's row is as long as its degree."""
+    spark, every = graph.sparkSession, degrees(graph).select("node")
+    if every.limit(max_nodes + 1).count() <= max_nodes:
+        nodes, values, vectors = laplacian_spectrum(graph, max_nodes)
+        rows = [(n, v.tolist()) for n, v in zip(nodes, vectors[:, :n_vectors], strict=True)]
+        return values[:n_vectors], spark.createDataFrame(rows, "node bigint, v array<double>")
+    numbers = cut_lineage(with_row_numbers(every, "node"))
+    n = numbers.count()
+    half = normalized_laplacian(graph)
+    off = half.where("src <> dst").select("src", "dst", (-F.col("value")).alias("value"))
+    whole = off.unionByName(off.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value")).unionByName(
+        half.where("src = dst").select("src", "dst", (2 - F.col("value")).alias("value"))
+    )
+    at = whole.join(numbers.select(F.col("node").alias("src"), F.col("idx").alias("i")), "src").join(
+        numbers.select(F.col("node").alias("dst"), F.col("idx").alias("j")), "dst"
+    )
+    lines = cut_lineage(at.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("e")).select("i", "e.j", "e.value"))
+    matrix = IndexedRowMatrix(lines.rdd.map(lambda r: IndexedRow(r[0], SparseVector(n, r[1], r[2]))).persist(StorageLevel.MEMORY_AND_DISK), n, n)
+    found = matrix.computeSVD(min(n_vectors, n - 1), computeU=True)
+    rows = found.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
+    vectors = spark.createDataFrame(rows, "idx bigint, v array<double>").join(numbers, "idx").select("node", "v")
+    return 2 - np.array(found.s), cut_lineage(vectors)
+
+
+def spectral_clusters(graph: DataFrame, k: int | None = None, seed: int = 1, n_vectors: int | None = None, max_nodes: int = MAX_DENSE_NODES) -> DataFrame:
     """``(node, cluster)`` by k-means on eigenvectors of the normalised Laplacian, from the second one on: ``n_vectors``
-    columns, by default k - 1, as the first one is constant. ``k`` by the eigengap unless given. For graphs of at most
-    ``MAX_DENSE_NODES`` nodes."""
-    nodes, values, vectors = laplacian_spectrum(graph)
+    columns, by default k - 1, as the first one is constant. ``k`` by the eigengap of the ``LEADING`` smallest eigenvalues
+    unless given. The same on library spectral clustering of the Laplacian: its affinity step is left out."""
+    values, vectors = leading_spectrum(graph, max(LEADING, (k or 0) + 1, (n_vectors or 0) + 1), max_nodes)
     k = max(2, k or eigengap(values))
-    rows = [(n, v.tolist()) for n, v in zip(nodes, vectors[:, 1 : 1 + (n_vectors or k - 1)], strict=True)]
-    spark = graph.sparkSession
-    points = spark.createDataFrame(rows, "node bigint, v array<double>").withColumn("features", array_to_vector("v"))
+    points = vectors.select("node", array_to_vector(F.slice("v", 2, n_vectors or k - 1)).alias("features"))
     model = KMeans(k=k, seed=seed).fit(points)
     return model.transform(points).select("node", F.col("prediction").alias("cluster"))
 

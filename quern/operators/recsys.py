@@ -42,9 +42,13 @@ def item_similarity(scored: DataFrame, candidates: DataFrame | None = None) -> D
     norms = scored.groupBy("item").agg(F.sqrt(F.sum(F.col("centered") * F.col("centered"))).alias("norm"))
     a = scored.select("user", F.col("item").alias("item1"), F.col("centered").alias("c1"))
     b = scored.select("user", F.col("item").alias("item2"), F.col("centered").alias("c2"))
-    dots = a.join(b, "user").where("item1 < item2").groupBy("item1", "item2").agg(F.sum(F.col("c1") * F.col("c2")).alias("dot"))
-    if candidates is not None:
-        dots = dots.join(candidates.withColumnsRenamed({"id1": "item1", "id2": "item2"}), ["item1", "item2"], "left_semi")
+    if candidates is None:
+        both = a.join(b, "user").where("item1 < item2")
+    else:
+        # Each rating meets the candidates of its item only, never all of the user's other ratings.
+        wanted = candidates.select(F.col("id1").alias("item1"), F.col("id2").alias("item2"))
+        both = a.join(wanted, "item1").join(b, ["user", "item2"])
+    dots = both.groupBy("item1", "item2").agg(F.sum(F.col("c1") * F.col("c2")).alias("dot"))
     n1 = norms.select(F.col("item").alias("item1"), F.col("norm").alias("n1"))
     n2 = norms.select(F.col("item").alias("item2"), F.col("norm").alias("n2"))
     share = F.try_divide(F.col("dot"), F.col("n1") * F.col("n2"))

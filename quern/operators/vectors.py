@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quern.functions.vectors import as_doubles, euclidean, mahalanobis_diagonal
 
 #: Rows of one block of the exact diameter.
-DIAMETER_BLOCK = 2_000
+DIAMETER_BLOCK = 8_000
 
 
 def clean_vectors(df: DataFrame, row_id: str, vector: str, width: int, *keep: str) -> DataFrame:
@@ -78,31 +78,21 @@ def distance_to_center(points: DataFrame, cluster: str) -> DataFrame:
     ).drop("mean", "stdev")
 
 
-def nearest_center(points: DataFrame, centers: list[tuple[int, list[float]]]) -> DataFrame:
-    """``points`` plus ``center`` and ``distance`` of the nearest of the given centers (ties: the smaller number)."""
-    options = F.array(
-        *[
-            F.struct(euclidean(F.col("vector"), F.lit(c).cast("array<double>")).alias("distance"), F.lit(i).alias("center"))
-            for i, c in centers
-        ]
-    )
-    best = points.withColumn("_best", F.array_min(options))
-    return best.select(*points.columns, "_best.center", "_best.distance")
-
-
-def mahalanobis_to_centers(points: DataFrame, centers: list[tuple[int, list[float]]]) -> DataFrame:
-    """``(id, center, distance)`` of the nearest center under the pseudo-inverse of the centers' own covariance. The
-    matrix is as large as the vectors are wide, whatever the number of points; points are never shuffled."""
-    names = np.array([i for i, _ in centers])
-    at = np.array([c for _, c in centers], float)
-    inverse = np.linalg.pinv(np.atleast_2d(np.cov(at, rowvar=False)))
+def _nearest(points: DataFrame, centers: list[tuple[int, list[float]]], inverse: np.ndarray | None) -> DataFrame:
+    """``(id, center, distance)``: the nearest center under a quadratic form, Euclidean where it is None. Centers travel with
+    the task's code and points are never shuffled."""
+    names = np.array([i for i, _ in sorted(centers)])
+    at = np.array([c for _, c in sorted(centers)], float)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            square = np.stack([np.einsum("ij,ij->i", (x - c) @ inverse, x - c) for c in at], axis=1)
+            square = np.empty((len(x), len(at)))
+            for j, c in enumerate(at):
+                off = x - c
+                square[:, j] = np.einsum("ij,ij->i", off if inverse is None else off @ inverse, off)
             best = np.argmin(square, axis=1)
             distance = np.sqrt(np.maximum(square[np.arange(len(x)), best], 0))
             yield pa.RecordBatch.from_arrays(
@@ -113,11 +103,23 @@ def mahalanobis_to_centers(points: DataFrame, centers: list[tuple[int, list[floa
     return points.select("id", "vector").mapInArrow(nearest, f"id {kind}, center int, distance double")
 
 
+def nearest_center(points: DataFrame, centers: list[tuple[int, list[float]]]) -> DataFrame:
+    """``(id, center, distance)`` of the nearest of the given centers (ties: the smaller number)."""
+    return _nearest(points, centers, None)
+
+
+def mahalanobis_to_centers(points: DataFrame, centers: list[tuple[int, list[float]]]) -> DataFrame:
+    """``(id, center, distance)`` of the nearest center under the pseudo-inverse of the centers' own covariance. The
+    matrix is as large as the vectors are wide, whatever the number of points."""
+    return _nearest(points, centers, np.linalg.pinv(np.atleast_2d(np.cov([c for _, c in centers], rowvar=False))))
+
+
 def diameters(points: DataFrame, cluster: str, block: int = DIAMETER_BLOCK) -> DataFrame:
     """``(cluster, diameter)``: the exact largest distance between two members.
 
-    A cluster of m rows is cut into ceil(m / block) blocks, and each pair of blocks is a task that returns one number:
-    no pair of points becomes a row and no task holds more than two blocks, at quadratic arithmetic in the cluster.
+    A cluster of m rows is cut into ceil(m / block) blocks, and each pair of blocks is a task that returns one number: no
+    pair of points becomes a row and no task holds more than two blocks. A row is sent to as many tasks as its cluster
+    has blocks, and the arithmetic is quadratic in m.
     """
     sizes = points.groupBy(F.col(cluster).alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     numbered = points.select(F.col(cluster).alias("cluster"), "id", "vector").join(sizes, "cluster")

@@ -10,6 +10,7 @@ from quern.operators.graph import (
     degrees,
     eigengap,
     laplacian_spectrum,
+    leading_spectrum,
     normalized_laplacian,
     power_iteration_clusters,
     spectral_clusters,
@@ -67,11 +68,45 @@ def eigengap_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, eigenvalue double, n_clusters int")
 
 
+def spectral_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral_clusters(_citations(spark, sf_dir))
+
+
+def eigengap_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest eigenvalues of the citations' Laplacian."""
+    values, _ = leading_spectrum(_citations(spark, sf_dir))
+    rows = [(i, round(abs(float(v)), 6), eigengap(values)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "i int, eigenvalue double, n_clusters int")
+
+
+def pic_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power iteration clusters of as many clusters as the eigengap tells."""
+    trade = _trade(spark, sf_dir)
+    _, values, _ = laplacian_spectrum(trade)
+    return power_iteration_clusters(trade, max(2, eigengap(values)))
+
+
+def cluster_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes the clusterings of the citations give a cluster, and how often the same node."""
+    parts = [
+        found.agg(F.lit(name).alias("method"), F.count("cluster").alias("n_nodes"), F.count_distinct("node").alias("n_distinct"))
+        for name, found in (("pic", pic_clusters(spark, sf_dir)), ("spectral", spectral_citations(spark, sf_dir)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def spectrum_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum and sum of squares of the eigenvalues of the trade graph, which its edges tell as well."""
+    _, values, _ = laplacian_spectrum(_trade(spark, sf_dir))
+    row = (len(values), round(float(values.sum()), 4), round(float((values**2).sum()), 4))
+    return spark.createDataFrame([row], "n bigint, total double, squares double")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         edges_canonical, node_degrees, norm_laplacian, graph_components, trade_edges, pic_clusters, spectral_nations,
-        eigengap_nations,
+        eigengap_nations, spectral_citations, eigengap_citations, pic_nations, cluster_coverage, spectrum_sums,
     )
 }
 
@@ -81,6 +116,11 @@ _G = """
     d as (select node, count(*) as n from (select src as node from p union all select dst from p) group by node),
     q as (select src as node from g union select dst from g)"""
 
+_TRADE = """
+        select least(s_nationkey, c_nationkey)::bigint as src, greatest(s_nationkey, c_nationkey)::bigint as dst, count(*)::double as weight
+        from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey
+        join customer on o_custkey = c_custkey group by 1, 2"""
+
 ORACLE = {
     "edges_canonical": f"{_G} select src, dst, 1.0::double as weight from g",
     "node_degrees": f"""{_G} select node, count(*) as degree, count(*)::double as weighted_degree
@@ -92,8 +132,14 @@ ORACLE = {
         e as (select src as a, dst as b from p union all select dst, src from p),
         r as (select a as node, a as root from e group by a union select e.b, r.root from r join e on r.node = e.a where r.root < e.b)
         select node, min(root) as component from r group by node""",
-    "trade_edges": """
-        select least(s_nationkey, c_nationkey)::bigint as src, greatest(s_nationkey, c_nationkey)::bigint as dst, count(*)::double as weight
-        from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey
-        join customer on o_custkey = c_custkey group by 1, 2""",
+    "cluster_coverage": f"""{_G}
+        select m as method, count(*) as n_nodes, count(*) as n_distinct from q, (values ('pic'), ('spectral')) t(m) group by m""",
+    "spectrum_sums": f"""
+        with t as ({_TRADE}), p as (select * from t where src <> dst),
+        d as (select node, sum(weight) as w from (select src as node, weight from p union all select dst, weight from p) group by node)
+        select (select count(*) from (select src from t union select dst from t)) as n,
+               round((select count(*) from d), 4)::double as total,
+               round((select count(*) from d) + 2 * sum(weight * weight / (a.w * b.w)), 4) as squares
+        from p join d a on a.node = src join d b on b.node = dst""",
+    "trade_edges": _TRADE,
 }

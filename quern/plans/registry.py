@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("itemsets", "similarity", "skew", "vectors", "recsys", "graph", "streaming")
+MODULES = ("itemsets", "similarity", "skew", "vectors", "recsys", "graph", "streaming", "sources")
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

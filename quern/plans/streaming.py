@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import ensure_checkpoint_dir
+from quern.session import shared_folder
 from quern.sources.sinks import foreach_batch_stream
 from quern.sources.tables import table
 from quern.streaming.dgim import dgim_batch, dgim_stream, exact_ones
@@ -15,7 +13,7 @@ from quern.streaming.sources import parquet_stream
 from quern.streaming.windows import decayed_counts, window_counts
 
 SIZE, SLIDE, DECAY = "10 seconds", "1 second", 0.1
-WINDOW, K = 1000, 300
+WINDOW, K, SHORT = 1000, 300, 20
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +40,10 @@ def decay_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decayed_counts(_events(spark, sf_dir), "ts", "event_type", SIZE, SLIDE, DECAY, by_age=True)
 
 
-def _shared(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def _drained(result: DataFrame, mode: str, last_only: bool) -> DataFrame:
     """Run a stream over all that is there and read back what it wrote: of complete mode the last batch, otherwise all
     batches. State, progress and results lie in the shared checkpoint folder."""
-    spark, place = result.sparkSession, _shared(result.sparkSession)
+    spark, place = result.sparkSession, shared_folder(result.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(
@@ -67,6 +60,26 @@ def stream_window_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(window_counts(events, "ts", "event_type", "1 hour"), "complete", True).drop("_batch")
 
 
+def stream_window_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sorted by the window's start and the event within the stream, with each row's place in the last batch."""
+    events = parquet_stream(spark, sf_dir, "events.parquet").select("ts", "event_type")
+    rows = window_counts(events, "ts", "event_type", "1 hour").orderBy("start", "event").select("event", "n", "start")
+
+    def write(batch: DataFrame, number: int) -> None:
+        placed = batch.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+        placed.write.mode("overwrite").parquet(f"{place}/out")
+
+    place = shared_folder(spark)
+    foreach_batch_stream(rows, write, f"{place}/state", "complete").awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+def repeated_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group key once more among the aggregates: both columns are one, so the name stays clear."""
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("total"), F.col("event_type"))
+    return rows.select("event_type", "total")
+
+
 def dgim_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dgim_batch(_bits(table(spark, sf_dir, "events")), "user_id", "event_id", "bit", WINDOW, K, "canonical")
 
@@ -83,6 +96,14 @@ def dgim_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("key", "r.*")
 
 
+def dgim_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user whether the estimate is off by at most half of the ones in the window."""
+    bits = _bits(table(spark, sf_dir, "events"))
+    exact = exact_ones(bits, "user_id", "event_id", "bit", SHORT)
+    rows = dgim_batch(bits, "user_id", "event_id", "bit", SHORT, SHORT).join(exact, "key")
+    return rows.select("key", "n_bits", "ones", (2 * F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact")).alias("within"))
+
+
 def bit_window_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_ones(_bits(table(spark, sf_dir, "events")), "user_id", "event_id", "bit", K)
 
@@ -90,8 +111,8 @@ def bit_window_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_window_counts, tumbling_counts, decay_per_event, decay_by_age, stream_window_final, dgim_canonical,
-        dgim_compat, dgim_streamed, bit_window_exact,
+        sliding_window_counts, tumbling_counts, decay_per_event, decay_by_age, stream_window_final, stream_window_sorted,
+        repeated_group_key, dgim_canonical, dgim_compat, dgim_streamed, dgim_error, bit_window_exact,
     )
 }
 
@@ -103,7 +124,22 @@ _TUMBLING = """
     select time_bucket(interval '1 hour', ts) as start, time_bucket(interval '1 hour', ts) + interval '1 hour' as "end",
            event_type as event, count(*) as n from events where ts is not null and event_type is not null group by all"""
 
+_BITS = """
+    with b as (select user_id as key, event_id, (event_type = 'error')::int as bit from events
+               where user_id is not null and event_id is not null and event_type is not null),
+    u as (select key, count(*) as n_bits, sum(bit)::bigint as ones, min(event_id) as t_start, max(event_id) as t_end from b group by key)"""
+#: The oldest of the buckets of n ones that are all in the window holds 2^(floor(log2(n + 1)) - 1), of which half is counted.
+_ESTIMATE = "(case when ones > 0 then ones - (2 ** (floor(log2(ones + 1)) - 1))::bigint // 2 else 0 end)::bigint"
+
 ORACLE = {
+    "stream_window_sorted": f"""
+        select event, n, start, row_number() over (order by start, event) as place from ({_TUMBLING})""",
+    "repeated_group_key": "select event_type, round(sum(value), 2) as total from events group by 1",
+    # Users have fewer bits than the window in the test tables: nothing leaves it and nothing is halved.
+    "dgim_canonical": f"{_BITS} select key, n_bits, ones, {_ESTIMATE} as estimate from u",
+    "dgim_compat": f"{_BITS} select key, n_bits, ones, ones as estimate from u",
+    "dgim_streamed": f"{_BITS} select key::varchar as key, t_start, t_end, {_ESTIMATE} as estimate, ones from u",
+    "dgim_error": f"{_BITS} select key, n_bits, ones, true as within from u",
     "sliding_window_counts": f"{_WINDOWS} select start, \"end\", event, count(*) as n from x group by all",
     "tumbling_counts": _TUMBLING,
     "stream_window_final": _TUMBLING,

@@ -100,6 +100,16 @@ def bfr_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfr(_tracks(spark, sf_dir), BFR_K, BFR_THRESHOLD).assignments.withColumnRenamed("id", "track_id")
 
 
+def bfr_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, distinct ids, and points that the summaries and the retained set count together: three equal numbers."""
+    result = bfr(_tracks(spark, sf_dir), BFR_K, BFR_THRESHOLD)
+    summed = int(result.discard.n.sum() + result.compressed.n.sum())
+    rows = result.assignments.agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_distinct("id").alias("n_ids"), F.count_if(F.col("kind") == "retained").alias("kept")
+    )
+    return rows.select("n_points", "n_ids", (F.col("kept") + summed).alias("n_counted"))
+
+
 def bfr_top_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent genre of the tracks of each cluster of the discard set."""
     found = bfr_assignments(spark, sf_dir).where("kind = 'discard'")
@@ -116,6 +126,12 @@ def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(points, "id").withColumn("key", key)
 
 
+def ward_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of clusters and of points for every k."""
+    rows = _ward(spark, sf_dir).groupBy("k").agg(F.count_distinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_points"))
+    return rows
+
+
 def ward_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cluster_metrics(_ward(spark, sf_dir), "key")
     return rows.select((F.col("cluster") / 100).cast("int").alias("k"), (F.col("cluster") % 100).alias("cluster"), "size", "radius", "diameter", "density")
@@ -130,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         centroids, feature_statistics, standardised_norms, center_distances, nearest_centroid, nearest_centroid_full_covariance, label_metrics,
-        top_genre_per_subset, bfr_summaries, bfr_assignments, bfr_top_genre, ward_metrics, ward_elbow,
+        top_genre_per_subset, bfr_summaries, bfr_assignments, bfr_invariants, bfr_top_genre, ward_invariants, ward_metrics, ward_elbow,
     )
 }
 
@@ -141,7 +157,16 @@ _E = """
                  sqrt(sum(((x - m) / s) * ((x - m) / s))) as maha
           from e join c on e.label = c.label and e.pos = c.pos group by e.vec_id, e.label)"""
 
+_READABLE = r"""
+    with t as (select try_cast(nullif(regexp_extract(track_id, '^\s*(\d+)(?:\.0)?\s*$', 1), '') as bigint) as id, feature from features),
+    g as (select id, any_value(feature) as f from t where id is not null and len(feature) = 518
+          and len(list_filter(feature, lambda x: x is null or isnan(x) or isinf(x))) = 0 group by id)"""
+
 ORACLE = {
+    "bfr_invariants": f"{_READABLE} select count(*) as n_points, count(*) as n_ids, count(*) as n_counted from g",
+    "ward_invariants": f"""{_READABLE},
+        n as (select count(*) as n from g where id in (select track_id from tracks where set_subset = 'small'))
+        select k::int as k, k as n_clusters, n as n_points from n, range(8, 17) r(k) where k <= n""",
     "centroids": f"{_E} select label, pos::int as pos, round(m, 6) as mean, round(s, 6) as stdev from c",
     "feature_statistics": r"""
         with t as (select try_cast(nullif(regexp_extract(track_id, '^\s*(\d+)(?:\.0)?\s*$', 1), '') as bigint) as id, feature from features),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +31,17 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder of ``spark.checkpoint.dir``; only where none is named (tests, one
-    machine) use a folder of our own."""
+    """Keep the cluster's shared folder of ``spark.checkpoint.dir``. Where none is named a session on one machine uses a
+    folder of its own until it ends; on a cluster, whose executors could not read that, this raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quern-checkpoints"))
+        if not named:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="quern-checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -43,6 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new place in the checkpoint folder, for tables and streams of one query."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def shared(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast of an object with the code of its class, so that executors need not have the package. For objects of
     bounded size only."""

@@ -37,16 +37,15 @@ def read_multi_header_csv(
     spark: SparkSession, path: str, header_rows: int = 3, skip_rows: int = 0, names: list[str] | None = None
 ) -> DataFrame:
     """CSV whose first ``header_rows`` lines name the columns together, joined by ``_``; further ``skip_rows`` lines
-    follow. The leading lines are recognised by their first field, so the file may be split."""
+    follow. The leading lines are recognised by all their fields, so the file may be split."""
     raw = spark.read.option("header", False).csv(path)
     head = raw.take(header_rows + skip_rows)
     joined = names or ["_".join(str(r[i]) for r in head[:header_rows] if r[i]) or raw.columns[i] for i in range(len(raw.columns))]
-    first = raw.columns[0]
-    marks = [r[0] for r in head if r[0] is not None]
-    keep = ~F.coalesce(F.col(first).isin(marks), F.lit(False))
-    if any(r[0] is None for r in head):
-        keep = keep & F.col(first).isNotNull()
-    return raw.where(keep).toDF(*_unique(joined))
+    row = F.struct(*[F.col(c) for c in raw.columns])
+    for r in head:
+        line = F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(raw.columns, r, strict=True)])
+        raw = raw.where(~row.eqNullSafe(line))
+    return raw.toDF(*_unique(joined))
 
 
 def _unique(names: list[str]) -> list[str]:

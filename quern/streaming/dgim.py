@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,10 +27,10 @@ class Dgim:
     needed; buckets that left the window go; the count is the sum less half the oldest bucket. Times are kept within
     ``window``, counts asked for the last ``window`` bits.
 
-    ``compat``: after a one, the first three buckets in a row of equal size are replaced by two, of which the older
-    doubles under its own time; once there are more than two buckets, after every bit the oldest takes half the size of
-    its newer neighbour if it is older than ``k`` bits, and goes if it left the window, one per bit; the count is the
-    plain sum.
+    ``compat``: after a one, of the first three buckets in a row of equal size the newest goes and the oldest doubles
+    under its own time; after every merge, and after every bit as long as there are more than two buckets, the oldest takes
+    half the size of its newer neighbour if it is older than ``k`` bits, and goes if it left the window, one per bit; the
+    count is the plain sum.
     """
 
     def __init__(self, window: int, k: int, mode: str = "canonical", now: int = 0, ones: int = 0, buckets: Iterable = ()):
@@ -41,7 +43,24 @@ class Dgim:
     def update(self, bit: int) -> None:
         self.now += 1
         self.ones += bit
-        (self._canonical if self.mode == "canonical" else self._compat)(bit)
+        if self.mode == "canonical":
+            self._canonical(bit)
+        else:
+            self._compat(bit)
+
+    def extend(self, bits: np.ndarray) -> None:
+        """:meth:`update` with each of the bits; zeros only move the clock on in canonical mode."""
+        if self.mode != "canonical":
+            for b in bits.tolist():
+                self.update(b)
+            return
+        begin = self.now
+        for at in (np.flatnonzero(bits) + 1).tolist():
+            self.now = begin + at
+            self._canonical(1)
+        self.now = begin + len(bits)
+        self.ones += int(bits.sum())
+        self._canonical(0)
 
     def count(self) -> int:
         total = sum(size for _, size in self.buckets)
@@ -61,25 +80,19 @@ class Dgim:
             b[at + 1 : at + 3] = [[b[at + 1][0], 2 * b[at + 1][1]]]
             at += 1
 
-    def _shrink_oldest(self) -> None:
-        time, _ = self.buckets[-1]
-        if time <= self.now - self.k + 1:
-            self.buckets[-1][1] = self.buckets[-2][1] // 2
-
     def _compat(self, bit: int) -> None:
-        b = self.buckets
-        if bit:
-            b.insert(0, [self.now, 1])
-            sizes = [size for _, size in b]
-            at = next((i for i in range(len(b) - 2) if len(set(sizes[i : i + 3])) == 1), None)
-            if at is not None:
-                b[at + 2][1] *= 2
-                del b[at]
-                self._shrink_oldest()
-        if len(b) > 2:
-            self._shrink_oldest()
-            if b[-1][0] <= self.now - self.window:
-                b.pop()
+        rows = [[self.now, 1]] * bit + self.buckets
+        equal = [i for i, three in enumerate(zip(rows, rows[1:], rows[2:], strict=False)) if len({size for _, size in three}) == 1]
+        if equal and bit:
+            time, size = rows[equal[0] + 2]
+            rows[equal[0] : equal[0] + 3] = [rows[equal[0] + 1], [time, 2 * size]]
+        if len(rows) > 2 or equal and bit:
+            time = rows[-1][0]
+            if self.now - time >= self.k - 1:
+                rows[-1] = [time, rows[-2][1] // 2]
+            if self.now - time >= self.window and len(rows) > 2:
+                rows.pop()
+        self.buckets = rows
 
 
 def dgim_batch(bits: DataFrame, key: str, order: str, bit: str, window: int, k: int, mode: str = "canonical") -> DataFrame:
@@ -92,12 +105,16 @@ def dgim_batch(bits: DataFrame, key: str, order: str, bit: str, window: int, k:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, done = None, None, []
         for batch in batches:
-            for x, b in zip(batch.column("key").to_pylist(), batch.column("bit").to_pylist(), strict=True):
+            keys, ones = batch.column("key"), batch.column("bit").to_numpy()
+            runs = pc.run_end_encode(keys)
+            begin = 0
+            for x, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
                 if state is None or x != current:
                     if state is not None:
                         done.append((current, state.now, state.ones, state.count()))
                     current, state = x, Dgim(window, k, mode)
-                state.update(b)
+                state.extend(ones[begin:end])
+                begin = end
         if state is not None:
             done.append((current, state.now, state.ones, state.count()))
         if done:
@@ -120,8 +137,7 @@ def dgim_stream(bits: DataFrame, key: str, order: str, bit: str, window: int, k:
         now, ones, times, sizes = held.get if held.exists else (0, 0, [], [])
         state = Dgim(window, k, mode, now, ones, zip(times, sizes, strict=True))
         new = pd.concat(list(frames)).sort_values(["at", "bit"])
-        for b in new["bit"].tolist():
-            state.update(int(b))
+        state.extend(new["bit"].to_numpy())
         held.update((state.now, state.ones, [t for t, _ in state.buckets], [s for _, s in state.buckets]))
         yield pd.DataFrame(
             {"key": [keys[0]], "t_start": [int(new["at"].min())], "t_end": [int(new["at"].max())], "estimate": [state.count()], "ones": [state.ones]}

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from quern.operators.graph import degrees, eigengap, laplacian_spectrum, normalized_laplacian, power_iteration_clusters, spectral_clusters, undirected
+from quern.operators.graph import degrees, eigengap, laplacian_spectrum, leading_spectrum, normalized_laplacian, power_iteration_clusters, spectral_clusters, undirected
 from quern.operators.recsys import centered, item_candidates, item_similarity, mean_ratings, pivoted, predict
 
 EDGES = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3), (3, 2), (None, 1)]
@@ -69,3 +70,25 @@ def test_pivot_fills_zero(ratings):
 def test_items_of_equal_users_are_candidates(spark):
     df = spark.createDataFrame([(u, i, 1.0) for i in (1, 2) for u in range(10)] + [(99, 3, 1.0)], "user bigint, item bigint, rating double")
     assert {tuple(r) for r in item_candidates(df, 5, 2).collect()} == {(1, 2)}
+
+
+def test_distributed_spectrum_equals_the_dense_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 130, size=(500, 2))] + [(500, 500)]
+    g = undirected(spark.createDataFrame(rows, "src bigint, dst bigint"))
+    exact, _ = leading_spectrum(g, 6)
+    found, vectors = leading_spectrum(g, 6, max_nodes=10)
+    assert np.abs(found - exact).max() < 1e-6
+    assert {r["node"] for r in vectors.collect()} == {x for r in rows for x in r}
+    clusters = spectral_clusters(g, 3, max_nodes=10).collect()
+    assert len(clusters) == len({r["node"] for r in clusters}) == vectors.count()
+
+
+def test_only_candidates_are_compared(ratings):
+    scored = centered(ratings)
+    every = item_similarity(scored)
+    one = every.limit(1).select(F.col("item1").alias("id1"), F.col("item2").alias("id2"))
+    assert item_similarity(scored, one).count() == 1
+    assert item_similarity(scored, one.limit(0)).count() == 0

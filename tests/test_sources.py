@@ -65,3 +65,9 @@ def test_reports_and_suggestions(spark, tmp_path):
     assert {r["id"]: r["similar"] for r in readers.read_suggestion_object(spark, str(tmp_path / "o.json")).collect()} == {"x": ["y"], "z": []}
     write_parquet(df, str(tmp_path / "p"), ["n"])
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_rows_that_begin_like_a_header_line_stay(spark, tmp_path):
+    (tmp_path / "f.csv").write_text(",x,y\nid,a,b\nid,7,8\n,1,2\n")
+    rows = readers.read_multi_header_csv(spark, str(tmp_path / "f.csv"), 2).collect()
+    assert [tuple(r) for r in rows] == [("id", "7", "8"), (None, "1", "2")]

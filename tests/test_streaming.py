@@ -3,6 +3,7 @@ import os
 import random
 import threading
 
+import numpy as np
 import pytest
 
 from quern.sources.sinks import memory_stream
@@ -37,6 +38,18 @@ def test_error_is_at_most_half(density):
     assert all(sizes.count(s) <= 2 for s in sizes)
 
 
+@pytest.mark.parametrize("mode", ["canonical", "compat"])
+def test_many_bits_at_once_are_as_one_by_one(mode):
+    rng = np.random.default_rng(2)
+    one, many = Dgim(60, 25, mode), Dgim(60, 25, mode)
+    for _ in range(40):
+        bits = (rng.random(rng.integers(0, 30)) < rng.choice([0.05, 0.5, 0.9])).astype(int)
+        for b in bits.tolist():
+            one.update(b)
+        many.extend(bits)
+        assert (one.now, one.ones, one.buckets, one.count()) == (many.now, many.ones, many.buckets, many.count())
+
+
 def test_unknown_mode():
     with pytest.raises(ValueError):
         Dgim(1, 1, "x")
