@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Most rows of the other side that are broadcast for the heavy keys.
 BROADCAST_ROWS = 1_000_000
@@ -19,13 +20,19 @@ BROADCAST_ROWS = 1_000_000
 def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
     """Keys that may hold at least ``min_share`` of the rows with a non-null key, as one column named as ``key``.
 
-    The sketch misses no such key but may name others: at most ``ceil(1 / min_share)`` keys come out. An empty table
-    or one with only null keys gives no row.
+    The sketch misses no such key but may name others: at most ``ceil(1 / min_share)`` keys come out. They are fetched
+    here, once: another evaluation may merge the sketches in another order and name other keys besides, and every use
+    must see the same ones. An empty table or one with only null keys gives no row.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must be in (0, 1]")
-    rows = df.select(F.col(key).alias("k")).where("k is not null")
-    return rows.stat.freqItems(["k"], min_share * 0.999).select(F.explode("k_freqItems").alias(key))
+    kind = df.schema[key].dataType
+    # The sketch tells binary values apart by their place in memory.
+    value = F.hex(key) if isinstance(kind, BinaryType) else F.col(key)
+    rows = df.select(value.alias("k")).where("k is not null")
+    named = rows.stat.freqItems(["k"], min_share * 0.999).first()[0]
+    keys = [(bytearray.fromhex(k) if isinstance(kind, BinaryType) else k,) for k in dict.fromkeys(named)]
+    return df.sparkSession.createDataFrame(keys, StructType([StructField(key, kind)]))
 
 
 def _mark(df: DataFrame, key: str, heavy: DataFrame, flag: str) -> DataFrame:

@@ -59,3 +59,16 @@ def test_found_keys_of_small_tables(spark, tmp_path):
     spark.createDataFrame(codes, "code string").write.parquet(f"{tmp_path}/conditions.parquet")
     spark.createDataFrame([(1, 2)] * 2 + [(None, 1)] * 7, "src bigint, dst bigint").write.parquet(f"{tmp_path}/ca_hepph.parquet")
     assert {tuple(r) for r in p3_found(spark, str(tmp_path)).collect()} == {("conditions", 12), ("ca_hepph", 1)}
+
+
+def test_join_on_binary_keys(spark):
+    left = spark.range(4_000).selectExpr("unhex(md5(cast(if(id % 3 = 0, 0, id % 500) as string))) as c", "id as v")
+    right = spark.range(500).selectExpr("unhex(md5(cast(id as string))) as c", "id as w")
+    got = skew_join(left, right, "c", min_share=0.02)
+    assert got.count() == 4_000 and got.where("w <> if(v % 3 = 0, 0, v % 500)").count() == 0
+
+
+def test_sketch_names_the_same_keys_at_every_use(spark):
+    many = spark.range(0, 20_000, 1, 16).selectExpr("id % 997 as k")
+    heavy = heavy_keys(many, "k", 0.01)
+    assert sorted(heavy.collect()) == sorted(heavy.collect()) and heavy.count() <= 100
