@@ -42,14 +42,19 @@ def known_track_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track_vectors(spark, sf_dir).join(F.broadcast(ids) if few else ids.distinct(), "track_id", "left_semi")
 
 
-def p4_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbors(
         known_track_vectors(spark, sf_dir), "track_id", "feature", _scaling(spark, sf_dir), k=5, threshold=THRESHOLD
     )
 
 
+def p4_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar tracks of each, with their similarity to two digits."""
+    return _neighbors(spark, sf_dir).select("id", "other", F.round("similarity", 2).alias("similarity"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = p4_neighbors(spark, sf_dir)
+    near = _neighbors(spark, sf_dir)
     return near.select(
         F.least("id", "other").alias("track_a"), F.greatest("id", "other").alias("track_b")
     ).distinct()
@@ -65,17 +70,25 @@ _VECTORS = r"""
     k as (select list(center order by pos) as c, list(spread order by pos) as s from feature_columns),
     z as (select id, list_transform(range(1, 519), lambda i: (f[i]::double - c[i]) / s[i]) as v from g, k)"""
 
-ORACLE = {
-    "p2_found": f"""{_VECTORS},
+_CLUSTERS = f"""{_VECTORS},
         p as (select x.id as a, y.id as b from z x join z y on x.id < y.id where list_cosine_similarity(x.v, y.v) >= {THRESHOLD}),
         e as (select a, b from p union all select b, a from p),
         r as (select a as node, a as root from e group by a union select e.b, r.root from r join e on r.node = e.a where r.root < e.b),
-        c as (select node, min(root) as cluster_id from r group by node)
-        select cluster_id, node as track_id from c qualify count(*) over (partition by cluster_id) >= 3""",
-    "p4_found": f"""{_VECTORS},
+        n as (select node, min(root) as cluster_id from r group by node),
+        c as (select cluster_id, node as id, count(*) over (partition by cluster_id) as size from n qualify size >= 3)"""
+_NEAR = f"""{_VECTORS},
         q as (select * from z where id in (select track_id from tracks)),
         p as (select x.id as a, y.id as b, round(list_cosine_similarity(x.v, y.v), 6) as s from q x join q y on x.id < y.id),
         e as (select a, b, s from p where s >= {THRESHOLD} union all select b, a, s from p where s >= {THRESHOLD}),
-        n as (select a, b from e qualify row_number() over (partition by a order by s desc, b) <= 5)
-        select distinct least(a, b) as track_a, greatest(a, b) as track_b from n""",
+        n as (select a, b, s from e qualify row_number() over (partition by a order by s desc, b) <= 5)"""
+
+ORACLE = {
+    "p2_found": f"{_CLUSTERS} select cluster_id, id as track_id from c",
+    "p2_medoids": f"""{_CLUSTERS},
+        m as (select x.cluster_id, x.size, x.id, avg(list_cosine_similarity(zx.v, zy.v)) as mean
+              from c x join c y using (cluster_id) join z zx on zx.id = x.id join z zy on zy.id = y.id group by all),
+        w as (select *, row_number() over (partition by cluster_id order by round(mean, 6) desc, id) as rank from m)
+        select cluster_id, size, rank, id, round(mean, 4) as mean_similarity from w where rank <= 3""",
+    "p4_neighbors": f"{_NEAR} select a as id, b as other, round(s, 2) as similarity from n",
+    "p4_found": f"{_NEAR} select distinct least(a, b) as track_a, greatest(a, b) as track_b from n",
 }

@@ -177,3 +177,101 @@ def test_an_id_with_many_vectors_takes_one_place(spark, monkeypatch):
     df = spark.createDataFrame(rows, "track bigint, v array<float>")
     got = nearest_neighbors(df, "track", "v", scaling(), 5, 0.5).where("id = 0").orderBy("rank").collect()
     assert [r["other"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def brute_density(x, t, least, min_points):
+    s = unit(x.astype(np.float32).astype(float))
+    near = s @ s.T >= t
+    np.fill_diagonal(near, False)
+    core = near.sum(1) >= min_points
+    label = np.arange(len(x))
+    while True:
+        new = label.copy()
+        for i in np.flatnonzero(core):
+            new[i] = min(label[i], label[near[i] & core].min(initial=len(x)))
+        if (new == label).all():
+            break
+        label = new
+    cluster = {}
+    for i in range(len(x)):
+        own = label[i] if core[i] else label[near[i] & core].min(initial=len(x))
+        if own < len(x):
+            cluster.setdefault(int(own), []).append(i)
+    return {(c, i) for c, members in cluster.items() if len(members) >= least for i in members}
+
+
+@pytest.mark.parametrize("min_points", [1, 4, 40])
+def test_core_points_link_and_others_join_them(spark, monkeypatch, min_points):
+    import quern.llm.vector_cells as cells
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 60)
+    rng = np.random.default_rng(9)
+    heads = unit(rng.normal(size=(5, WIDTH)))
+    x = np.concatenate([h + s * rng.normal(size=(n, WIDTH)) / np.sqrt(WIDTH) for h, s, n in zip(heads, (0.5, 0.6, 0.7, 0.4, 0.8), (200, 90, 60, 5, 150), strict=True)])
+    x = np.concatenate([x, heads[:1] + heads[1:2] + 0.1 * rng.normal(size=(3, WIDTH)), rng.normal(size=(100, WIDTH))])
+    got = vector_clusters(frame(spark, x), "track", "v", scaling(), 0.75, 3, min_points).collect()
+    found = {(r["cluster_id"], r["id"]) for r in got}
+    assert len(found) == len(got) and found == brute_density(x, 0.75, 3, min_points)
+
+
+@pytest.fixture(scope="module")
+def copied():
+    """A third of the rows are copies of one vector, near those of another group; ids are mixed."""
+    rng = np.random.default_rng(12)
+    one = rng.normal(size=WIDTH)
+    x = np.concatenate([np.tile(one, (500, 1)), one + 0.3 * rng.normal(size=(40, WIDTH)), rng.normal(size=(900, WIDTH))])
+    return x[rng.permutation(len(x))]
+
+
+def test_copies_that_hold_a_third_of_the_rows(spark, copied, monkeypatch):
+    import quern.llm.vector_cells as cells
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 60)
+    k, df = 5, frame(spark, copied)
+    s = unit(copied.astype(np.float32).astype(float))
+    s = np.round(s @ s.T, 6)
+    np.fill_diagonal(s, -1)
+    truth = {(i, int(j)) for i in range(len(s)) for j in np.lexsort((np.arange(len(s)), -s[i]))[:k] if s[i, j] >= 0.75}
+    got = nearest_neighbors(df, "track", "v", scaling(), k, 0.75).collect()
+    found = {(r["id"], r["other"]) for r in got}
+    assert len(found) == len(got) and len(found ^ truth) <= 0.01 * len(truth)
+    for points in (1, 3):
+        clusters = {(r["cluster_id"], r["id"]) for r in vector_clusters(df, "track", "v", scaling(), 0.75, 3, points).collect()}
+        assert clusters == brute_density(copied, 0.75, 3, points)
+
+
+def test_only_candidates_are_scored_exactly():
+    """Round groups and rows without neighbours: the table lookup spares most pairs, and hardly one is scored besides."""
+    from quern.llm.vector_cells import Cell
+    from quern.llm.vector_neighbors import search_cell
+
+    rng = np.random.default_rng(13)
+    x = np.concatenate([dense_group(150, 0, 0.85, 128) @ np.linalg.qr(rng.normal(size=(128, 128)))[0] for _ in range(6)])
+    x = unit(np.concatenate([x, rng.normal(size=(600, 128))])[rng.permutation(1_500)]).astype(np.float32)
+    every, ids = np.ones(len(x), bool), np.arange(len(x))
+    coder = fit_books(x)
+    count = [0, 0, 0]
+    a, b, cos = search_cell(Cell(ids, ids, x, ids, every, every, every), coder, coder.tables(x), 5, 0.75, count)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    truth = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.75}
+    assert len(truth & set(zip(a.tolist(), b.tolist(), strict=True))) >= 0.99 * len(truth)
+    assert count[1] < 0.5 * count[0] and count[2] <= 1.5 * count[1]
+
+
+def test_many_equal_vectors_need_little_memory():
+    import tracemalloc
+
+    from quern.llm.vector_cells import Cell
+    from quern.llm.vector_neighbors import search_cell
+
+    rng = np.random.default_rng(14)
+    x = np.tile(unit(rng.normal(size=WIDTH)).astype(np.float32), (10_000, 1))
+    every, ids = np.ones(len(x), bool), np.arange(len(x))
+    coder = fit_books(unit(rng.normal(size=(500, WIDTH))).astype(np.float32))
+    tables = coder.tables(x)
+    tracemalloc.start()
+    a, b, _ = search_cell(Cell(ids, ids, x, np.zeros(len(x), np.int64), every, every, every), coder, tables, 5, 0.5)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert len(a) == 50_000 and set(b[a == 9_999].tolist()) == {0, 1, 2, 3, 4} and set(b[a == 2].tolist()) == {0, 1, 3, 4, 5}
