@@ -43,23 +43,6 @@ def portable_hash(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("bigint")
 
 
-def signature(hashes: Column, permutations: int) -> Column:
-    """Least hash of each member of the family over the set; null elements for an empty set, null for null. The family
-    is a nested transform, so the plan stays as small for many permutations as for one."""
-    numbers = F.sequence(F.lit(0), F.lit(permutations - 1)).cast("array<bigint>")
-
-    def member(i: Column) -> Column:
-        a = F.lit(1) + (i * 1_103_515_245 + 12_345) % (PRIME - 1)
-        return F.struct(a.alias("a"), ((i * 69_069 + 1) % PRIME).alias("b"))
-
-    def of(h: Column) -> Column:
-        return F.transform(
-            F.transform(numbers, member), lambda f: F.array_min(F.transform(h, lambda x: (x * f["a"] + f["b"]) % PRIME))
-        )
-
-    return F.when(hashes.isNotNull(), let(hashes, of))
-
-
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
     """One key per band: the band's number and its ``rows`` values joined, as text."""
 

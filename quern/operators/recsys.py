@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.minhash import signature
-from quern.operators.similarity import bands, candidate_pairs
+from quern.operators.similarity import bands, candidate_pairs, signatures
 
 
 def mean_ratings(rows: DataFrame, user: str, item: str, rating: str) -> DataFrame:
@@ -31,9 +30,8 @@ def centered(ratings: DataFrame) -> DataFrame:
 def item_candidates(ratings: DataFrame, n_bands: int, rows: int) -> DataFrame:
     """Pairs of items whose sets of users share a band of min-hash signatures. ``user`` must be a non-negative integer
     below 2^28."""
-    sets = ratings.groupBy(F.col("item").alias("id")).agg(F.collect_set(F.col("user").cast("bigint")).alias("users"))
-    signed = sets.select("id", signature(F.col("users"), n_bands * rows).alias("signature"))
-    return candidate_pairs(bands(signed, n_bands, rows))
+    sets = ratings.groupBy(F.col("item").alias("id")).agg(F.collect_set(F.col("user").cast("bigint")).alias("hashes"))
+    return candidate_pairs(bands(signatures(sets, n_bands * rows), n_bands, rows))
 
 
 def item_similarity(scored: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

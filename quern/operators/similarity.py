@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.minhash import band_keys, clean_tokens, portable_hash, signature, text_shingles
+from quern.functions.minhash import PRIME, band_keys, clean_tokens, coefficients, portable_hash, text_shingles
 from quern.functions.text import let
 from quern.operators.skew import skew_join
 
@@ -24,8 +26,25 @@ def shingle_sets(
 
 
 def signatures(sets: DataFrame, permutations: int) -> DataFrame:
-    """``(id, signature)``."""
-    return sets.select("id", signature(F.col("hashes"), permutations).alias("signature"))
+    """``(id, signature)``: the least hash of each member of the family over the set ``hashes``; empty and null sets are left
+    out. A batch of sets is hashed at once, by far faster than an expression per element."""
+    family = coefficients(permutations)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            if not len(sizes):
+                continue
+            begin = np.cumsum(sizes) - sizes
+            least = np.stack([np.minimum.reduceat((values * a + b) % PRIME, begin) for a, b in family], axis=1)
+            places = pa.array(np.arange(len(least) + 1) * len(family), pa.int32())
+            found = pa.ListArray.from_arrays(places, pa.array(least.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), found], names=["id", "signature"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "hashes").where(F.size("hashes") > 0).mapInArrow(run, f"id {kind}, signature array<bigint>")
 
 
 def bands(signed: DataFrame, n_bands: int, rows: int) -> DataFrame:

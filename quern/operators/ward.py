@@ -91,6 +91,31 @@ def ward_labels(points: DataFrame, ks: range, max_rows: int = MAX_ROWS) -> DataF
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, f"k int, id {kind}, cluster int")
 
 
+def distance_row_metrics(points: DataFrame, cluster: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``(cluster, size, radius, diameter, density)`` in the space of the points' rows of distances to all points: diameter is
+    the largest distance of a member to any point, radius the largest gap in any place between a member's row and the
+    mean of the members' rows, density members times points over the diameter (null where that is 0). In one task, of
+    at most ``max_rows`` rows (more raise); these numbers describe the whole set rather than the cluster, for which there
+    is :func:`quern.operators.vectors.cluster_metrics`."""
+    rows = points.select("id", "vector", F.col(cluster).alias("cluster")).limit(max_rows + 1)
+    kind = rows.schema["cluster"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_rows:
+            raise ValueError(f"more than {max_rows} rows")
+        x = np.array(pdf["vector"].tolist())
+        apart = np.sqrt(_squares(x))
+        out = []
+        for name, at in pdf.reset_index(drop=True).groupby("cluster").groups.items():
+            own = apart[np.asarray(at)]
+            far = float(own.max())
+            out.append((name, len(own), float(np.abs(own - own.mean(axis=0)).max()), far, len(own) * len(x) / far if far else None))
+        return pd.DataFrame(out, columns=["cluster", "size", "radius", "diameter", "density"])
+
+    schema = f"cluster {kind}, size bigint, radius double, diameter double, density double"
+    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, schema)
+
+
 def elbow(metrics: DataFrame) -> DataFrame:
     """``(k, mean_diameter, relative_drop)`` from ``(k, diameter)`` rows; the drop is towards the next k. The k of the
     smallest drop is where more clusters help least."""

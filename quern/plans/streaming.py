@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.rows import differences, local_maxima, with_row_numbers
 from quern.session import shared_folder
 from quern.sources.sinks import foreach_batch_stream
 from quern.sources.tables import table
@@ -74,6 +75,25 @@ def stream_window_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{place}/out")
 
 
+def stream_window_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tumbling counts in append mode: each window once, when the watermark of an hour has passed its end."""
+    events = parquet_stream(spark, sf_dir, "events.parquet").select("ts", "event_type")
+    return _drained(window_counts(events, "ts", "event_type", "1 hour", watermark="1 hour"), "append", False).drop("_batch", "b")
+
+
+def hourly_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours with more events than both the hour before and after, with the difference to the next."""
+    hours = table(spark, sf_dir, "events").where("ts is not null").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return local_maxima(differences(hours, "hour", "n"), "hour", "n")
+
+
+def event_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events numbered from 0 in the order of time and id, without one task for all."""
+    return with_row_numbers(table(spark, sf_dir, "events").select("ts", "event_id"), "ts", "event_id").select("event_id", "idx")
+
+
 def repeated_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group key once more among the aggregates: both columns are one, so the name stays clear."""
     rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("total"), F.col("event_type"))
@@ -112,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sliding_window_counts, tumbling_counts, decay_per_event, decay_by_age, stream_window_final, stream_window_sorted,
-        repeated_group_key, dgim_canonical, dgim_compat, dgim_streamed, dgim_error, bit_window_exact,
+        stream_window_watermark, hourly_peaks, event_numbers, repeated_group_key, dgim_canonical, dgim_compat, dgim_streamed, dgim_error, bit_window_exact,
     )
 }
 
@@ -134,6 +154,13 @@ _ESTIMATE = "(case when ones > 0 then ones - (2 ** (floor(log2(ones + 1)) - 1)):
 ORACLE = {
     "stream_window_sorted": f"""
         select event, n, start, row_number() over (order by start, event) as place from ({_TUMBLING})""",
+    "stream_window_watermark": f"""
+        select * from ({_TUMBLING}) where "end" <= (select max(ts) from events where event_type is not null) - interval '1 hour'""",
+    "hourly_peaks": """
+        with h as (select date_trunc('hour', ts) as hour, count(*) as n from events where ts is not null group by 1),
+        d as (select *, lag(n) over w as before, lead(n) over w as after from h window w as (order by hour))
+        select hour, n, after - n as diff from d where before < n and n > after""",
+    "event_numbers": "select event_id, row_number() over (order by ts nulls first, event_id nulls first) - 1 as idx from events",
     "repeated_group_key": "select event_type, round(sum(value), 2) as total from events group by 1",
     # Users have fewer bits than the window in the test tables: nothing leaves it and nothing is halved.
     "dgim_canonical": f"{_BITS} select key, n_bits, ones, {_ESTIMATE} as estimate from u",

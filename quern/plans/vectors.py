@@ -20,7 +20,7 @@ from quern.operators.vectors import (
     summaries,
     top_value_per_group,
 )
-from quern.operators.ward import elbow, ward_labels
+from quern.operators.ward import distance_row_metrics, elbow, ward_labels
 from quern.sources.tables import table, track_vectors
 
 WIDTH, FEATURES = 64, 518
@@ -86,6 +86,14 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("cluster").alias("label"), "size", *[F.round(c, 4).alias(c) for c in ("radius", "diameter", "density")])
 
 
+def subset_row_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics over rows of distances for the tracks of the subset ``small`` by the parity of their ids."""
+    small = table(spark, sf_dir, "tracks").where("set_subset = 'small'").select("track_id")
+    points = _tracks(spark, sf_dir, small).withColumn("part", (F.col("id") % 2).cast("int"))
+    rows = distance_row_metrics(points, "part")
+    return rows.select(F.col("cluster").alias("part"), "size", *[F.round(c, 3).alias(c) for c in ("radius", "diameter", "density")])
+
+
 def top_genre_per_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = table(spark, sf_dir, "tracks").select("track_id", "set_subset", "genre_top").distinct()
     clean = tracks.select("set_subset", F.initcap(F.trim("genre_top")).alias("genre"))
@@ -146,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         centroids, feature_statistics, standardised_norms, center_distances, nearest_centroid, nearest_centroid_full_covariance, label_metrics,
-        top_genre_per_subset, bfr_summaries, bfr_assignments, bfr_invariants, bfr_top_genre, ward_invariants, ward_metrics, ward_elbow,
+        subset_row_metrics, top_genre_per_subset, bfr_summaries, bfr_assignments, bfr_invariants, bfr_top_genre, ward_invariants, ward_metrics, ward_elbow,
     )
 }
 
@@ -164,6 +172,14 @@ _READABLE = r"""
 
 ORACLE = {
     "bfr_invariants": f"{_READABLE} select count(*) as n_points, count(*) as n_ids, count(*) as n_counted from g",
+    "subset_row_metrics": f"""{_READABLE},
+        s as (select id, f::double[518] as f, (id % 2)::int as part from g where id in (select track_id from tracks where set_subset = 'small')),
+        d as (select x.id, x.part, y.id as other, array_distance(x.f, y.f) as d from s x join s y on true),
+        m as (select part, other, avg(d) as m from d group by part, other),
+        r as (select d.part, max(abs(d.d - m.m)) as radius, max(d.d) as diameter, count(distinct d.id) as size
+              from d join m on m.part = d.part and m.other = d.other group by d.part)
+        select part, size, round(radius, 3) as radius, round(diameter, 3) as diameter,
+               round(size * (select count(*) from s) / diameter, 3) as density from r""",
     "ward_invariants": f"""{_READABLE},
         n as (select count(*) as n from g where id in (select track_id from tracks where set_subset = 'small'))
         select k::int as k, k as n_clusters, n as n_points from n, range(8, 17) r(k) where k <= n""",

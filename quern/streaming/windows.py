@@ -35,7 +35,9 @@ def _windowed(
     events: DataFrame, ts: str, event: str, size: str, slide: str | None, watermark: str | None, result: Column
 ) -> DataFrame:
     rows = events.where(F.col(ts).isNotNull() & F.col(event).isNotNull()).select(F.col(ts), F.col(event))
-    rows = rows.withWatermark(ts, watermark) if watermark else rows
+    if watermark:
+        # Times without a zone can't carry a watermark.
+        rows = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     counted = rows.withColumn("_w", window).groupBy("_w", event).agg(result)
     return counted.select(
