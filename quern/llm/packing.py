@@ -11,7 +11,9 @@ filled. Within a shard:
    there is one, otherwise the longest piece that fits, until nothing fits;
 3. a tier's windows are bound into containers of the capacity, and what their gaps add up to is filled from the shorter
    tiers once more;
-4. containers are dealt to step groups of equal number so that the groups' attention cost (sum of squared piece
+4. the pieces of containers that are still not full are packed anew across the tiers, the longest first, with the gaps
+   filled the same way;
+5. containers are dealt to step groups of equal number so that the groups' attention cost (sum of squared piece
    lengths) is balanced.
 """
 
@@ -94,31 +96,48 @@ class _Lengths:
         return (int(gap - low[at[-1]]), int(low[at[-1]])) if len(at) else None
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Container of each piece (no piece is longer than the capacity) and the tier of the container's windows."""
-    box, tier = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    pool, boxes = _Lengths(lengths, capacity), 0
+def _fill(pool: _Lengths, pieces: list[int], gap: int) -> int:
+    """Add pieces until nothing fits; returns what stays of the gap."""
+    while gap and (fit := pool.at_most(gap)):
+        for n in (fit,) if fit == gap else pool.pair(gap) or (fit,):
+            pieces.append(pool.take(n))
+            gap -= n
+    return gap
 
-    def fill(pieces: list[int], gap: int) -> int:
-        while gap and (fit := pool.at_most(gap)):
-            for n in (fit,) if fit == gap else pool.pair(gap) or (fit,):
-                pieces.append(pool.take(n))
-                gap -= n
-        return gap
 
+def _tiers(lengths: np.ndarray, capacity: int) -> list[tuple[list[int], int, int]]:
+    """(pieces, tier, gap) of the containers of all tiers, one tier after another."""
+    pool, out = _Lengths(lengths, capacity), []
     for level in range(TIERS):
         context = max(1, capacity >> level)
         shorter = context // 2 if level < TIERS - 1 else 0
         windows = []
         while (longest := pool.at_most(context)) > shorter:
             pieces = [pool.take(longest)]
-            windows.append((pieces, context - fill(pieces, context - longest)))
+            windows.append((pieces, context - _fill(pool, pieces, context - longest)))
         bound = capacity // context
         for s in range(0, len(windows), bound):
             pieces = [p for own, _ in windows[s : s + bound] for p in own]
-            fill(pieces, capacity - sum(used for _, used in windows[s : s + bound]))
-            box[pieces], tier[pieces] = boxes, level
-            boxes += 1
+            gap = _fill(pool, pieces, capacity - sum(used for _, used in windows[s : s + bound]))
+            out.append((pieces, level, gap))
+    return out
+
+
+def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Container of each piece (no piece is longer than the capacity) and the container's tier."""
+    packed = _tiers(lengths, capacity)
+    # What the tiers could not close is packed anew, the longest piece first, if that takes fewer containers.
+    loose = np.array([p for pieces, _, gap in packed if gap for p in pieces], np.int64)
+    pool, again = _Lengths(lengths[loose], capacity), []
+    while longest := pool.at_most(capacity):
+        pieces = [pool.take(longest)]
+        gap = _fill(pool, pieces, capacity - longest)
+        again.append((loose[pieces].tolist(), min(TIERS - 1, (capacity // longest).bit_length() - 1), gap))
+    if len(again) < sum(gap > 0 for _, _, gap in packed):
+        packed = [x for x in packed if not x[2]] + again
+    box, tier = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for k, (pieces, level, _) in enumerate(packed):
+        box[pieces], tier[pieces] = k, level
     return box, tier
 
 

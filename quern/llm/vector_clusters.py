@@ -193,8 +193,10 @@ def cluster_medoids(
     )
     rows = cut_lineage(once.join(named, "i").groupBy("i", "cluster_id", "size").agg(F.min("v").alias("v")))
     parts = rows.select("cluster_id", "v").mapInArrow(_partial_sums(scaling), "cluster_id bigint, part array<double>")
-    # One row per cluster and task reaches the second sum.
-    sums = parts.groupBy("cluster_id").applyInArrow(_add_up, "cluster_id bigint, total array<double>")
+    # One row per cluster and task reaches the sums, which are added up in two steps.
+    parts = parts.withColumn("some", F.pmod(F.spark_partition_id(), F.lit(64)))
+    first = parts.groupBy("cluster_id", "some").applyInArrow(_add_up, "cluster_id bigint, part array<double>")
+    sums = first.groupBy("cluster_id").applyInArrow(_add_up, "cluster_id bigint, part array<double>").withColumnRenamed("part", "total")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,4 +215,4 @@ def cluster_medoids(
 def _add_up(group: pa.Table) -> pa.Table:
     width = len(group.column("part")[0])
     whole = group.column("part").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).sum(axis=0)
-    return pa.table({"cluster_id": group.column("cluster_id").slice(0, 1), "total": pa.array([whole.tolist()], pa.list_(pa.float64()))})
+    return pa.table({"cluster_id": group.column("cluster_id").slice(0, 1), "part": pa.array([whole.tolist()], pa.list_(pa.float64()))})
