@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Most rows of the other side that are broadcast for the heavy keys.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes (as text) of the other side that are broadcast for the heavy keys.
+BROADCAST_BYTES = 32 << 20
 
 
 def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
@@ -81,11 +81,11 @@ def skew_join(
     how: str = "inner",
     min_share: float = 0.01,
     salts: int = 32,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join on ``key`` (``inner`` or ``left``) where ``left`` is skewed.
 
-    Right rows of the heavy keys are broadcast if there are at most ``broadcast_rows`` of them; beyond that they are
+    Right rows of the heavy keys are broadcast if they hold at most ``broadcast_bytes``; beyond that they are
     replicated over ``salts`` and joined with the salted left rows by shuffle. Remaining keys join by ordinary
     shuffle. Null keys never match and stay with ``left``. Other columns that both sides have come out twice in the
     order left, right only if the caller renames them; a clash raises.
@@ -99,7 +99,8 @@ def skew_join(
     marked = _mark(left, key, heavy, "_heavy")
     hot_right = right.join(F.broadcast(heavy.distinct()), key, "left_semi")
     hot, rest = marked.where("_heavy").drop("_heavy"), marked.where("not _heavy").drop("_heavy")
-    if hot_right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    held = hot_right.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if held <= broadcast_bytes:
         joined = hot.join(F.broadcast(hot_right), key, how)
     else:
         spread = hot.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))

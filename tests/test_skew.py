@@ -34,7 +34,7 @@ def test_distinct_counts(rows):
 @pytest.mark.parametrize("limit", [0, 1_000])
 def test_join_equals_plain_join(spark, rows, how, limit):
     right = spark.createDataFrame([(7, "a"), (7, "b"), (100, "c"), (999, "d"), (None, "e")], "k bigint, w string")
-    got = skew_join(rows, right, "k", how, min_share=0.1, broadcast_rows=limit)
+    got = skew_join(rows, right, "k", how, min_share=0.1, broadcast_bytes=limit)
     expected = rows.join(right, "k", how)
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.select("k", "v", "w").collect())) == sorted(map(key, expected.select("k", "v", "w").collect()))
