@@ -13,7 +13,7 @@ from quern.sources.tables import table, track_vectors
 WIDTH = 518
 THRESHOLD = 0.75
 #: Track ids that are broadcast for the semi-join; beyond that it shuffles.
-BROADCAST_IDS = 5_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def _scaling(spark: SparkSession, sf_dir: str) -> Scaling:
@@ -38,7 +38,7 @@ def p2_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_track_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the tracks that occur in ``tracks``. The vectors are not shuffled while the ids are few."""
     ids = table(spark, sf_dir, "tracks").select("track_id").where("track_id is not null")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_IDS
     return track_vectors(spark, sf_dir).join(F.broadcast(ids) if few else ids.distinct(), "track_id", "left_semi")
 
 

@@ -405,11 +405,13 @@ def assign(vectors: DataFrame, row_id: str, vector: str, cells: Cells) -> DataFr
             at, grp, bits = c.margins(y, home)
             b, b_left = _copies(np.arange(len(at)), c.blocks[grp, 0])
             who, there = at[b], grp[b]
+            # Sketches of one task's vectors stay together: a vector at home learns of that task once.
+            place = _place(own, ids, c)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[own[a], there].astype(np.int32)),
                     pa.array(np.r_[_block(ids[a], c.blocks[own[a], 0]), b_left].astype(np.int32)),
-                    pa.array(np.r_[a_right, _block(ids[who], c.blocks[there, 1])].astype(np.int32)),
+                    pa.array(np.r_[a_right, _block(place[who], c.blocks[there, 1])].astype(np.int32)),
                     pa.array(np.r_[ids[a], ids[who]]),
                     pa.array(np.r_[home[a], home[who]].astype(np.int32)),
                     pa.array(np.r_[np.zeros(len(a), np.int64), bits[b]]),
@@ -435,6 +437,11 @@ def _block(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return (mixed % blocks.astype(np.uint64)).astype(np.int64)
 
 
+def _place(groups: np.ndarray, ids: np.ndarray, c: Cells) -> np.ndarray:
+    """The group and left block in which each vector is at home, as one number."""
+    return groups * np.int64(1 << 32) + _block(ids, c.blocks[groups, 0])
+
+
 def _meet(group: pa.Table, c: Cells) -> pa.Table:
     """Rows of :data:`TASKS` of the vectors at home whose sketch meets another's."""
     grp = group.column("grp")[0].as_py()
@@ -445,7 +452,7 @@ def _meet(group: pa.Table, c: Cells) -> pa.Table:
     other = np.frombuffer(b"".join(vec.take(pa.array(theirs)).to_pylist()), np.int8).reshape(len(theirs), -1)
     # The tasks in which the others are at home, in ascending order.
     there = c.group[cell[theirs]]
-    place = there * np.int64(1 << 32) + _block(ids[theirs], c.blocks[there, 0])
+    place = _place(there, ids[theirs], c)
     order = np.argsort(place, kind="stable")
     theirs, other, place = theirs[order], lengthened(other[order]), place[order]
     targets, begin = np.unique(place, return_index=True)
@@ -467,15 +474,19 @@ def _meet(group: pa.Table, c: Cells) -> pa.Table:
             hit[self_at, by_id[low[self_at] + nth]] = False
             own[part[:, None], used] |= np.logical_or.reduceat(hit, first, axis=1)
     home_block = group.column("block_l")[0].as_py()
-    some = own.any(axis=1)
-    here = np.flatnonzero(targets == grp * (1 << 32) + home_block)
-    at_home = own[:, here].any(axis=1)
-    own[:, here] = False
+    # A vector with a partner anywhere is stored at home, in all blocks of asking rows, and asks there if it has one there.
+    # Where other blocks of sketches may hold its partners as well, one of them stores it whatever they hold.
+    stored, at_home = own.any(axis=1), np.zeros(len(mine), bool)
+    if c.blocks[grp, 1] == 1:
+        here = np.flatnonzero(targets == grp * (1 << 32) + home_block)
+        at_home = own[:, here].any(axis=1)
+        own[:, here] = False
+    else:
+        stored = _block(ids[mine], np.full(len(mine), c.blocks[grp, 1])) == group.column("block_r")[0].as_py()
     row, t = np.nonzero(own)
     to, block = targets[t] >> np.int64(32), targets[t] & np.int64(0xFFFFFFFF)
     right = _block(ids[mine[row]], c.blocks[to, 2])
-    # A vector with a partner anywhere is stored at home, in all blocks of asking rows, and asks there if it has one there.
-    kept, kept_right = _copies(np.flatnonzero(some), np.full(some.sum(), c.blocks[grp, 2]))
+    kept, kept_right = _copies(np.flatnonzero(stored), np.full(stored.sum(), c.blocks[grp, 2]))
     asks = at_home[kept] & (kept_right == _block(ids[mine[kept]], np.full(len(kept), c.blocks[grp, 2])))
     who = np.r_[row, kept]
     return pa.table(

@@ -275,3 +275,17 @@ def test_many_equal_vectors_need_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 500e6
     tracemalloc.stop()
     assert len(a) == 50_000 and set(b[a == 9_999].tolist()) == {0, 1, 2, 3, 4} and set(b[a == 2].tolist()) == {0, 1, 3, 4, 5}
+
+
+def test_no_task_holds_much_more_than_its_bound(spark, monkeypatch):
+    """Also where a dense group holds a third of the rows and all its members ask for each other."""
+    import quern.llm.vector_cells as cells
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 40)
+    monkeypatch.setattr(cells, "GROUP_ROWS", 100)
+    x = dense_group(1_000, 2_000, 0.85)
+    df = frame(spark, x)
+    fitted = cells.fit_cells(df, "track", "v", Scaling(None, None, 64), 0.75, 6)
+    sizes = cells.assign(df, "track", "v", fitted).groupBy("grp", "block_l", "block_r", "role").count().collect()
+    assert len({(r["grp"], r["block_l"], r["block_r"]) for r in sizes}) > 30
+    assert max(r["count"] for r in sizes) <= 2 * 100
