@@ -148,7 +148,10 @@ _SIGNED = f"""{_SETS},
 ORACLE = {
     "doc_clean_tokens": f"select doc_id, array_to_string({_TOKENS}, ' ') as tokens from documents where text is not null",
     "doc_shingles": f"{_SETS} select id, count(*) as n, sum(h)::bigint as total from h group by id",
-    "shingle_distinct_count": f"{_SETS} select count(distinct h) as n_shingles from h",
+    # The shingles themselves: the 28 bits of the hash sets would merge different ones.
+    "shingle_distinct_count": f"""{_SETS}
+        select count(distinct s) as n_shingles
+        from (select unnest([array_to_string(w[i:i+{K - 1}], ' ') for i in range(1, len(w) - {K - 2})]) as s from w where len(w) >= {K})""",
     "lsh_tune": """
         select b as bands, r as rows, round(pow(1.0::double / b, 1.0::double / r), 6) as threshold,
                round(pow(1 - pow(0.85::double, r), b), 6) as miss, round(1 - pow(1 - pow(0.6::double, r), b), 6) as false_candidate
