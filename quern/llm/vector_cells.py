@@ -22,6 +22,8 @@ Copies of one vector that hold a large share of the rows (:func:`survey`) are re
 the greatest of these holds for the others (:func:`left_out`).
 
 Whole vectors travel as 16-bit integers with one scale per vector: half the bytes, and an error of about 3e-6 in a cosine.
+A task keeps them so, too. What it computes from them, and what it gives back, it makes in slices of bounded size, however
+many groups, targets or cells a vector has.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ MIN_CELLS, MAX_CELLS = 8, 16_384
 MIN_SAMPLE, MAX_SAMPLE = 8_192, 65_536
 #: Rows whose products with all pivots are held at once.
 BLOCK = 1_024
+#: Rows that a task scales, unpacks or gives back at once, and products that it holds at once.
+SLICE, PRODUCTS = 2_048, 4_000_000
 REDUCED = 96
 #: Cells of a group.
 GROUP_CELLS = 20
@@ -73,6 +77,14 @@ class Scaling:
         """Row numbers of the readable vectors and their unit vectors. Unreadable are: null, another number of
         elements, a null, NaN or infinite element, and a vector without direction (all zero after scaling)."""
         lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        rows, units = [np.zeros(0, np.int64)], [np.zeros((0, self.width), np.float32)]
+        for s in range(0, len(lists), SLICE):
+            at, x = self._units(lists.slice(s, SLICE))
+            rows.append(at + s)
+            units.append(x)
+        return np.concatenate(rows), np.concatenate(units)
+
+    def _units(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(sizes == self.width)
         flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
@@ -184,17 +196,15 @@ class Cells:
         near |= self.radius[cells] + self.reach + slack >= np.pi
         return near | (home[:, None] == cells)
 
-    def margins(self, reduced: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, group, bits of the cells) of all groups in which each row asks."""
+    def margins(self, reduced: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, group, bits of the cells) of all groups in which each row asks, some rows at a time."""
         order = np.argsort(self.group, kind="stable")
         used, begin = np.unique(self.group[order], return_index=True)
-        parts = []
         for s in range(0, len(reduced), BLOCK // 4):
             near = self.asked(reduced[s : s + BLOCK // 4], home[s : s + BLOCK // 4], order, 2 * SLACK)
             bits = np.bitwise_or.reduceat(np.where(near, self.bit[order], 0), begin, axis=1)
             at, g = np.nonzero(bits)
-            parts.append((at + s, used[g], bits[at, g]))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            yield at + s, used[g], bits[at, g]
 
     def sketches(self, units: np.ndarray) -> np.ndarray:
         y = units @ self.random
@@ -356,8 +366,6 @@ def _blocks_of(cells: Cells, y: np.ndarray, groups: int, most: float) -> np.ndar
     home = nearest_pivot(y, cells.pivots)
     at = cells.group[home]
     stored = np.bincount(at, minlength=groups)
-    row, grp, _ = cells.margins(y, home)
-    sketches = np.bincount(grp, minlength=groups)
     some = lengthened(cells.sketches(cells.sample[:ASKING_SAMPLE]))
     others = lengthened(cells.sketches(cells.sample[: 4 * ASKING_SAMPLE]))
     theirs = np.argsort(at[: len(others)], kind="stable")
@@ -367,8 +375,10 @@ def _blocks_of(cells: Cells, y: np.ndarray, groups: int, most: float) -> np.ndar
         near = some[s : s + BLOCK] @ others[theirs].T >= cells.near
         hit[s : s + BLOCK, used] = np.logical_or.reduceat(near, begin, axis=1)
     hit[np.arange(len(some)), at[: len(some)]] = False
-    margin = np.zeros((len(some), groups), bool)
-    margin[row[row < len(some)], grp[row < len(some)]] = True
+    sketches, margin = np.zeros(groups, np.int64), np.zeros((len(some), groups), bool)
+    for row, grp, _ in cells.margins(y, home):
+        sketches += np.bincount(grp, minlength=groups)
+        margin[row[row < len(some)], grp[row < len(some)]] = True
     asking = (hit & margin).sum(axis=0) * len(cells.sample) / len(some) + stored
     return np.maximum(1, np.ceil(np.stack([stored, sketches / 5, asking], axis=1) / most).astype(int))
 
@@ -390,41 +400,53 @@ def assign(vectors: DataFrame, row_id: str, vector: str, cells: Cells) -> DataFr
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = opened(held)
         for batch in batches:
-            rows, units = c.scaling.units(batch.column(1))
-            ids = batch.column(0).to_numpy()[rows]
-            stay = c.kept(marks_of(units), ids) if c.heavy else np.ones(len(ids), bool)
-            ids, units = ids[stay], units[stay]
-            if not len(ids):
-                continue
-            y = c.reduced(units)
-            home = nearest_pivot(y, c.pivots)
-            own = c.group[home]
-            # Whole vectors at home, in all blocks of sketches.
-            a, a_right = _copies(np.arange(len(ids)), c.blocks[own, 1])
-            # Sketches in their margins, in all blocks of rows at home.
-            at, grp, bits = c.margins(y, home)
-            b, b_left = _copies(np.arange(len(at)), c.blocks[grp, 0])
-            who, there = at[b], grp[b]
-            # Sketches of one task's vectors stay together: a vector at home learns of that task once.
-            place = _place(own, ids, c)
+            for s in range(0, len(batch), SLICE):
+                yield from _sent(batch.slice(s, SLICE), c)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _meet(batches, opened(held))
+
+    rows = vectors.select(F.col(row_id).cast("bigint").alias("id"), vector).mapInArrow(send, MEETING)
+    return rows.groupBy("grp", "block_l", "block_r").applyInArrow(meet, TASKS)
+
+
+def _sent(batch: pa.RecordBatch, c: Cells) -> Iterator[pa.RecordBatch]:
+    """Rows of :data:`MEETING` of the vectors of a slice."""
+    rows, units = c.scaling.units(batch.column(1))
+    ids = batch.column(0).to_numpy()[rows]
+    stay = c.kept(marks_of(units), ids) if c.heavy else np.ones(len(ids), bool)
+    ids, units = ids[stay], units[stay]
+    if not len(ids):
+        return
+    y = c.reduced(units)
+    home = nearest_pivot(y, c.pivots)
+    own = c.group[home]
+
+    def sent(grp: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: np.ndarray, vec: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(at), 4 * SLICE):
+            part = slice(s, s + 4 * SLICE)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.r_[own[a], there].astype(np.int32)),
-                    pa.array(np.r_[_block(ids[a], c.blocks[own[a], 0]), b_left].astype(np.int32)),
-                    pa.array(np.r_[a_right, _block(place[who], c.blocks[there, 1])].astype(np.int32)),
-                    pa.array(np.r_[ids[a], ids[who]]),
-                    pa.array(np.r_[home[a], home[who]].astype(np.int32)),
-                    pa.array(np.r_[np.zeros(len(a), np.int64), bits[b]]),
-                    pa.concat_arrays([_binary(pack(units)[a]), _binary(c.sketches(units)[who])]),
+                    pa.array(grp[part].astype(np.int32)),
+                    pa.array(left[part].astype(np.int32)),
+                    pa.array(right[part].astype(np.int32)),
+                    pa.array(ids[at[part]]),
+                    pa.array(home[at[part]].astype(np.int32)),
+                    pa.array(bits[part]),
+                    _binary(vec[at[part]]),
                 ],
                 names=["grp", "block_l", "block_r", "id", "home", "cells", "vec"],
             )
 
-    def meet(group: pa.Table) -> pa.Table:
-        return _meet(group, opened(held))
-
-    rows = vectors.select(F.col(row_id).cast("bigint").alias("id"), vector).mapInArrow(send, MEETING)
-    return rows.groupBy("grp", "block_l", "block_r").applyInArrow(meet, TASKS)
+    # Whole vectors at home, in all blocks of sketches.
+    a, a_right = _copies(np.arange(len(ids)), c.blocks[own, 1])
+    yield from sent(own[a], _block(ids[a], c.blocks[own[a], 0]), a_right, a, np.zeros(len(a), np.int64), pack(units))
+    # Sketches in their margins, in all blocks of rows at home. Sketches of one task's vectors stay together: a vector at
+    # home learns of that task once.
+    sketches, place = c.sketches(units), _place(own, ids, c)
+    for at, grp, bits in c.margins(y, home):
+        b, b_left = _copies(np.arange(len(at)), c.blocks[grp, 0])
+        yield from sent(grp[b], b_left, _block(place[at[b]], c.blocks[grp[b], 1]), at[b], bits[b], sketches)
 
 
 def _copies(rows: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -442,64 +464,94 @@ def _place(groups: np.ndarray, ids: np.ndarray, c: Cells) -> np.ndarray:
     return groups * np.int64(1 << 32) + _block(ids, c.blocks[groups, 0])
 
 
-def _meet(group: pa.Table, c: Cells) -> pa.Table:
+def _meet(batches: Iterator[pa.RecordBatch], c: Cells) -> Iterator[pa.RecordBatch]:
     """Rows of :data:`TASKS` of the vectors at home whose sketch meets another's."""
-    grp = group.column("grp")[0].as_py()
-    bits, ids, cell = (group.column(n).to_numpy() for n in ("cells", "id", "home"))
-    vec = group.column("vec").combine_chunks()
-    mine, theirs = np.flatnonzero(bits == 0), np.flatnonzero(bits)
-    raw = np.frombuffer(b"".join(vec.take(pa.array(mine)).to_pylist()), np.int16).reshape(len(mine), -1)
-    other = np.frombuffer(b"".join(vec.take(pa.array(theirs)).to_pylist()), np.int8).reshape(len(theirs), -1)
-    # The tasks in which the others are at home, in ascending order.
-    there = c.group[cell[theirs]]
-    place = _place(there, ids[theirs], c)
-    order = np.argsort(place, kind="stable")
-    theirs, other, place = theirs[order], lengthened(other[order]), place[order]
-    targets, begin = np.unique(place, return_index=True)
-    target = np.repeat(np.arange(len(targets)), np.diff(np.r_[begin, len(place)]))
-    own = np.zeros((len(mine), len(targets)), bool)
-    for k in np.flatnonzero(c.group == grp):
-        rows, cols = np.flatnonzero(cell[mine] == k), np.flatnonzero(bits[theirs] & c.bit[k])
-        if not len(rows) or not len(cols):
+    grp, home_block, right_block, mine, theirs = 0, 0, 0, [], []
+    for batch in batches:
+        if not len(batch):
             continue
-        sketch = lengthened(c.sketches(unpack(raw[rows], c.scaling.width)))
-        across, used, first = other[cols].T, *np.unique(target[cols], return_index=True)
-        by_id = np.argsort(ids[theirs[cols]], kind="stable")
-        sorted_ids = ids[theirs[cols[by_id]]]
-        for s in range(0, len(rows), BLOCK):
-            part = rows[s : s + BLOCK]
-            hit = sketch[s : s + BLOCK] @ across >= c.near
-            low = np.searchsorted(sorted_ids, ids[mine[part]])
-            self_at, nth = _copies(np.arange(len(part)), np.searchsorted(sorted_ids, ids[mine[part]], side="right") - low)
-            hit[self_at, by_id[low[self_at] + nth]] = False
-            own[part[:, None], used] |= np.logical_or.reduceat(hit, first, axis=1)
-    home_block = group.column("block_l")[0].as_py()
+        grp, home_block, right_block = (batch.column(n)[0].as_py() for n in ("grp", "block_l", "block_r"))
+        bits, ids, cell = (batch.column(n).to_numpy() for n in ("cells", "id", "home"))
+        for part, at, kind in ((mine, np.flatnonzero(bits == 0), np.int16), (theirs, np.flatnonzero(bits), np.int8)):
+            if len(at):
+                part.append((ids[at], cell[at], bits[at], _rows(batch.column("vec"), at, kind)))
+    if not mine or not theirs:
+        return
+    ids, cell = (np.concatenate([m[j] for m in mine]) for j in range(2))
+    raw = _joined([m[3] for m in mine])
+    mine.clear()
+    sketch = np.concatenate([c.sketches(unpack(raw[s : s + SLICE], c.scaling.width)) for s in range(0, len(raw), SLICE)])
+    # Tasks in which vectors are at home, numbered by group and block.
+    before = np.cumsum(c.blocks[:, 0]) - c.blocks[:, 0]
+    own = np.zeros((len(ids), int(c.blocks[:, 0].sum())), bool)
+    inside = [np.flatnonzero(cell == k) for k in np.flatnonzero(c.group == grp)]
+    inside = [(c.bit[cell[rows[0]]], rows) for rows in inside if len(rows)]
+    for other_ids, other_cell, bits, other in theirs:
+        there = c.group[other_cell]
+        target = before[there] + _block(other_ids, c.blocks[there, 0])
+        order = np.argsort(target, kind="stable")
+        other_ids, bits, target, other = other_ids[order], bits[order], target[order], lengthened(other[order])
+        for bit, at in inside:
+            cols = np.flatnonzero(bits & bit)
+            if not len(cols):
+                continue
+            across, used, first = other[cols].T, *np.unique(target[cols], return_index=True)
+            by_id = np.argsort(other_ids[cols], kind="stable")
+            sorted_ids = other_ids[cols[by_id]]
+            step = max(16, PRODUCTS // len(cols))
+            for s in range(0, len(at), step):
+                part = at[s : s + step]
+                hit = lengthened(sketch[part]) @ across >= c.near
+                low = np.searchsorted(sorted_ids, ids[part])
+                self_at, nth = _copies(np.arange(len(part)), np.searchsorted(sorted_ids, ids[part], side="right") - low)
+                hit[self_at, by_id[low[self_at] + nth]] = False
+                own[part[:, None], used] |= np.logical_or.reduceat(hit, first, axis=1)
     # A vector with a partner anywhere is stored at home, in all blocks of asking rows, and asks there if it has one there.
     # Where other blocks of sketches may hold its partners as well, one of them stores it whatever they hold.
-    stored, at_home = own.any(axis=1), np.zeros(len(mine), bool)
+    stored, at_home = own.any(axis=1), np.zeros(len(ids), bool)
     if c.blocks[grp, 1] == 1:
-        here = np.flatnonzero(targets == grp * (1 << 32) + home_block)
-        at_home = own[:, here].any(axis=1)
+        here = before[grp] + home_block
+        at_home = own[:, here].copy()
         own[:, here] = False
     else:
-        stored = _block(ids[mine], np.full(len(mine), c.blocks[grp, 1])) == group.column("block_r")[0].as_py()
-    row, t = np.nonzero(own)
-    to, block = targets[t] >> np.int64(32), targets[t] & np.int64(0xFFFFFFFF)
-    right = _block(ids[mine[row]], c.blocks[to, 2])
-    kept, kept_right = _copies(np.flatnonzero(stored), np.full(stored.sum(), c.blocks[grp, 2]))
-    asks = at_home[kept] & (kept_right == _block(ids[mine[kept]], np.full(len(kept), c.blocks[grp, 2])))
-    who = np.r_[row, kept]
-    return pa.table(
-        {
-            "grp": pa.array(np.r_[to, np.full(len(kept), grp)].astype(np.int32)),
-            "block_l": pa.array(np.r_[block, np.full(len(kept), home_block)].astype(np.int32)),
-            "block_r": pa.array(np.r_[right, kept_right].astype(np.int32)),
-            "id": pa.array(ids[mine[who]]),
-            "role": pa.array(np.r_[np.full(len(row), 1), np.where(asks, 3, 2)].astype(np.int32)),
-            "home": pa.array(cell[mine[who]].astype(np.int32)),
-            "vec": vec.take(pa.array(mine[who])),
-        }
-    )
+        stored = _block(ids, np.full(len(ids), c.blocks[grp, 1])) == right_block
+    group_of = np.repeat(np.arange(len(c.blocks)), c.blocks[:, 0])
+    for s in range(0, len(ids), SLICE):
+        row, t = np.nonzero(own[s : s + SLICE])
+        row, to = row + s, group_of[t]
+        right = _block(ids[row], c.blocks[to, 2])
+        kept, kept_right = _copies(s + np.flatnonzero(stored[s : s + SLICE]), np.full(stored[s : s + SLICE].sum(), c.blocks[grp, 2]))
+        asks = at_home[kept] & (kept_right == _block(ids[kept], np.full(len(kept), c.blocks[grp, 2])))
+        columns = [
+            np.r_[to, np.full(len(kept), grp)].astype(np.int32),
+            np.r_[t - before[to], np.full(len(kept), home_block)].astype(np.int32),
+            np.r_[right, kept_right].astype(np.int32),
+        ]
+        who, role = np.r_[row, kept], np.r_[np.full(len(row), 1), np.where(asks, 3, 2)].astype(np.int32)
+        for p in (slice(x, x + 2 * SLICE) for x in range(0, len(who), 2 * SLICE)):
+            rest = [ids[who[p]], role[p], cell[who[p]].astype(np.int32)]
+            arrays = [pa.array(x) for x in [*(x[p] for x in columns), *rest]]
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, _binary(raw[who[p]])], names=["grp", "block_l", "block_r", "id", "role", "home", "vec"]
+            )
+
+
+def _rows(column: pa.Array, at: np.ndarray, kind: type) -> np.ndarray:
+    """The binary values at ``at``, which have the same length, as rows of numbers."""
+    data = column.take(pa.array(at))
+    ends = np.frombuffer(data.buffers()[1], np.int32)[: len(at) + 1]
+    return np.frombuffer(data.buffers()[2], np.uint8)[: ends[-1]].view(kind).reshape(len(at), -1)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of all parts; each part is let go when it is copied, so that they are never held twice."""
+    end = sum(map(len, parts))
+    out = np.empty((end, parts[-1].shape[1]), parts[-1].dtype)
+    while parts:
+        part = parts.pop()
+        out[end - len(part) : end] = part
+        end -= len(part)
+    return out
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -509,6 +561,18 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(flat), [None, offsets.buffers()[1], pa.py_buffer(flat)])
 
 
+@dataclass
+class Packed:
+    """Unit vectors at the places ``at`` of packed rows. Those that are asked for are unpacked."""
+
+    raw: np.ndarray
+    at: np.ndarray
+    width: int
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        return unpack(self.raw[self.at[rows]], self.width)
+
+
 @dataclass
 class Cell:
     """What a task holds of one cell: vectors at home and those that ask in it, each id and vector once. ``left`` rows ask,
@@ -516,33 +580,63 @@ class Cell:
 
     at: np.ndarray  # places among the rows of the task
     ids: np.ndarray
-    units: np.ndarray
+    units: np.ndarray | Packed
     marks: np.ndarray  # hash of the vector
     home: np.ndarray
     left: np.ndarray
     right: np.ndarray
 
 
-def cells_of(group: pa.Table, cells: Cells) -> Iterator[Cell]:
-    """The cells of a task's rows in ascending order. Rows that repeat an id with the same vector are one."""
-    ids = group.column("id").to_numpy()
-    vec = group.column("vec").combine_chunks()
-    home = group.column("home").to_numpy()
-    role = group.column("role").to_numpy()
-    raw = np.frombuffer(b"".join(vec.to_pylist()), np.int16).reshape(len(ids), -1)
-    with np.errstate(over="ignore"):
-        mark = raw.astype(np.int64) @ np.random.default_rng(SEED).integers(1, 1 << 62, raw.shape[1])
-    order = np.lexsort((mark, ids))
-    first = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(mark[order]) != 0)])
-    at, role = order[first], np.bitwise_or.reduceat(role[order], first)
-    ids, home, mark = ids[at], home[at], mark[at]
-    units = unpack(raw[at], cells.scaling.width)
-    own = np.flatnonzero(cells.group == group.column("grp")[0].as_py())
-    near = np.concatenate(
-        [cells.asked(cells.reduced(units[s : s + BLOCK]), home[s : s + BLOCK], own, SLACK) for s in range(0, len(units), BLOCK)]
-    )
-    for j, cell in enumerate(own):
-        inside = np.flatnonzero(near[:, j])
-        if len(inside):
-            r = role[inside]
-            yield Cell(inside, ids[inside], units[inside], mark[inside], home[inside] == cell, (r & 1) > 0, (r & 2) > 0)
+@dataclass
+class Task:
+    """The rows of a task, by id and vector, each once."""
+
+    ids: np.ndarray
+    units: Packed
+    marks: np.ndarray
+    home: np.ndarray
+    role: np.ndarray
+    core: np.ndarray | None  # where the rows tell of it
+    own: np.ndarray  # cells of the group
+    near: np.ndarray  # rows x cells: whether the row is in the cell's margin
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch], cells: Cells) -> Task | None:
+        """None without rows."""
+        grp, raw, parts = 0, [], []
+        for batch in batches:
+            if len(batch):
+                grp = batch.column("grp")[0].as_py()
+                names = [n for n in ("id", "home", "role", "is_core") if n in batch.schema.names]
+                parts.append([np.array(batch.column(n).to_numpy(zero_copy_only=False)) for n in names])
+                raw.append(_rows(batch.column("vec"), np.arange(len(batch)), np.int16))
+        if not parts:
+            return None
+        ids, home, role, *core = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        raw = _joined(raw)
+        weights = np.random.default_rng(SEED).integers(1, 1 << 62, raw.shape[1])
+        with np.errstate(over="ignore"):
+            mark = np.concatenate([raw[s : s + SLICE].astype(np.int64) @ weights for s in range(0, len(raw), SLICE)])
+        order = np.lexsort((mark, ids))
+        first = np.flatnonzero(np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(mark[order]) != 0)])
+        at, role = order[first], np.bitwise_or.reduceat(role[order], first)
+        units, home = Packed(raw, at, cells.scaling.width), home[at]
+        own = np.flatnonzero(cells.group == grp)
+        near = np.concatenate(
+            [
+                cells.asked(cells.reduced(units[np.arange(s, min(s + BLOCK, len(at)))]), home[s : s + BLOCK], own, SLACK)
+                for s in range(0, len(at), BLOCK)
+            ]
+        )
+        return cls(ids[at], units, mark[at], home, role, core[0][at] if core else None, own, near)
+
+    def cell(self, j: int, asking: np.ndarray | None = None) -> Cell:
+        """What there is of the ``j``-th cell; of the rows that only ask, those of ``asking`` if given."""
+        inside = self.near[:, j]
+        if asking is not None:
+            inside = inside & (asking | ((self.role & 2) > 0) & (self.home == self.own[j]))
+        at = np.flatnonzero(inside)
+        left = (self.role[at] & 1) > 0 if asking is None else asking[at]
+        units = Packed(self.units.raw, self.units.at[at], self.units.width)
+        return Cell(at, self.ids[at], units, self.marks[at], self.home[at] == self.own[j], left, (self.role[at] & 2) > 0)

@@ -6,9 +6,9 @@ no core point joins the smallest cluster of its core partners. With ``min_points
 point and a cluster is a largest linked set.
 
 Cells of the reduced space with the vectors that ask in them (:mod:`quern.llm.vector_cells`) are clustered on their own,
-on the full vectors; local clusters that share a core point are merged through the distributed components of the local
-clusters' graph. Within a cell links are folded into labels block by block and never listed, so a dense cell costs no
-edge table.
+on the full vectors; local clusters that share a core point are merged, those of a task's cells in the task, those of
+several tasks through the distributed components of the local clusters' graph. Within a cell links are folded into labels
+block by block and never listed, so a dense cell costs no edge table.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.vector_cells import Cell, Cells, Scaling, assign, cells_of, fit_cells, left_out
+from quern.llm.vector_cells import PRODUCTS, Cell, Cells, Scaling, Task, assign, fit_cells, left_out
 from quern.operators.components import connected_components
 from quern.operators.skew import skew_join
 from quern.session import cut_lineage, opened, shared
@@ -28,14 +28,20 @@ from quern.session import cut_lineage, opened, shared
 BLOCK = 512
 
 
+def _step(stored: int) -> int:
+    """Asking rows that are compared at once with so many stored rows."""
+    return int(np.clip(PRODUCTS // max(stored, 1), 16, BLOCK))
+
+
 def partners(cell: Cell, threshold: float) -> np.ndarray:
     """Of each row that asks: how many stored vectors of other ids reach the threshold."""
     stored, asking = np.flatnonzero(cell.right & cell.home), np.flatnonzero(cell.left)
     across, many = cell.units[stored].T, np.zeros(len(asking), np.int64)
-    for s in range(0, len(asking), BLOCK):
-        rows = asking[s : s + BLOCK]
+    step = _step(len(stored))
+    for s in range(0, len(asking), step):
+        rows = asking[s : s + step]
         near = cell.units[rows] @ across >= threshold
-        many[s : s + BLOCK] = (near & (cell.ids[rows][:, None] != cell.ids[stored])).sum(axis=1)
+        many[s : s + step] = (near & (cell.ids[rows][:, None] != cell.ids[stored])).sum(axis=1)
     return many
 
 
@@ -45,8 +51,9 @@ def local_labels(cell: Cell, threshold: float, core: np.ndarray) -> tuple[np.nda
     label = np.arange(len(cell.ids))
     left, right = np.flatnonzero(cell.right & cell.home & core), np.flatnonzero(cell.left)
     across, inner, border = cell.units[right].T, core[right], []
-    for s in range(0, len(left), BLOCK):
-        rows = left[s : s + BLOCK]
+    step = _step(len(right))
+    for s in range(0, len(left), step):
+        rows = left[s : s + step]
         linked = cell.units[rows] @ across >= threshold
         if not inner.all():
             a, b = np.nonzero(linked[:, ~inner])
@@ -64,36 +71,56 @@ def local_labels(cell: Cell, threshold: float, core: np.ndarray) -> tuple[np.nda
     return label, border
 
 
-def _local(group: pa.Table, cells: Cells, threshold: float) -> pa.Table:
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after ``a`` and ``b`` became one, place by place; sets that are joined take the smallest of their labels."""
+    while True:
+        one, other = label[a], label[b]
+        if (one == other).all():
+            return label
+        low, to = np.minimum(one, other), np.arange(len(label))
+        np.minimum.at(to, one, low)
+        np.minimum.at(to, other, low)
+        while (to != to[to]).any():
+            to = to[to]
+        label = to[label]
+
+
+def _local(batches: Iterator[pa.RecordBatch], cells: Cells, threshold: float) -> Iterator[pa.RecordBatch]:
     """``(id, root, core)``: core points with the smallest core id of their local cluster, and with ``core`` false the
     others with that of each cluster they touch. ``is_core`` of the rows tells core points; without it all linked are."""
-    known = None
-    if "is_core" in group.column_names:
-        known = np.unique(group.column("id").to_numpy()[group.column("is_core").to_numpy(zero_copy_only=False)])
-    parts = [np.zeros((0, 3), np.int64)]
-    for cell in cells_of(group, cells):
-        core = np.ones(len(cell.ids), bool) if known is None else np.isin(cell.ids, known)
-        label, border = local_labels(cell, threshold, core)
-        many = np.bincount(label, minlength=len(label))
-        lowest = np.full(len(label), np.iinfo(np.int64).max)
-        np.minimum.at(lowest, label, cell.ids)
-        found = (many[label] > 1) if known is None else core
-        parts.append(np.stack([cell.ids[found], lowest[label[found]], np.ones(found.sum(), np.int64)], axis=1))
-        for a, b in border:
-            parts.append(np.stack([cell.ids[a], lowest[label[b]], np.zeros(len(a), np.int64)], axis=1))
-    rows = np.unique(np.concatenate(parts), axis=0)
-    return pa.table({"id": rows[:, 0], "root": rows[:, 1], "core": rows[:, 2] == 1})
+    task = Task.of(batches, cells)
+    if task is None:
+        return
+    names, node = np.unique(task.ids, return_inverse=True)
+    label, linked, border = np.arange(len(names)), np.zeros(len(names), bool), [np.zeros((0, 2), np.int64)]
+    for j in range(len(task.own)):
+        cell = task.cell(j)
+        core = np.ones(len(cell.ids), bool) if task.core is None else task.core[cell.at]
+        local, touched = local_labels(cell, threshold, core)
+        many = np.bincount(local, minlength=len(local))
+        found = (many[local] > 1) if task.core is None else core
+        at = node[cell.at]
+        linked[at[found]] = True
+        label = _merged(label, at[found], at[local[found]])
+        for a, b in touched:
+            border.append(np.unique(np.stack([at[a], at[local[b]]], axis=1), axis=0))
+    inner, outer = np.flatnonzero(linked), np.concatenate(border)
+    outer = np.unique(np.stack([outer[:, 0], label[outer[:, 1]]], axis=1), axis=0)
+    for a, b, core in ((inner, label[inner], True), (outer[:, 0], outer[:, 1], False)):
+        yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(np.full(len(a), core))], names=["id", "root", "core"])
 
 
 def _with_density(rows: DataFrame, held, threshold: float, min_points: int) -> DataFrame:
     """``rows`` plus ``is_core``. Every vector meets each partner in one task, so the tasks' numbers add up."""
 
-    def count(group: pa.Table) -> pa.Table:
-        ids, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for cell in cells_of(group, opened(held)):
-            ids.append(cell.ids[cell.left])
-            many.append(partners(cell, threshold))
-        return pa.table({"id": np.concatenate(ids), "n": np.concatenate(many)})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = Task.of(batches, opened(held))
+        if task is not None:
+            many = np.zeros(len(task.ids), np.int64)
+            for j in range(len(task.own)):
+                cell = task.cell(j)
+                many[cell.at[cell.left]] += partners(cell, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(task.ids), pa.array(many)], names=["id", "n"])
 
     counts = rows.groupBy("grp", "block_l", "block_r").applyInArrow(count, "id bigint, n bigint")
     core = counts.groupBy("id").agg(F.sum("n").alias("n")).select("id", (F.col("n") >= min_points).alias("is_core"))
@@ -130,8 +157,8 @@ def vector_clusters(
     if min_points > 1:
         spread = _with_density(cut_lineage(spread), held, threshold, min_points).select(*spread.columns, "is_core")
 
-    def run(group: pa.Table) -> pa.Table:
-        return _local(group, opened(held), threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _local(batches, opened(held), threshold)
 
     local = spread.groupBy("grp", "block_l", "block_r").applyInArrow(run, "id bigint, root bigint, core boolean")
     local = cut_lineage(local.groupBy("id", "core").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")))

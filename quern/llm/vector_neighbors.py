@@ -15,6 +15,7 @@ vector asks in every cell of its margin where the sketches show a possible partn
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.vector_cells import Cell, Scaling, assign, cells_of, fit_cells, left_out
+from quern.llm.vector_cells import Cell, Scaling, Task, assign, fit_cells, left_out
 from quern.session import cut_lineage, opened, shared
 
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
@@ -224,18 +225,15 @@ def nearest_neighbors(
     cells.sample = cells.sample[:0]
     held = shared(spark, (cells, coder))
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, coder = opened(held)
-        tables, filled = np.empty((len(group), coder.words.shape[0] * coder.words.shape[1]), np.float32), np.zeros(len(group), bool)
-        parts = []
-        for c in cells_of(group, cells):
-            new = c.left & ~filled[c.at]
-            tables[c.at[new]], filled[c.at[new]] = coder.tables(c.units[new]), True
-            parts.append(search_cell(c, coder, tables, k, threshold))
-        a, b, cos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ([], [], [])
-        return pa.table(
-            {"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(cos, pa.float64())}
-        )
+        task = Task.of(batches, cells)
+        if task is None:
+            return
+        tables = coder.tables(task.units[np.arange(len(task.ids))])
+        for j in range(len(task.own)):
+            a, b, cos = search_cell(task.cell(j), coder, tables, k, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cos)], names=["id", "other", "similarity"])
 
     found = spread.groupBy("grp", "block_l", "block_r").applyInArrow(run, "id bigint, other bigint, similarity double")
     ranked = _ranked(found, k)

@@ -289,3 +289,58 @@ def test_no_task_holds_much_more_than_its_bound(spark, monkeypatch):
     sizes = cells.assign(df, "track", "v", fitted).groupBy("grp", "block_l", "block_r", "role").count().collect()
     assert len({(r["grp"], r["block_l"], r["block_r"]) for r in sizes}) > 30
     assert max(r["count"] for r in sizes) <= 2 * 100
+
+
+class Untouched:
+    """A table that keeps the functions it is given."""
+
+    def __init__(self):
+        self.given = []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.given += [a for a in args if callable(a) and not isinstance(a, type)]
+            return self
+
+        return call
+
+
+def test_what_tasks_give_back_comes_in_bounded_batches(spark, monkeypatch):
+    """Also where every vector asks in every group: 4 000 vectors and 200 groups are 800 000 sketches, and what is at home
+    in one group asks in 200."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import quern.llm.vector_cells as cells
+
+    monkeypatch.setattr(cells, "shared", lambda spark, value: value)
+    monkeypatch.setattr(cells, "opened", lambda held: held)
+    rng, width, groups = np.random.default_rng(15), 64, 200
+    pivots = unit(rng.normal(size=(groups, width + 1))).astype(np.float32)
+    pivots[:, -1] = 0
+    x = np.concatenate([pivots[np.arange(2_000) % groups], np.tile(pivots[0], (2_000, 1))])[:, :width] + 0.01 * rng.normal(size=(4_000, width))
+    blocks, one = np.ones((groups, 3), int), np.ones(groups, np.int64)
+    c = cells.Cells(Scaling(None, None, width), np.eye(width, dtype=np.float32), np.eye(width, dtype=np.float32), np.pi, -2.0,
+                    np.zeros((0, width), np.float32), pivots, np.arange(groups), one, np.full(groups, np.pi), blocks)
+    frame = Untouched()
+    cells.assign(frame, "id", "v", c)
+    send, meet = frame.given[-2:]
+    lists = pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4_000)), lists], names=["id", "v"])
+    tracemalloc.start()
+    sent, first = 0, []
+    for b in send(iter([batch])):
+        assert len(b) <= 10_000
+        sent += len(b)
+        first.append(b.filter(pa.array(b.column("grp").to_numpy() == 0)))
+    assert sent == 4_000 * (groups + 1)
+    tracemalloc.reset_peak()
+    many, at_home = 0, set()
+    for b in meet(iter(first)):
+        assert len(b) <= 10_000
+        many += len(b)
+        at_home |= set(b.column("id").to_numpy().tolist())
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert many == len(at_home) * groups and len(at_home) == 2_010
