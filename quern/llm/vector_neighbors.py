@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.vector_cells import Cell, Scaling, Task, assign, fit_cells, left_out
+from quern.llm.vector_cells import PRODUCTS, Cell, Scaling, Task, assign, fit_cells, left_out
 from quern.session import cut_lineage, opened, shared
 
 BOOKS, CODEWORDS, BEAM = 6, 64, 4
@@ -33,6 +33,8 @@ BOOK_SAMPLE = 4_096
 DEVIATIONS, SLACK = 4.0, 2e-3
 #: Queries whose estimates are held at once, and of those the ones whose candidates are scored together.
 BLOCK, TOGETHER = 256, 16
+#: Asking rows of a task whose tables are held at once, and stored rows that are coded at once.
+ASKING, CODED = 8_192, 1_024
 SEED = 20_240_302
 
 
@@ -54,6 +56,10 @@ class Additive:
     def deviation(self, x: np.ndarray, codes: np.ndarray, product: np.ndarray) -> np.ndarray:
         """Standard deviation of what the estimates of each unit row are off for a random query: one of the sample's, or
         one in any direction, whichever is more. Infinite for a code that has no part along the row."""
+        parts = [self._deviation(x[s : s + CODED], codes[s : s + CODED], product[s : s + CODED]) for s in range(0, max(len(x), 1), CODED)]
+        return np.concatenate(parts)
+
+    def _deviation(self, x: np.ndarray, codes: np.ndarray, product: np.ndarray) -> np.ndarray:
         coded = product > 1e-3
         flat = self.words.reshape(-1, self.words.shape[-1])
         off = flat[codes].sum(axis=1) / np.where(coded, product, 1)[:, None] - x
@@ -67,6 +73,10 @@ class Additive:
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of unit rows: codes, as places in the flat table of codewords, products of the vectors with their codes, and
         norms of the codes."""
+        parts = [self._encode(x[s : s + CODED], beam) for s in range(0, max(len(x), 1), CODED)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def _encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         books, k, _ = self.words.shape
         n, dots = len(x), self.tables(x)
         codes = np.zeros((n, 1, 0), np.int64)
@@ -160,11 +170,17 @@ def exact_scores(queries: np.ndarray, units: np.ndarray, wanted: np.ndarray) ->
 
 
 def search_cell(
-    cell: Cell, coder: Additive, tables: np.ndarray, k: int, threshold: float, count: list[int] | None = None
+    cell: Cell,
+    coder: Additive,
+    tables: np.ndarray,
+    k: int,
+    threshold: float,
+    count: list[int] | None = None,
+    coded: list[tuple[np.ndarray, ...]] | None = None,
 ) -> tuple[np.ndarray, ...]:
     """(query id, other id, cosine) of the ``k`` best others of each left row among the right rows at home. ``tables`` holds
-    the products of the task's rows with the codewords. To ``count``, if given, are added the numbers of pairs, of
-    candidates and of exact scores."""
+    the products of the rows at ``cell.at`` with the codewords. To ``count``, if given, are added the numbers of pairs, of
+    candidates and of exact scores. ``coded``, if given, keeps the codes of the cell for the next call."""
     stored, asking = np.flatnonzero(cell.right & cell.home), np.flatnonzero(cell.left)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     if not len(stored) or not len(asking):
@@ -172,12 +188,18 @@ def search_cell(
     stored = stored[_few_copies(cell.ids[stored], cell.marks[stored], k + 1)]
     units, ids = cell.units[stored], cell.ids[stored]
     begin = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
-    codes, product, norm = coder.encode(units)
-    codes = (codes, product, norm, coder.deviation(units, codes, product))
+    if coded:
+        codes = coded[0]
+    else:
+        codes, product, norm = coder.encode(units)
+        codes = (codes, product, norm, coder.deviation(units, codes, product))
+        if coded is not None:
+            coded.append(codes)
     # Queries of the same first word come together, as their candidates often coincide.
     asking = asking[np.argsort(np.argmax(tables[cell.at[asking], : coder.words.shape[1]], axis=1), kind="stable")]
-    for s in range(0, len(asking), BLOCK):
-        rows = asking[s : s + BLOCK]
+    step = int(np.clip(PRODUCTS // len(stored), 16, BLOCK))
+    for s in range(0, len(asking), step):
+        rows = asking[s : s + step]
         mine = cell.ids[rows]
         # The query itself is among the stored.
         wanted = coder.candidates(tables[cell.at[rows]], codes, begin, k + 1, threshold)
@@ -230,10 +252,20 @@ def nearest_neighbors(
         task = Task.of(batches, cells)
         if task is None:
             return
-        tables = coder.tables(task.units[np.arange(len(task.ids))])
-        for j in range(len(task.own)):
-            a, b, cos = search_cell(task.cell(j), coder, tables, k, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cos)], names=["id", "other", "similarity"])
+        coded: list[list[tuple[np.ndarray, ...]]] = [[] for _ in task.own]
+        asking = np.flatnonzero(task.role & 1)
+        # Neighbours ask together, as their candidates often coincide.
+        asking = asking[np.argsort(task.home[asking], kind="stable")]
+        for s in range(0, len(asking), ASKING):
+            part = np.sort(asking[s : s + ASKING])
+            asks, place = np.zeros(len(task.ids), bool), np.full(len(task.ids), -1)
+            asks[part], place[part] = True, np.arange(len(part))
+            tables = np.concatenate([coder.tables(task.units[part[t : t + CODED]]) for t in range(0, len(part), CODED)])
+            for j in range(len(task.own)):
+                cell = task.cell(j, asks)
+                cell.at = place[cell.at]
+                a, b, cos = search_cell(cell, coder, tables, k, threshold, coded=coded[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cos)], names=["id", "other", "similarity"])
 
     found = spread.groupBy("grp", "block_l", "block_r").applyInArrow(run, "id bigint, other bigint, similarity double")
     ranked = _ranked(found, k)

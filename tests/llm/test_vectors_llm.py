@@ -344,3 +344,19 @@ def test_what_tasks_give_back_comes_in_bounded_batches(spark, monkeypatch):
     assert tracemalloc.get_traced_memory()[1] < 200e6
     tracemalloc.stop()
     assert many == len(at_home) * groups and len(at_home) == 2_010
+
+
+def test_coding_many_rows_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(16)
+    x = unit(rng.normal(size=(20_000, 256))).astype(np.float32)
+    coder = fit_books(x[:500])
+    part = coder.encode(x[3_000:3_100])
+    tracemalloc.start()
+    codes, product, norm = coder.encode(x)
+    deviation = coder.deviation(x, codes, product)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    assert (codes[3_000:3_100] == part[0]).all() and np.allclose(product[3_000:3_100], part[1], atol=1e-5)
+    assert deviation.shape == norm.shape == (20_000,)
