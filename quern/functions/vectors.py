@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +38,9 @@ def mahalanobis_diagonal(center: Column, stdev: Column, point: Column) -> Column
     scaled = F.zip_with(F.zip_with(point, center, lambda x, c: x - c), stdev, lambda d, s: F.try_divide(d, s))
     distance = F.sqrt(_sum(F.transform(scaled, lambda z: z * z)))
     return F.when(F.exists(stdev, lambda s: s == 0), F.lit(float("inf"))).otherwise(distance)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """One row per vector of an Arrow column of vectors of one width."""
+    parts = [np.asarray(chunk.flatten(), float).reshape(len(chunk), -1) for chunk in column.chunks if len(chunk)]
+    return np.concatenate(parts) if parts else np.zeros((0, 0))

@@ -15,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import as_doubles, euclidean, mahalanobis_diagonal
+from quern.functions.vectors import as_doubles, euclidean, mahalanobis_diagonal, matrix
 
 #: Rows of one block of the exact diameter.
 DIAMETER_BLOCK = 8_000
@@ -68,11 +68,11 @@ def standardised(points: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(whole)).withColumn("vector", scaled).drop("mean", "stdev")
 
 
-def distance_to_center(points: DataFrame, cluster: str) -> DataFrame:
+def distance_to_center(points: DataFrame, cluster: str, few: bool = False) -> DataFrame:
     """``points`` plus ``euclid`` and ``mahalanobis`` to the mean of the point's own cluster. The clusters' means are
-    bounded by their number and joined by it."""
+    bounded by their number and joined by it; those of ``few`` clusters are broadcast, so that no point is shuffled."""
     centers = mean_and_deviation(summaries(points, cluster)).select(F.col("cluster").alias(cluster), "mean", "stdev")
-    joined = points.join(centers, cluster)
+    joined = points.join(F.broadcast(centers) if few else centers, cluster)
     return joined.withColumn("euclid", euclidean(F.col("vector"), F.col("mean"))).withColumn(
         "mahalanobis", mahalanobis_diagonal(F.col("mean"), F.col("stdev"), F.col("vector"))
     ).drop("mean", "stdev")
@@ -121,39 +121,63 @@ def diameters(points: DataFrame, cluster: str, block: int = DIAMETER_BLOCK) -> D
     pair of points becomes a row and no task holds more than two blocks. A row is sent to as many tasks as its cluster
     has blocks, and the arithmetic is quadratic in m.
     """
+    return _farthest(points.withColumn("_cell", F.lit(0)), cluster, "_cell", block).groupBy("cluster").agg(F.max("far").alias("diameter"))
+
+
+def nested_diameters(points: DataFrame, whole: str, cell: str, members: DataFrame, block: int = DIAMETER_BLOCK) -> DataFrame:
+    """``(cluster, diameter)`` of clusters that are each made of cells, as the cuts of one tree are: ``members`` has the
+    ``(cluster, cell)`` rows, ``points`` the ``cell`` of each point and a coarsest cluster, ``whole``, across which nothing is
+    asked for. A pair of points is compared once, for all clusters that hold it."""
+    far = _farthest(points, whole, cell, block).groupBy("x", "y").agg(F.max("far").alias("far"))
+    x, y = (members.select("cluster", F.col("cell").alias(c)) for c in ("x", "y"))
+    return far.join(F.broadcast(x), "x").join(F.broadcast(y), ["cluster", "y"]).groupBy("cluster").agg(F.max("far").alias("diameter"))
+
+
+def _farthest(points: DataFrame, cluster: str, cell: str, block: int) -> DataFrame:
+    """``(cluster, x, y, far)``: the largest distance between a member of cell x and one of cell y of the same cluster, in
+    the pairs of blocks of the cluster; x and y in either order."""
     sizes = points.groupBy(F.col(cluster).alias("cluster")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    numbered = points.select(F.col(cluster).alias("cluster"), "id", "vector").join(sizes, "cluster")
+    numbered = points.select(F.col(cluster).alias("cluster"), F.col(cell).alias("cell"), "id", "vector").join(sizes, "cluster")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     spread = numbered.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = spread.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "vector")
+    tasks = spread.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cell", "vector")
 
     def farthest(group: pa.Table) -> pa.Table:
-        x = np.array(group.column("vector").to_pylist())
+        x = matrix(group.column("vector"))
         own = group.column("own").to_numpy()
+        names, at = np.unique(group.column("cell").to_numpy(zero_copy_only=False), return_inverse=True)
         a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        left, right = x[own == a], x[own == b]
-        best = 0.0
-        for s in range(0, len(left), 256):
-            part = left[s : s + 256]
-            square = (part * part).sum(1)[:, None] + (right * right).sum(1) - 2 * part @ right.T
-            if square.size:
-                i, j = np.unravel_index(np.argmax(square), square.shape)
-                best = max(best, float(np.linalg.norm(part[i] - right[j])))
-        return pa.table({"cluster": group.column("cluster").slice(0, 1), "far": [best]})
-
-    kind = points.schema[cluster].dataType.simpleString()
-    far = tasks.groupBy("cluster", "a", "b").applyInArrow(farthest, f"cluster {kind}, far double")
-    return far.groupBy("cluster").agg(F.max("far").alias("diameter"))
-
-
-def cluster_metrics(points: DataFrame, cluster: str) -> DataFrame:
+        left, right = (i[np.argsort(at[i], kind="stable")] for i in (np.flatnonzero(own == a), np.flatnonzero(own == b)))
+        best = np.full((len(names), len(names)), -1.0)
+        for s in range(0, len(left) if len(right) else 0, 256):
+            rows, others = left[s : s + 256], right[s:] if a == b else right
+            part, rest = x[rows], x[others]
+            square = (part * part).sum(1)[:, None] + (rest * rest).sum(1) - 2 * part @ rest.T
+            down, over = (np.flatnonzero(np.diff(at[i], prepend=-1, append=-1)) for i in (rows, others))
+            for t, u in zip(down[:-1], down[1:], strict=True):
+                for v, w in zip(over[:-1], over[1:], strict=True):
+                    own_part = square[t:u, v:w]
+                    i, j = np.unravel_index(np.argmax(own_part), own_part.shape)
+                    pair = at[rows[t]], at[others[v]]
+                    best[pair] = max(best[pair], float(np.linalg.norm(part[t + i] - rest[v + j])))
+        i, j = np.nonzero(best >= 0)
+        named = pa.array(names, group.schema.field("cell").type)
+        return pa.table({"cluster": group.column("cluster").combine_chunks().take(pa.array(np.zeros(len(i), int))), "x": named.take(pa.array(i)), "y": named.take(pa.array(j)), "far": best[i, j]})
+
+    kind, inner = points.schema[cluster].dataType.simpleString(), tasks.schema["cell"].dataType.simpleString()
+    return tasks.groupBy("cluster", "a", "b").applyInArrow(farthest, f"cluster {kind}, x {inner}, y {inner}, far double")
+
+
+def cluster_metrics(points: DataFrame, cluster: str, far: DataFrame | None = None) -> DataFrame:
     """``(cluster, size, radius, diameter, density)``: radius is the largest distance of a member to the mean, density
-    is size / radius^2; a cluster of one member has 0 in all three."""
-    radius = distance_to_center(points, cluster).groupBy(F.col(cluster).alias("cluster")).agg(
+    is size / radius^2; a cluster of one member has 0 in all three. ``far``: the ``(cluster, diameter)`` of few clusters, if
+    they are known; their means are then broadcast."""
+    radius = distance_to_center(points, cluster, far is not None).groupBy(F.col(cluster).alias("cluster")).agg(
         F.count(F.lit(1)).alias("size"), F.max("euclid").alias("radius")
     )
     density = F.coalesce(F.try_divide(F.col("size").cast("double"), F.col("radius") * F.col("radius")), F.lit(0.0))
-    return radius.join(diameters(points, cluster), "cluster").select("cluster", "size", "radius", "diameter", density.alias("density"))
+    far = diameters(points, cluster) if far is None else far
+    return radius.join(far, "cluster").select("cluster", "size", "radius", "diameter", density.alias("density"))
 
 
 def top_value_per_group(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -1,50 +1,91 @@
-"""Agglomerative clustering of a bounded sample, cut for many numbers of clusters at once, and the elbow."""
+"""Agglomerative clustering, cut for many numbers of clusters at once, and the elbow."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most rows that are clustered in one task, with 0.8 GB of distances; a larger input must be sampled first.
+from quern.functions.vectors import matrix
+
+#: Nearest clusters that are remembered of each cluster, and distances that are held at once.
+NEAR, HELD = 8, 4_000_000
+#: Most rows whose distances are held in one task, 0.8 GB of them.
 MAX_ROWS = 10_000
 
 
 def ward_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges of Ward's method in ascending height, by nearest-neighbour chains: O(n^2) time and memory."""
-    n = len(x)
-    cost = np.stack([((x - row) ** 2).sum(-1) for row in x]) if 0 < n <= 500 else _squares(x)
-    cost /= 2
-    np.fill_diagonal(cost, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
-    merges: list[tuple[int, int, float]] = []
-    chain: list[int] = []
-    while len(merges) < n - 1:
-        if not chain:
-            chain.append(int(np.argmax(alive)))
-        while True:
-            top = chain[-1]
-            best = int(np.argmin(cost[top]))
-            if len(chain) > 1 and cost[top, chain[-2]] <= cost[top, best]:
-                best = chain[-2]
-            if len(chain) > 1 and best == chain[-2]:
-                break
-            chain.append(best)
-        a, b = sorted((chain.pop(), chain.pop()))
-        height = cost[a, b]
-        merges.append((a, b, float(height)))
-        total = size[a] + size[b] + size
-        new = ((size[a] + size) * cost[a] + (size[b] + size) * cost[b] - size * height) / total
-        size[a] += size[b]
-        alive[b] = False
-        new[~alive] = np.inf
-        new[a] = np.inf
-        cost[a], cost[:, a] = new, new
-        cost[b], cost[:, b] = np.inf, np.inf
+    """Merges of Ward's method in ascending height. All pairs of clusters that are each other's nearest are merged at once,
+    which gives the same tree as one merge at a time. Means and sizes tell the heights, so memory is linear in the rows;
+    the arithmetic is quadratic. A merge brings no two clusters nearer, so what is not among the ``NEAR`` clusters found
+    nearest stays beyond them, and only clusters that lost all of these (and new ones) are searched for again."""
+    x = np.ascontiguousarray(x, float) + 0.0
+    known: dict[bytes, int] = {}
+    first = np.array([known.setdefault(row.tobytes(), i) for i, row in enumerate(x)], int)
+    merges = [(int(a), i, 0.0) for i, a in enumerate(first) if a != i]
+    name = np.unique(first)
+    c, size = x[name], np.bincount(first)[name].astype(float) if len(x) else np.zeros(0)
+    c -= c.mean(axis=0) if len(c) else 0
+    n = left = len(c)
+    square, share, level = (c * c).sum(axis=1), 1 / size, np.zeros(n)
+    near, cost = np.zeros((n, NEAR), int), np.full((n, NEAR), np.inf)
+    beyond, alive, todo = np.full(n, np.inf), np.ones(n, bool), np.arange(n)
+    while left > 1:
+        _search(c, square, share, todo, near, cost, beyond)
+        at = cost.argmin(axis=1)
+        best, height = near[np.arange(n), at], cost[np.arange(n), at]
+        low = np.flatnonzero(alive & (best[best] == np.arange(n)) & (np.arange(n) < best))
+        low = low if len(low) else np.array([np.argmin(np.where(alive, height, np.inf))])
+        gone = best[low]
+        level[low] = np.maximum(height[low], np.maximum(level[low], level[gone]))
+        merges += [(*sorted((int(name[a]), int(name[b]))), float(h)) for a, b, h in zip(low, gone, level[low], strict=True)]
+        name[low] = np.minimum(name[low], name[gone])
+        total = size[low] + size[gone]
+        c[low] = (c[low] * size[low, None] + c[gone] * size[gone, None]) / total[:, None]
+        size[low], share[low], square[low] = total, 1 / total, (c[low] * c[low]).sum(axis=1)
+        alive[gone], square[gone], cost[gone] = False, np.inf, np.inf
+        left -= len(low)
+        now, changed, fresh = np.arange(n), np.zeros(n, bool), np.zeros(n, bool)
+        now[gone], changed[low], changed[gone], fresh[low] = low, True, True, True
+        rows, places = np.nonzero(changed[near] & np.isfinite(cost) & (alive & ~fresh)[:, None])
+        to = now[near[rows, places]]
+        for s in range(0, len(rows), 4_096):
+            i, j = rows[s : s + 4_096], to[s : s + 4_096]
+            off = c[i] - c[j]
+            cost[i, places[s : s + 4_096]] = np.einsum("ij,ij->i", off, off) / (share[i] + share[j])
+        near[rows, places] = to
+        todo = np.flatnonzero(alive & (fresh | (cost.min(axis=1) > beyond)))
+        if 2 * left < n:
+            place = np.cumsum(alive) - 1
+            todo, near = place[todo], place[near[alive]]
+            c, square, share, size, level, name, cost, beyond = (v[alive] for v in (c, square, share, size, level, name, cost, beyond))
+            n, alive = left, np.ones(left, bool)
     return sorted(merges, key=lambda m: m[2])
 
 
+def _search(c: np.ndarray, square: np.ndarray, share: np.ndarray, todo: np.ndarray, near: np.ndarray, cost: np.ndarray, beyond: np.ndarray) -> None:
+    """Fill in the ``NEAR`` nearest clusters of those in ``todo``, their heights and what no other one is below."""
+    n = len(c)
+    few = min(NEAR, n)
+    step = max(1, HELD // n)
+    for s in range(0, len(todo), step):
+        i = todo[s : s + step]
+        d = c[i] @ c.T
+        d *= -2
+        d += square
+        d += square[i, None]
+        np.maximum(d, 0, out=d)
+        d /= share[i, None] + share
+        d[np.arange(len(i)), i] = np.inf
+        at = np.argpartition(d, few - 1, axis=1)[:, :few] if few < n else np.tile(np.arange(n), (len(i), 1))
+        found = np.take_along_axis(d, at, axis=1)
+        near[i[:, None], np.arange(few)], cost[i[:, None], np.arange(few)] = at, found
+        cost[i, few:] = np.inf
+        beyond[i] = found.max(axis=1) if few < n else np.inf
+
+
 def _squares(x: np.ndarray) -> np.ndarray:
     s = (x * x).sum(1)
     out = x @ x.T
@@ -71,24 +112,28 @@ def cut(n: int, merges: list[tuple[int, int, float]], k: int) -> np.ndarray:
     return np.argsort(np.argsort(first))[label]
 
 
-def ward_labels(points: DataFrame, ks: range, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``(k, id, cluster)`` of ``points`` (``id``, ``vector``) for every k, in one task. More than ``max_rows`` rows
-    raise: the method needs all distances; sample first or use :mod:`quern.operators.bfr`."""
-    rows = points.select("id", "vector").limit(max_rows + 1)
+def ward_labels(points: DataFrame, ks: range, max_rows: int | None = None) -> DataFrame:
+    """``(k, id, cluster)`` of ``points`` (``id``, ``vector``) for every k, in one task that holds the vectors but not their
+    distances. More than ``max_rows`` rows, where given, raise; :mod:`quern.operators.bfr` needs no quadratic arithmetic."""
+    rows = points.select("id", "vector")
+    rows = rows if max_rows is None else rows.limit(max_rows + 1)
     kind = points.schema["id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_rows:
+    def run(group: pa.Table) -> pa.Table:
+        if max_rows is not None and len(group) > max_rows:
             raise ValueError(f"more than {max_rows} rows")
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["vector"].tolist())
-        merges = ward_merges(x)
-        return pd.concat(
-            [pd.DataFrame({"k": k, "id": pdf["id"], "cluster": cut(len(x), merges, k)}) for k in ks if k <= len(x)]
-            or [pd.DataFrame({"k": [], "id": [], "cluster": []})]
-        )
-
-    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, f"k int, id {kind}, cluster int")
+        group = group.sort_by("id")
+        ids, n = group.column("id").combine_chunks(), len(group)
+        merges = ward_merges(matrix(group.column("vector")))
+        given = [k for k in ks if k <= n]
+        labels = [cut(n, merges, k) for k in given]
+        return pa.table({
+            "k": np.repeat(np.array(given, np.int32), n),
+            "id": pa.concat_arrays([ids] * len(given)) if given else ids.slice(0, 0),
+            "cluster": np.concatenate([np.zeros(0, np.int32), *labels]).astype(np.int32),
+        })
+
+    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, f"k int, id {kind}, cluster int")
 
 
 def distance_row_metrics(points: DataFrame, cluster: str, max_rows: int = MAX_ROWS) -> DataFrame:

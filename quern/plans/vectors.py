@@ -11,16 +11,17 @@ from quern.operators.bfr import bfr, summary_rows
 from quern.operators.vectors import (
     clean_vectors,
     cluster_metrics,
-    diameters,
     distance_to_center,
     mahalanobis_to_centers,
     mean_and_deviation,
     nearest_center,
+    nested_diameters,
     standardised,
     summaries,
     top_value_per_group,
 )
 from quern.operators.ward import distance_row_metrics, elbow, ward_labels
+from quern.session import cut_lineage
 from quern.sources.tables import table, track_vectors
 
 WIDTH, FEATURES = 64, 518
@@ -125,28 +126,37 @@ def bfr_top_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_value_per_group(found.join(tracks, "track_id"), "cluster", "genre")
 
 
-def _ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All readable tracks of the subset ``small``, clustered for every k."""
+def _ward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All readable tracks of the subset ``small``, and their ``(k, id, cluster)`` for every k, found once."""
     small = table(spark, sf_dir, "tracks").where("set_subset = 'small'").select("track_id")
     points = _tracks(spark, sf_dir, small)
-    labels = ward_labels(points, range(8, 17))
-    key = F.col("k") * 100 + F.col("cluster")
-    return labels.join(points, "id").withColumn("key", key)
+    return points, cut_lineage(ward_labels(points, range(8, 17)))
+
+
+def _ward_cells(points: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``points`` with their ``keys`` (k * 100 + cluster), their coarsest cluster ``whole`` and ``cell``, the points that share all
+    their clusters; and the diameters by key."""
+    own = labels.groupBy("id").agg(F.sort_array(F.collect_list(F.col("k") * 100 + F.col("cluster"))).alias("keys"))
+    own = own.withColumn("whole", F.col("keys")[0]).withColumn("cell", F.concat_ws(" ", F.col("keys").cast("array<string>")))
+    placed = points.join(own, "id")
+    members = own.select("cell", F.explode("keys").alias("cluster")).distinct()
+    return placed, nested_diameters(placed, "whole", "cell", members)
 
 
 def ward_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of clusters and of points for every k."""
-    rows = _ward(spark, sf_dir).groupBy("k").agg(F.count_distinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_points"))
-    return rows
+    _, labels = _ward(spark, sf_dir)
+    return labels.groupBy("k").agg(F.count_distinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_points"))
 
 
 def ward_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cluster_metrics(_ward(spark, sf_dir), "key")
+    placed, far = _ward_cells(*_ward(spark, sf_dir))
+    rows = cluster_metrics(placed.select("id", "vector", F.explode("keys").alias("key")), "key", far)
     return rows.select((F.col("cluster") / 100).cast("int").alias("k"), (F.col("cluster") % 100).alias("cluster"), "size", "radius", "diameter", "density")
 
 
 def ward_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    far = diameters(_ward(spark, sf_dir), "key")
+    _, far = _ward_cells(*_ward(spark, sf_dir))
     return elbow(far.select((F.col("cluster") / 100).cast("int").alias("k"), "diameter"))
 
 
