@@ -9,7 +9,7 @@ import pytest
 
 from quern.operators.vectors import nested_diameters
 from quern.operators.ward import ward_merges
-from quern.plans.vectors import ward_elbow
+from quern.plans.vectors import ward_elbow, ward_metrics
 
 N, GROUPS = 10_100, 8
 
@@ -70,3 +70,10 @@ def test_nested_diameters_over_blocks(spark):
 def test_elbow_of_more_than_ten_thousand_rows(spark, folder):
     rows = {r["k"]: r["mean_diameter"] for r in ward_elbow(spark, folder).collect()}
     assert set(rows) == set(range(8, 17)) and rows[8] == pytest.approx(np.mean(_diameters()))
+
+
+def test_metrics_of_more_than_ten_thousand_rows(spark, folder):
+    rows = [r for r in ward_metrics(spark, folder).collect() if r["k"] == 8]
+    assert sum(r["size"] for r in rows) == N
+    assert sorted(r["diameter"] for r in rows) == pytest.approx(sorted(_diameters()))
+    assert all(r["density"] == pytest.approx(r["size"] / r["radius"] ** 2) for r in rows)
