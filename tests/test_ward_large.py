@@ -9,7 +9,7 @@ import pytest
 
 from quern.operators.vectors import nested_diameters
 from quern.operators.ward import ward_merges
-from quern.plans.vectors import ward_elbow, ward_metrics
+from quern.plans.vectors import ward_elbow, ward_invariants, ward_metrics
 
 N, GROUPS = 10_100, 8
 
@@ -77,3 +77,7 @@ def test_metrics_of_more_than_ten_thousand_rows(spark, folder):
     assert sum(r["size"] for r in rows) == N
     assert sorted(r["diameter"] for r in rows) == pytest.approx(sorted(_diameters()))
     assert all(r["density"] == pytest.approx(r["size"] / r["radius"] ** 2) for r in rows)
+
+
+def test_invariants_of_more_than_ten_thousand_rows(spark, folder):
+    assert {tuple(r) for r in ward_invariants(spark, folder).collect()} == {(k, k, N) for k in range(8, 17)}
