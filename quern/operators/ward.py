@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +11,8 @@ from quern.functions.vectors import matrix
 
 #: Nearest clusters that are remembered of each cluster, and distances that are held at once.
 NEAR, HELD = 8, 4_000_000
-#: Most rows whose distances are held in one task, 0.8 GB of them.
-MAX_ROWS = 10_000
+#: Rows of one block of the distances of all rows.
+ROWS_BLOCK = 8_000
 
 
 def ward_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
@@ -86,15 +85,6 @@ def _search(c: np.ndarray, square: np.ndarray, share: np.ndarray, todo: np.ndarr
         beyond[i] = found.max(axis=1) if few < n else np.inf
 
 
-def _squares(x: np.ndarray) -> np.ndarray:
-    s = (x * x).sum(1)
-    out = x @ x.T
-    out *= -2
-    out += s
-    out += s[:, None]
-    return np.maximum(out, 0, out=out)
-
-
 def cut(n: int, merges: list[tuple[int, int, float]], k: int) -> np.ndarray:
     """Labels 0.. of ``k`` clusters, numbered by their first row."""
     parent = np.arange(n)
@@ -136,29 +126,75 @@ def ward_labels(points: DataFrame, ks: range, max_rows: int | None = None) -> Da
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, f"k int, id {kind}, cluster int")
 
 
-def distance_row_metrics(points: DataFrame, cluster: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def distance_row_metrics(points: DataFrame, cluster: str, block: int = ROWS_BLOCK) -> DataFrame:
     """``(cluster, size, radius, diameter, density)`` in the space of the points' rows of distances to all points: diameter is
     the largest distance of a member to any point, radius the largest gap in any place between a member's row and the
-    mean of the members' rows, density members times points over the diameter (null where that is 0). In one task, of
-    at most ``max_rows`` rows (more raise); these numbers describe the whole set rather than the cluster, for which there
-    is :func:`quern.operators.vectors.cluster_metrics`."""
-    rows = points.select("id", "vector", F.col(cluster).alias("cluster")).limit(max_rows + 1)
-    kind = rows.schema["cluster"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_rows:
-            raise ValueError(f"more than {max_rows} rows")
-        x = np.array(pdf["vector"].tolist())
-        apart = np.sqrt(_squares(x))
-        out = []
-        for name, at in pdf.reset_index(drop=True).groupby("cluster").groups.items():
-            own = apart[np.asarray(at)]
-            far = float(own.max())
-            out.append((name, len(own), float(np.abs(own - own.mean(axis=0)).max()), far, len(own) * len(x) / far if far else None))
-        return pd.DataFrame(out, columns=["cluster", "size", "radius", "diameter", "density"])
-
-    schema = f"cluster {kind}, size bigint, radius double, diameter double, density double"
-    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, schema)
+    mean of the members' rows, density members times points over the diameter (null where that is 0). These numbers
+    describe the whole set rather than the cluster, for which there is :func:`quern.operators.vectors.cluster_metrics`.
+
+    Rows (``id`` tells them apart) are cut into blocks, and each pair of blocks is a task that holds 256 rows of distances and
+    returns per point and cluster the number, sum, least and largest of the distances to the cluster's members. A row
+    is sent to as many tasks as there are blocks; the arithmetic is quadratic."""
+    rows = points.select("id", "vector", F.col(cluster).alias("cluster"))
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    spread = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tasks = spread.select("id", "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "vector")
+
+    def run(group: pa.Table) -> pa.Table:
+        x = matrix(group.column("vector"))
+        x -= x.mean(axis=0)
+        own, names = group.column("own").to_numpy(), group.column("cluster").to_pylist()
+        codes = {v: i for i, v in enumerate(dict.fromkeys(names))}
+        part = np.array([codes[v] for v in names])
+        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+        left, right = (at[np.argsort(part[at], kind="stable")] for at in (np.flatnonzero(own == a), np.flatnonzero(own == b)))
+        count = np.zeros((len(codes), len(x)), int)
+        total, low, high = np.zeros(count.shape), np.full(count.shape, np.inf), np.full(count.shape, -np.inf)
+
+        def note(apart: np.ndarray, members: np.ndarray, to: np.ndarray) -> None:
+            starts = np.flatnonzero(np.diff(part[members], prepend=-1))
+            at = np.ix_(part[members][starts], to)
+            count[at] += np.diff(starts, append=len(members))[:, None]
+            total[at] += np.add.reduceat(apart, starts, axis=0)
+            low[at] = np.minimum(low[at], np.minimum.reduceat(apart, starts, axis=0))
+            high[at] = np.maximum(high[at], np.maximum.reduceat(apart, starts, axis=0))
+
+        for s in range(0, len(left) if len(right) else 0, 256):
+            apart = _apart(x, left[s : s + 256], right)
+            note(apart, left[s : s + 256], right)
+            if a != b:
+                note(np.ascontiguousarray(apart.T), right, left[s : s + 256])
+        of, to = np.nonzero(count)
+        return pa.table({
+            "id": group.column("id").combine_chunks().take(pa.array(to)),
+            "cluster": pa.array([*codes], group.schema.field("cluster").type).take(pa.array(of)),
+            "n": count[of, to], "total": total[of, to], "low": low[of, to], "high": high[of, to],
+        })
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = tasks.groupBy("a", "b").applyInArrow(run, f"id {kinds['id']}, cluster {kinds['cluster']}, n bigint, total double, low double, high double")
+    places = found.where("cluster is not null").groupBy("cluster", "id").agg(
+        F.sum("n").alias("size"), (F.sum("total") / F.sum("n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    out = places.groupBy("cluster").agg(
+        F.max("size").alias("size"), F.max(F.greatest(F.col("high") - F.col("mean"), F.col("mean") - F.col("low"))).alias("radius"), F.max("high").alias("diameter")
+    )
+    return out.withColumn("density", F.try_divide(F.col("size").cast("double") * n, F.col("diameter")))
+
+
+def _apart(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Distances of rows of ``x``; those so small that their products cancel are taken anew."""
+    y, z = x[left], x[right]
+    out = y @ z.T
+    out *= -2
+    bound = (y * y).sum(axis=1)[:, None] + (z * z).sum(axis=1)
+    out += bound
+    i, j = np.nonzero(out < 1e-6 * bound)
+    for s in range(0, len(i), 4_096):
+        off = y[i[s : s + 4_096]] - z[j[s : s + 4_096]]
+        out[i[s : s + 4_096], j[s : s + 4_096]] = np.einsum("ij,ij->i", off, off)
+    return np.sqrt(np.maximum(out, 0, out=out), out=out)
 
 
 def elbow(metrics: DataFrame) -> DataFrame:

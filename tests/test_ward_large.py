@@ -8,8 +8,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from quern.operators.vectors import nested_diameters
-from quern.operators.ward import ward_merges
-from quern.plans.vectors import ward_elbow, ward_invariants, ward_metrics
+from quern.operators.ward import distance_row_metrics, ward_merges
+from quern.plans.vectors import subset_row_metrics, ward_elbow, ward_invariants, ward_metrics
 
 N, GROUPS = 10_100, 8
 
@@ -81,3 +81,34 @@ def test_metrics_of_more_than_ten_thousand_rows(spark, folder):
 
 def test_invariants_of_more_than_ten_thousand_rows(spark, folder):
     assert {tuple(r) for r in ward_invariants(spark, folder).collect()} == {(k, k, N) for k in range(8, 17)}
+
+
+def test_row_metrics_of_more_than_ten_thousand_rows(spark, folder):
+    x = _places().astype(float)
+    high, gap = np.zeros(2), np.zeros(2)
+    for s in range(0, N, 500):
+        apart = np.sqrt(((x[:, None] - x[s : s + 500]) ** 2).sum(axis=2))
+        for part in (0, 1):
+            own = apart[part::2]
+            high[part] = max(high[part], own.max())
+            gap[part] = max(gap[part], np.abs(own - own.mean(axis=0)).max())
+    got = {r["part"]: r for r in subset_row_metrics(spark, folder).collect()}
+    for part in (0, 1):
+        r = got[part]
+        assert r["size"] == N // 2
+        assert (r["radius"], r["diameter"], r["density"]) == pytest.approx((gap[part], high[part], N // 2 * N / high[part]), abs=2e-3)
+
+
+def test_row_metrics_over_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 3))
+    x[7] = x[8]
+    part = [None if i == 3 else i % 3 for i in range(40)]
+    df = spark.createDataFrame([(i, [float(e) for e in v], p) for i, (v, p) in enumerate(zip(x, part, strict=True))], "id int, vector array<double>, part int")
+    apart = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for block in (7, 1_000):
+        for r in distance_row_metrics(df, "part", block=block).collect():
+            own = apart[[p == r["cluster"] for p in part]]
+            assert r["cluster"] is not None and r["size"] == len(own)
+            assert (r["radius"], r["diameter"]) == pytest.approx((np.abs(own - own.mean(axis=0)).max(), own.max()))
+            assert r["density"] == pytest.approx(len(own) * 40 / own.max())
