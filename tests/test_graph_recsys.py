@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators.graph import degrees, eigengap, laplacian_spectrum, leading_spectrum, normalized_laplacian, power_iteration_clusters, spectral_clusters, undirected
+from quern.operators.graph import degrees, eigengap, laplacian_spectrum, leading_spectrum, normalized_laplacian, power_iteration_clusters, sparse_spectrum, spectral_clusters, undirected
 from quern.operators.recsys import centered, item_candidates, item_similarity, mean_ratings, pivoted, predict
 
 EDGES = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5), (2, 3), (3, 2), (None, 1)]
@@ -86,6 +86,49 @@ def test_distributed_spectrum_equals_the_dense_one(spark):
     assert len(clusters) == len({r["node"] for r in clusters}) == vectors.count()
 
 
+def test_the_largest_graphs_stay_distributed(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    g = undirected(spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, size=(300, 2))], "src bigint, dst bigint"))
+    exact, _ = leading_spectrum(g, 6)
+    found, vectors = leading_spectrum(g, 6, max_nodes=10, max_bytes=0)
+    assert np.abs(found - exact).max() < 1e-6 and vectors.count() == degrees(g).count()
+
+
+@pytest.mark.parametrize("copies", [1, 3, 9])
+def test_sparse_spectrum_of_equal_parts(copies):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 150, size=(600, 2))
+    one = np.concatenate([one, np.stack([np.arange(149), np.arange(1, 150)], axis=1)])
+    ends = np.concatenate([one + 150 * i for i in range(copies)] + [[[150 * copies] * 2]])
+    n, weight = 150 * copies + 1, rng.integers(1, 4, size=len(one)).astype(float)
+    weight = np.concatenate([np.tile(weight, copies), [1.0]])
+    dense = np.zeros((n, n))
+    for (a, b), w in zip(ends, weight, strict=True):
+        if a != b:
+            dense[a, b] += w
+            dense[b, a] += w
+    d = dense.sum(axis=0)
+    root = np.sqrt(np.where(d > 0, d, 1))
+    laplacian = np.diag((d > 0).astype(float)) - dense / root / root[:, None]
+    values, vectors = sparse_spectrum(ends[:, 0], ends[:, 1], weight, n, 8)
+    assert np.abs(values - np.linalg.eigvalsh(laplacian)[:8]).max() < 1e-9
+    assert np.abs(vectors @ vectors.T - np.eye(8)).max() < 1e-8
+    assert np.abs(vectors @ laplacian - values[:, None] * vectors).max() < 1e-8
+
+
+def test_sparse_spectrum_of_a_star_and_of_few_nodes():
+    import numpy as np
+
+    star = np.zeros(200, int), np.arange(1, 201), np.ones(200)
+    assert np.abs(sparse_spectrum(*star, 201, 6)[0] - [0, 1, 1, 1, 1, 1]).max() < 1e-9
+    values, vectors = sparse_spectrum(np.array([0]), np.array([1]), np.ones(1), 2, 6)
+    assert np.abs(values - [0, 2]).max() < 1e-9 and vectors.shape == (2, 2)
+
+
 def test_only_candidates_are_compared(ratings):
     scored = centered(ratings)
     every = item_similarity(scored)
