@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from quern.plans.graph import cluster_coverage
+from quern.plans.graph import cluster_coverage, spectral_citations
 
 N = 2_100
 
@@ -36,3 +36,9 @@ def test_coverage_of_a_large_graph(spark, folder):
     rows, jobs = _jobs(spark, cluster_coverage, folder)
     assert {tuple(r) for r in rows} == {("pic", N, N), ("spectral", N, N)}
     assert jobs < 250, jobs
+
+
+def test_clusters_of_a_large_graph(spark, folder):
+    rows, jobs = _jobs(spark, spectral_citations, folder)
+    assert sorted(r["node"] for r in rows) == list(range(N))
+    assert jobs < 100, jobs
