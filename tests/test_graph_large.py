@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from quern.plans.graph import cluster_coverage, spectral_citations
+from quern.plans.graph import cluster_coverage, eigengap_citations, spectral_citations
 
 N = 2_100
 
@@ -42,3 +42,15 @@ def test_clusters_of_a_large_graph(spark, folder):
     rows, jobs = _jobs(spark, spectral_citations, folder)
     assert sorted(r["node"] for r in rows) == list(range(N))
     assert jobs < 100, jobs
+
+
+def test_eigenvalues_of_a_large_graph(spark, folder):
+    rows, jobs = _jobs(spark, eigengap_citations, folder)
+    g = pq.read_table(os.path.join(folder, "ca_hepph.parquet")).to_pandas()
+    dense = np.zeros((N, N))
+    dense[g["src"], g["dst"]] = dense[g["dst"], g["src"]] = 1
+    np.fill_diagonal(dense, 0)
+    root = np.sqrt(dense.sum(axis=0))
+    exact = np.linalg.eigvalsh(np.eye(N) - dense / root / root[:, None])
+    assert [r["eigenvalue"] for r in rows] == pytest.approx(exact[: len(rows)], abs=2e-6)
+    assert jobs < 50, jobs
